@@ -253,8 +253,9 @@ def _with_stats(
 ) -> DataFrame:
     """Add text, terms, the pair count ``__n`` and the df map of wanted terms.
 
-    The statistics go to (session, segment), so a long session is met by several
-    tasks instead of one.
+    One aggregate counts the wanted terms and, under the empty term, all pairs. Its one
+    row per key is repeated for every segment of the session, so that a long session is
+    met by several tasks instead of one.
     """
     base = pairs.withColumns(
         {
@@ -262,19 +263,18 @@ def _with_stats(
             _SEG: position_segment("turn_idx", segment_rows),
         }
     ).withColumn("__words", F.array_intersect(T.terms(F.col("__text")), wanted))
-    parts = base.groupBy(*keys, _SEG).agg(F.count("*").alias("c"))
-    total = parts.groupBy(*keys).agg(F.sum("c").alias("__n"))
-    df = (
-        base.select(*keys, F.explode("__words").alias("t"))
+    counted = F.concat(F.array(F.lit("")), F.col("__words"))
+    stats = (
+        base.select(*keys, _SEG, F.explode(counted).alias("t"))
         .groupBy(*keys, "t")
-        .agg(F.count("*").alias("c"))
+        .agg(F.count("*").alias("c"), F.max(_SEG).alias("hi"))
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("t", "c"))).alias("__df"))
-    )
-    stats = (
-        parts.select(*keys, _SEG)
-        .join(total, list(keys))
-        .join(df, list(keys))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("t", "c"))).alias("__df"),
+            F.max("hi").alias("hi"),
+        )
+        .select(*keys, "__df", F.explode(F.sequence(F.lit(0), F.col("hi"))).alias(_SEG))
+        .withColumn("__n", F.element_at("__df", F.lit("")))
     )
     # Pairs without any query term cannot score; they only count in __n.
     return base.filter(F.size("__words") > 0).join(stats, [*keys, _SEG])
@@ -401,11 +401,7 @@ def _edge_map(edges: Edges) -> Column:
 
 
 def anchored_edges(edges: Edges) -> Column:
-    """Edges of the row's tag as ``array<struct<topic, score, tier, relation>>``."""
-    found = F.coalesce(
-        F.element_at(_edge_map(edges), F.col("tag")),
-        F.slice(F.element_at(F.map_values(_edge_map(edges)), 1), 1, 0),
-    )
+    """Edges of the row's tag as ``array<struct<topic, score, tier, relation>>``; null without."""
 
     def place(e: Column) -> Column:
         context = e["topic"] == K.CROSS_CUTTING
@@ -417,7 +413,7 @@ def anchored_edges(edges: Edges) -> Column:
             F.when(context, "context").otherwise(e["relation"]).alias("relation"),
         )
 
-    return F.transform(found, place)
+    return F.transform(F.element_at(_edge_map(edges), F.col("tag")), place)
 
 
 def tag_anchored(pairs: DataFrame, edges: Edges) -> DataFrame:
@@ -474,57 +470,35 @@ def retrieve_topics(
     """
     topics = list(queries)
     columns = ["session_id", "turn_id", "turn_idx"]
-    anchors = F.filter(anchored_edges(edges), lambda e: e["topic"].isin(topics))
-    # One row per (turn, topic): the strongest edge, the earliest among equals.
+    tagged = pairs.withColumn("__edges", anchored_edges(edges))
+    own = F.filter("__edges", lambda e: e["topic"].isin(topics))
+    # Of several edges to one topic the strongest counts, the earliest among equals.
     anchored = (
-        pairs.filter(F.col("tag").isNotNull())
-        .select(
-            *columns,
-            F.explode(
-                F.transform(
-                    F.filter(
-                        F.transform(
-                            F.lit(topics),
-                            lambda t: F.filter(anchors, lambda e: e["topic"] == t),
-                        ),
-                        lambda found: F.size(found) > 0,
-                    ),
-                    lambda found: F.reduce(
-                        found,
-                        found[0],
-                        lambda best, e: F.when(e["score"] > best["score"], e).otherwise(best),
-                    ),
-                )
-            ).alias("e"),
-        )
+        tagged.select(*columns, F.posexplode(own).alias("edge_pos", "e"))
+        .groupBy(*columns, "e.topic")
+        .agg(F.max_by("e", F.struct("e.score", -F.col("edge_pos"))).alias("e"))
         .select(*columns, "e.*")
         .withColumns({"grp": F.lit(0), "matched": F.lit([]).cast("array<string>")})
     )
-    stated = _with_stats(pairs, _all_terms(queries), segment_rows)
-    own = F.transform(anchors, lambda e: e["topic"])
+    stated = _with_stats(tagged, _all_terms(queries), segment_rows)
+    taken = F.coalesce(
+        F.exists("__edges", lambda e: e["topic"] == F.col("topic")), F.lit(False)
+    )
     lexical = (
-        _scored_topics(stated.withColumn("__own", own), queries, 0.5)
-        .filter(~F.array_contains("__own", F.col("topic")))
+        _scored_topics(stated, queries, 0.5)
+        .filter(~taken)
         .withColumns({"grp": F.lit(1), "tier": F.lit("lexical"), "relation": F.lit("probe")})
     )
     shape = [*columns, "topic", "grp", "score", "tier", "relation", "matched"]
-    specific = top_k(
-        anchored.select(*shape).unionByName(lexical.select(*shape)),
-        ["session_id", "topic"],
-        [F.col("grp"), -F.col("score"), F.col("turn_id")],
-        limit,
-    )
-    is_context = F.exists(anchored_edges(edges), lambda e: e["topic"] == K.CROSS_CUTTING)
-    context = top_k(
-        pairs.filter(F.col("tag").isNotNull()).filter(is_context).select(*columns),
-        ["session_id"],
-        [F.col("turn_idx")],
-        context_limit,
-    )
-    found = specific.filter("rank = 1").select("session_id", "topic")
-    fallback = (
-        context.withColumn("topic", F.explode(F.lit(topics)))
-        .join(found, ["session_id", "topic"], "left_anti")
+    is_context = F.exists("__edges", lambda e: e["topic"] == K.CROSS_CUTTING)
+    context = (
+        top_k(
+            tagged.filter(is_context).select(*columns),
+            ["session_id"],
+            [F.col("turn_idx")],
+            context_limit,
+        )
+        .withColumn("topic", F.explode(F.lit(topics)))
         .withColumns(
             {
                 "grp": F.lit(2),
@@ -535,7 +509,25 @@ def retrieve_topics(
             }
         )
     )
-    return specific.select(*shape, "rank").unionByName(fallback.select(*shape, "rank")).drop("grp")
+    ranked = top_k(
+        anchored.select(*shape).unionByName(lexical.select(*shape)).unionByName(context.select(*shape)),
+        ["session_id", "topic"],
+        [
+            F.col("grp"),
+            -F.col("score"),
+            F.when(F.col("grp") == 2, F.col("turn_idx")).otherwise(0),
+            F.col("turn_id"),
+        ],
+        max(limit, context_limit),
+    )
+    # Context stays only where the topic has nothing of its own.
+    strongest = F.min("grp").over(W.partitionBy("session_id", "topic"))
+    return (
+        ranked.withColumn("__best", strongest)
+        .filter((F.col("grp") == F.col("__best")) | (F.col("grp") < 2))
+        .filter(F.col("rank") <= F.when(F.col("grp") == 2, context_limit).otherwise(limit))
+        .drop("__best", "grp")
+    )
 
 
 def expand(state: DataFrame, pairs: DataFrame, requests: DataFrame, limit: int = 8) -> DataFrame:

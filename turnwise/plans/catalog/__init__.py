@@ -1,6 +1,10 @@
 """All registered queries."""
 
-from . import retrieval_queries, turn_queries  # noqa: F401
+from . import (  # noqa: F401
+    evaluation_queries,
+    retrieval_queries,
+    turn_queries,
+)
 from .base import RUNS, SQL
 
 __all__ = ["RUNS", "SQL"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -58,3 +59,23 @@ def squash_sql(x: str) -> str:
 
 def strings(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double so that the last bits of a sum do not matter."""
+    return df.select(
+        *(
+            (F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
+            for c, t in df.dtypes
+        )
+    )
+
+
+def rounded_sql(sql: str, columns: dict[str, bool], digits: int = 6) -> str:
+    """``sql`` with the columns marked true rounded in the same way."""
+    listed = ", ".join(
+        f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" if double else c
+        for c, double in columns.items()
+    )
+    cte, _, body = sql.rpartition("--main")
+    return f"{cte} SELECT {listed} FROM ({body})"

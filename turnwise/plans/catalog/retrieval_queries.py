@@ -15,6 +15,7 @@ from .turn_queries import (
     TAG_TOPIC,
     TURNS,
     mixed_pairs,
+    stored_pairs,
 )
 
 TOPICS = ["sleep", "mood", "energy", "focus"]
@@ -115,7 +116,7 @@ everyone AS (SELECT DISTINCT session_id, topic FROM pairs, topics)"""
 
 
 def retrieved(spark, folder):
-    return R.retrieve_topics(mixed_pairs(spark, folder), EDGES, QUERIES)
+    return R.retrieve_topics(stored_pairs(spark, folder), EDGES, QUERIES)
 
 
 def shown(df):
@@ -132,7 +133,7 @@ def shown(df):
 
 
 NEGATED_PART = (
-    "regexp_matches(array_to_string(parts[1:i], keyword), "
+    "regexp_matches(replace(array_to_string(parts[1:i], chr(1)), chr(1), keyword), "
     + "'(?:{cues})\\S*(?:\\s+\\S+){{0,{gap}}}\\s*$')".format(
         cues="|".join(c.replace("'", "''") for c in K.NEGATION_CUES), gap=K.NEGATION_WINDOW - 1
     )
@@ -246,7 +247,7 @@ def doc_freq(spark, folder):
         QUALIFY row_number() OVER (PARTITION BY session_id, topic ORDER BY score DESC, turn_id) <= 3""",
 )
 def search_pairs(spark, folder):
-    return shown(R.search_pairs(mixed_pairs(spark, folder), QUERIES, 3))
+    return shown(R.search_pairs(stored_pairs(spark, folder), QUERIES, 3))
 
 
 @query(
@@ -280,7 +281,7 @@ def tag_anchored(spark, folder):
         SELECT * FROM o WHERE rank <= 4""",
 )
 def merge_retrieved(spark, folder):
-    pairs = mixed_pairs(spark, folder)
+    pairs = stored_pairs(spark, folder)
     parts = [
         R.search_pairs(pairs, q, 3).withColumnRenamed("rank", "pos").withColumn("grp", F.lit(i))
         for i, q in enumerate((QUERIES, NEW_QUERIES))
@@ -308,7 +309,7 @@ TIERS_SQL = f"""{RETRIEVED_CTE}, tiers AS (SELECT e.session_id, e.topic,
 
 @query("overall_tier", f"WITH {TIERS_SQL} SELECT * FROM tiers")
 def overall_tier(spark, folder):
-    pairs = mixed_pairs(spark, folder)
+    pairs = stored_pairs(spark, folder)
     return R.overall_tier(R.retrieve_topics(pairs, EDGES, QUERIES), pairs, list(QUERIES))
 
 
@@ -328,7 +329,7 @@ grown AS (SELECT *, row_number() OVER (PARTITION BY session_id, topic ORDER BY g
         tier, relation, matched FROM grown WHERE rank <= 8""",
 )
 def expand(spark, folder):
-    pairs = mixed_pairs(spark, folder)
+    pairs = stored_pairs(spark, folder)
     state = R.retrieve_topics(pairs, EDGES, QUERIES)
     asked = F.array(
         *(F.struct(F.lit(t).alias("topic"), F.lit(q).alias("queries")) for t, q in NEW_QUERIES.items())
@@ -366,7 +367,7 @@ def _block_sql(relation: str) -> str:
         FROM everyone e LEFT JOIN b ON b.session_id = e.session_id AND b.topic = e.topic""",
 )
 def render_evidence(spark, folder):
-    pairs = mixed_pairs(spark, folder)
+    pairs = stored_pairs(spark, folder)
     found = R.retrieve_topics(pairs, EDGES, QUERIES)
     return R.render_evidence(found, pairs, pairs, list(QUERIES))
 

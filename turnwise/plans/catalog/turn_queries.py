@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ...functions import constants as K
 from ...functions.text import mentions_frequency as mentions_frequency_expr
 from ...operators import turns as T
+from ...session import cut_lineage
 from .base import View, query, strings, strip_sql
 
 TURNS = View(
@@ -77,6 +78,11 @@ def mixed_pairs(spark, folder):
     return T.pair_turns(MIXED.load(spark, folder), "answer")
 
 
+def stored_pairs(spark, folder):
+    """The pairs as a table, for plans that read them several times."""
+    return cut_lineage(mixed_pairs(spark, folder), "pairs")
+
+
 @query(
     "number_turns",
     """SELECT conv_id AS session_id, role,
