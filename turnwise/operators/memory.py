@@ -184,6 +184,11 @@ def counterfactual(score: Column, sufficient: Column) -> Column:
     )
 
 
+def _mean3(c: str) -> Column:
+    """Mean to three places, rounded as a decimal so that ties do not depend on bits."""
+    return F.round(F.avg(c).cast("decimal(20,9)"), 3).cast("double")
+
+
 def criterion_map(item_results: DataFrame, evidence: DataFrame) -> DataFrame:
     """Status, confidence and contradictions of every (session, topic).
 
@@ -192,7 +197,7 @@ def criterion_map(item_results: DataFrame, evidence: DataFrame) -> DataFrame:
     so that no group has to be gathered into a list.
     """
     support = evidence.groupBy("session_id", "topic").agg(
-        F.count("*").alias("records"), F.round(F.avg("confidence"), 3).alias("confidence")
+        F.count("*").alias("records"), _mean3("confidence").alias("confidence")
     )
     status = (
         F.when(F.col("abstained"), "unresolved")

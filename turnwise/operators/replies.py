@@ -14,6 +14,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import constants as K
 from ..functions import text as T
@@ -53,28 +54,40 @@ def clean_replies(replies: DataFrame) -> DataFrame:
     )
 
 
-_PIECES = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.DOTALL)
+def _span_finder():
+    """The span function; made inside a function so that tasks get it by value."""
+    pieces = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.DOTALL)
+
+    def spans(text: str | None) -> list[str]:
+        found, depth, start = [], 0, 0
+        for piece in pieces.finditer(text or ""):
+            mark = piece.group()
+            if mark == "{":
+                if depth == 0:
+                    start = piece.start()
+                depth += 1
+            elif mark == "}" and depth:
+                depth -= 1
+                if depth == 0:
+                    found.append(text[start : piece.end()])
+        return found
 
-
-def balanced_spans(text: str | None) -> list[str]:
-    """Top-level ``{...}`` spans of a text; braces inside strings do not count."""
-    spans, depth, start = [], 0, 0
-    for piece in _PIECES.finditer(text or ""):
-        mark = piece.group()
-        if mark == "{":
-            if depth == 0:
-                start = piece.start()
-            depth += 1
-        elif mark == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                spans.append(text[start : piece.end()])
     return spans
 
 
-@F.pandas_udf("array<string>")
-def json_objects(texts: pd.Series) -> pd.Series:
-    return texts.map(balanced_spans)
+def _spans_of_batch():
+    spans = _span_finder()
+
+    def batch(texts: pd.Series) -> pd.Series:
+        return texts.map(spans)
+
+    return batch
+
+
+#: Top-level ``{...}`` spans of a text; braces inside strings do not count.
+balanced_spans = _span_finder()
+
+json_objects = F.pandas_udf(_spans_of_batch(), ArrayType(StringType()))
 
 
 def with_objects(replies: DataFrame) -> DataFrame:

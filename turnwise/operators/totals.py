@@ -9,7 +9,8 @@ from ..functions import constants as K
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Clamp to a range; null stays null (``greatest`` alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def impute(items: DataFrame, fits: DataFrame) -> DataFrame:

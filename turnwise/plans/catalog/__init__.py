@@ -2,6 +2,8 @@
 
 from . import (  # noqa: F401
     evaluation_queries,
+    memory_queries,
+    reply_queries,
     retrieval_queries,
     turn_queries,
 )
