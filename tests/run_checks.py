@@ -23,6 +23,6 @@ for name, run in RUNS.items():
         else:
             problem = f"(rows only: {df.count()})"
     except Exception as e:  # report and go on
-        problem = f"{type(e).__name__}: {str(e)[:1500]}"
+        problem = f"{type(e).__name__}: {str(e)[:500]}"
     n = "" if problem else "ok"
     print(f"{name:32s} {time.time() - start:6.1f}s {n}{problem or ''}"[:2200], flush=True)

@@ -182,3 +182,31 @@ LIFECYCLE_MOVES = [
     ("promoted", "quarantined"),
     ("promoted", "retired"),
 ]
+
+DECISION_ROLES = ["interviewer", "evaluator", "scorer", "updater"]
+
+SCORE_REVISING_ROLES = ["updater"]
+
+# --- fixed values: files ---------------------------------------------------------
+
+SPEAKERS = ["Ellie", "Participant"]
+
+MISSING_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+    "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+ITEM_COLUMNS = [
+    "PHQ8_NoInterest",
+    "PHQ8_Depressed",
+    "PHQ8_Sleep",
+    "PHQ8_Tired",
+    "PHQ8_Appetite",
+    "PHQ8_Failure",
+    "PHQ8_Concentrating",
+    "PHQ8_Moving",
+]
+
+ID_COLUMNS = ["Participant_ID", "participant_ID"]
+
+LABEL_ALIASES = {"PHQ_Score": "PHQ8_Score", "PHQ_Binary": "PHQ8_Binary"}

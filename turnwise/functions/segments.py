@@ -28,7 +28,7 @@ def position_segment(position: str, rows: int = SEGMENT_ROWS) -> Column:
 
 def time_segment(ts: str, seconds: int = 86_400) -> Column:
     """Segment number for keys ordered by a timestamp."""
-    return F.floor(F.unix_seconds(F.col(ts)) / F.lit(seconds))
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(seconds))
 
 
 def scan(

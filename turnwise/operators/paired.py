@@ -236,7 +236,7 @@ def ablation_violations(arms: DataFrame, outcomes: DataFrame) -> DataFrame:
         "left",
     )
     foreign = shared.groupBy("arm_id").agg(
-        F.count_if(F.col("in_ref").isNull()).alias("foreign"), F.count_if("in_ref = 1").alias("common")
+        F.count_if(F.col("in_ref").isNull()).alias("foreign"), F.count("in_ref").alias("common")
     )
     ref_seeds = arms.filter(F.col("ablated_component").isNull()).agg(
         F.count_distinct("seed").alias("n")
