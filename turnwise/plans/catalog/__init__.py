@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     memory_queries,
     mining_queries,
     reply_queries,
+    pass_queries,
     retrieval_queries,
     source_queries,
     turn_queries,

@@ -68,9 +68,7 @@ def scan_transcripts(
         F.regexp_replace("value", "^﻿", "").alias("value"),
     )
     place = F.struct("block", "line")
-    heads = lines.groupBy("session_id").agg(
-        F.min_by("value", place).alias("header"), F.min(place).alias("first")
-    )
+    heads = lines.groupBy("session_id").agg(F.min_by("value", place).alias("header"))
     heads = heads.withColumn("sep", _delimiter(F.col("header")))
     names = F.transform(_cells(F.col("header"), F.col("sep")), strip)
 
@@ -83,15 +81,14 @@ def scan_transcripts(
 
     heads = heads.select(
         "session_id",
-        "first",
         "sep",
         at("speaker", True).alias("i_speaker"),
         at("value", True).alias("i_value"),
         at("start_time").alias("i_start"),
         at("stop_time").alias("i_stop"),
     )
-    body = lines.join(heads, "session_id").filter(place > F.col("first"))
-    cells = body.withColumn("cells", _cells(F.col("value"), F.col("sep")))
+    # The header line itself names no speaker, so the filter below removes it.
+    cells = lines.join(heads, "session_id").withColumn("cells", _cells(F.col("value"), F.col("sep")))
 
     def cell(index: str) -> Column:
         return F.element_at("cells", F.col(index))
