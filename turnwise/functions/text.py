@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ from . import constants as K
 _TAGGED = r"(?s)^([A-Za-z0-9_]+)\s*\((.*)\)$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    An expression captured by a lambda is otherwise evaluated for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Remove Unicode white space at both ends (``trim`` removes spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -60,15 +70,29 @@ def negated_before(prefix: Column) -> Column:
 
 def plain_occurrence(text: Column, keyword: Column) -> Column:
     """``keyword`` occurs in ``text`` at least once without a negation before it."""
-    parts = F.split(text, F.concat(F.lit(r"\Q"), keyword, F.lit(r"\E")), -1)
 
-    def before(i: Column) -> Column:
-        return F.call_function("array_join", F.slice(parts, F.lit(1), i), keyword)
+    def some_plain(parts: Column) -> Column:
+        def before(i: Column) -> Column:
+            return F.call_function("array_join", F.slice(parts, F.lit(1), i), keyword)
 
-    occurrences = F.sequence(F.lit(1), F.size(parts) - 1)
-    return F.contains(text, keyword) & F.exists(
-        occurrences, lambda i: ~negated_before(before(i))
-    )
+        occurrences = F.sequence(F.lit(1), F.size(parts) - 1)
+        return F.exists(occurrences, lambda i: ~negated_before(before(i)))
+
+    pattern = F.concat(F.lit(r"\Q"), keyword, F.lit(r"\E"))
+    return F.when(F.contains(text, keyword), let(F.split(text, pattern, -1), some_plain)).otherwise(False)
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """Runs of ``n`` consecutive words, joined by spaces; shifted copies are zipped."""
+
+    def runs(w: Column) -> Column:
+        count = F.size(w) - (n - 1)
+        shifted = F.arrays_zip(
+            *(F.slice(w, F.lit(k + 1), F.greatest(count, F.lit(0))).alias(f"w{k}") for k in range(n))
+        )
+        return F.transform(shifted, lambda z: F.concat_ws(" ", *(z[f"w{k}"] for k in range(n))))
+
+    return let(words, runs)
 
 
 def mentions_frequency(c: Column) -> Column:

@@ -25,21 +25,26 @@ def _words(normal: Column) -> Column:
 
 
 def _run_found(words: Column, evidence: Column, run: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size(words) - (run - 1))
-    return (F.size(words) >= run) & F.exists(
-        F.when(F.size(words) >= run, starts),
-        lambda i: F.contains(evidence, F.array_join(F.slice(words, i, F.lit(run)), " ")),
-    )
+    return F.exists(T.ngrams(words, run), lambda g: F.contains(evidence, g))
 
 
 def quote_grounded(quote: Column, evidence: Column, run: int = 5) -> Column:
     """The quote, or a run of its words, occurs in the evidence; white space aside."""
-    q, e = T.squash(F.lower(quote)), T.squash(F.lower(evidence))
-    return (
-        F.when(q == "", False)
-        .when(F.contains(e, q), True)
-        .otherwise(F.coalesce(_run_found(_words(q), e, run), F.lit(False)))
-    )
+
+    def decide(qe: Column) -> Column:
+        q, e = qe["q"], qe["e"]
+        return (
+            F.when(q == "", False)
+            .when(F.contains(e, q), True)
+            .otherwise(F.coalesce(_run_found(_words(q), e, run), F.lit(False)))
+        )
+
+    normal = F.struct(T.squash(F.lower(quote)).alias("q"), T.squash(F.lower(evidence)).alias("e"))
+    return T.let(normal, decide)
+
+
+#: Rows of a key table that may be broadcast.
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def ground_quotes(quotes: DataFrame, documents: DataFrame, run: int = 5, head: int = 8) -> DataFrame:
@@ -54,33 +59,26 @@ def ground_quotes(quotes: DataFrame, documents: DataFrame, run: int = 5, head: i
     d = documents.select("doc_id", T.squash(F.lower("text")).alias("e"))
     inner = run - 2
 
-    def inner_keys(tokens: Column) -> Column:
-        return F.transform(
-            F.when(F.size(tokens) >= run, F.sequence(F.lit(2), F.size(tokens) - (run - 2))),
-            lambda i: F.array_join(F.slice(tokens, i, F.lit(inner)), " "),
-        )
+    def inner_keys(words: Column) -> Column:
+        """Words 2 to ``run - 1`` of every run of ``run`` words."""
+        return T.let(T.ngrams(words, inner), lambda g: F.slice(g, F.lit(2), F.greatest(F.size(g) - 2, F.lit(0))))
 
     spaced = F.split("q", " ")
     long = q.filter(F.size(spaced) >= run)
-    none = F.lit([]).cast("array<string>")
     q_keys = long.select(
         "quote_id",
         F.explode(
             F.array_distinct(
-                F.concat(
-                    F.coalesce(inner_keys(_words(F.col("q"))), none),
-                    F.slice(F.coalesce(inner_keys(spaced), none), 1, 1),
-                )
+                F.concat(inner_keys(_words(F.col("q"))), F.slice(inner_keys(spaced), 1, 1))
             )
         ).alias("key"),
-    )
-    tokens = F.split("e", " ")
-    shingles = F.transform(
-        F.when(F.size(tokens) >= inner, F.sequence(F.lit(1), F.size(tokens) - (inner - 1))),
-        lambda i: F.array_join(F.slice(tokens, i, F.lit(inner)), " "),
-    )
-    d_keys = d.select("doc_id", F.explode(F.array_distinct(shingles)).alias("key"))
-    # Keys that no quote has are dropped before documents are shuffled by them.
+    ).select("quote_id", F.xxhash64("key").alias("key"))
+    if q_keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+        # Then documents are not shuffled by their keys at all; otherwise Spark joins by hash.
+        q_keys = F.broadcast(q_keys)
+    d_keys = d.select(
+        "doc_id", F.explode(F.array_distinct(T.ngrams(F.split("e", " "), inner))).alias("key")
+    ).select("doc_id", F.xxhash64("key").alias("key"))
     proposed = d_keys.join(q_keys, "key").select("quote_id", "doc_id")
 
     short = q.filter(F.size(spaced) < run)

@@ -31,21 +31,24 @@ _SEG = "__seg"
 
 def keyword_counts(text: Column, lexicon: Queries) -> Column:
     """``array<struct<topic, hits>>`` of keywords occurring unnegated, by topic."""
-    lowered = F.lower(text)
-    return F.array(
-        *(
-            F.struct(
-                F.lit(topic).alias("topic"),
-                F.size(
-                    F.filter(
-                        F.lit([w.lower() for w in words]),
-                        lambda w: T.plain_occurrence(lowered, w),
-                    )
-                ).alias("hits"),
+
+    def counts(lowered: Column) -> Column:
+        return F.array(
+            *(
+                F.struct(
+                    F.lit(topic).alias("topic"),
+                    F.size(
+                        F.filter(
+                            F.lit([w.lower() for w in words]),
+                            lambda w: T.plain_occurrence(lowered, w),
+                        )
+                    ).alias("hits"),
+                )
+                for topic, words in lexicon.items()
             )
-            for topic, words in lexicon.items()
         )
-    )
+
+    return T.let(F.lower(text), counts)
 
 
 def keyword_hits(turns: DataFrame, lexicon: Queries) -> DataFrame:

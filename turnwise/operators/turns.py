@@ -214,8 +214,9 @@ def lexicon_hits(
             for k in words
         )
     )
-    lowered = F.lower("text")
-    found = F.filter(entries, lambda e: F.contains(lowered, e["keyword"]))
+    found = T.let(
+        F.lower("text"), lambda low: F.filter(entries, lambda e: F.contains(low, e["keyword"]))
+    )
     return (
         turns.filter(F.col("role") == participant_role)
         .select("session_id", "turn_idx", "text", F.explode(found).alias("e"))

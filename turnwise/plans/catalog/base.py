@@ -79,3 +79,9 @@ def rounded_sql(sql: str, columns: dict[str, bool], digits: int = 6) -> str:
     )
     cte, _, body = sql.rpartition("--main")
     return f"{cte} SELECT {listed} FROM ({body})"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input in few file splits to all cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

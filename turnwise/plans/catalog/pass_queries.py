@@ -12,7 +12,7 @@ from ...session import shared_folder
 from ...streaming import streams
 from .. import assessment
 from .ablation_queries import USAGE, USAGE_SQL
-from .base import query, table
+from .base import query, spread, table
 from .memory_queries import EVIDENCE_CTE, evidence
 from .retrieval_queries import EDGES, QUERIES
 from .turn_queries import MIXED, PAIRS_CTE, stored_pairs
@@ -78,7 +78,7 @@ def near_duplicates(spark, folder):
         F.col("doc_id").alias("row_id"), F.col("lang").alias("role"), F.col("source").alias("scope"),
         F.col("doc_id").alias("ord"), "text",
     )
-    return similarity.near_duplicates(d, 0.8)
+    return similarity.near_duplicates(spread(d), 0.8)
 
 
 # --- streams ---------------------------------------------------------------------------

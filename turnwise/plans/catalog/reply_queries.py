@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import constants as K
 from ...operators import grounding as G
 from ...operators import replies as D
-from .base import View, query, squash_sql, strip_sql, table
+from .base import View, query, spread, squash_sql, strip_sql, table
 
 N = "CAST(event_id % 5 AS STRING)"
 ID = "CAST(event_id % 97 AS STRING)"
@@ -466,7 +466,8 @@ _RUN_SQL = (
 )
 def ground_quotes(spark, folder):
     quotes = table(spark, folder, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
-    return G.ground_quotes(quotes, table(spark, folder, "documents").select("doc_id", "text"))
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return G.ground_quotes(quotes, documents)
 
 
 @query(
