@@ -165,7 +165,7 @@ def participant_text(
     )
     begins = F.col("reach") - F.length("text") - 1
     return (
-        measured.filter(begins < max_chars)
+        measured.filter(begins <= max_chars)
         .groupBy("session_id")
         .agg(F.array_sort(F.collect_list(F.struct("turn_idx", "text"))).alias("parts"))
         .select(
