@@ -1,8 +1,8 @@
 """Versioned lesson tables: append, transition, merge, retrieve and audit.
 
 ``versions`` is append-only: ``(lesson_id, version, position, role, scope, trigger, do,
-avoid, criterion, lifecycle, source_contrast_ids, validation_result_ids, merged_from)``;
-``position`` is the order in which a lesson first arrived.
+avoid, criterion, lifecycle, merged)``; ``position`` is the order in which a lesson first
+arrived. What a lesson cites is a table of links, one row per value.
 """
 
 from __future__ import annotations
@@ -87,31 +87,17 @@ def lesson_transition(current: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def merge_lessons(current: DataFrame, groups: DataFrame) -> DataFrame:
-    """Fold duplicates into their primary; returns the new versions of both.
+def mergeable_groups(current: DataFrame, groups: DataFrame) -> DataFrame:
+    """Primaries of groups that may be merged.
 
-    ``groups`` is ``(primary_id, lesson_id, ord)``, the primary itself at ``ord`` 0. A group
-    is refused (no rows) when a member is missing, not mergeable or of another role or
+    ``groups`` is ``(primary_id, lesson_id, ord)``, the primary itself at ``ord`` 0. A group is
+    refused when a member is missing, not validated or promoted, or of another role or
     scope.
     """
-    members = groups.join(current, "lesson_id", "left")
-    lists = ["source_contrast_ids", "validation_result_ids", "merged_from"]
-
-    def union(name: str) -> Column:
-        ordered = F.array_sort(F.collect_list(F.struct("ord", F.col(name).alias("v"))))
-        return F.array_distinct(F.flatten(F.transform(ordered, lambda s: s["v"])))
-
-    folded = F.array_sort(F.collect_list(F.when(F.col("ord") > 0, F.struct("ord", "lesson_id"))))
-    per_group = (
-        members.groupBy("primary_id")
+    return (
+        groups.join(current.select("lesson_id", "lifecycle", "role", "scope"), "lesson_id", "left")
+        .groupBy("primary_id")
         .agg(
-            *(union(n).alias(n) for n in lists[:2]),
-            F.array_distinct(
-                F.concat(
-                    F.max_by("merged_from", -F.col("ord")),
-                    F.transform(folded, lambda s: s["lesson_id"]),
-                )
-            ).alias("merged_from"),
             F.bool_and(F.coalesce(F.col("lifecycle").isin(MERGEABLE), F.lit(False))).alias("fine"),
             F.min("role").alias("r1"),
             F.max("role").alias("r2"),
@@ -120,23 +106,46 @@ def merge_lessons(current: DataFrame, groups: DataFrame) -> DataFrame:
             F.count("*").alias("n"),
         )
         .filter("fine AND r1 = r2 AND s1 = s2 AND n > 1")
-        .select("primary_id", *lists)
+        .select("primary_id")
     )
-    kept = [c for c in current.columns if c not in (*lists, "version", "lifecycle")]
-    primary = (
-        current.drop(*lists)
-        .join(per_group.withColumnRenamed("primary_id", "lesson_id"), "lesson_id")
+
+
+def merge_lessons(current: DataFrame, groups: DataFrame) -> DataFrame:
+    """Next versions of a merge: primaries keep their lifecycle, duplicates retire."""
+    members = groups.join(mergeable_groups(current, groups), "primary_id", "left_semi")
+    lifecycle = F.when(F.col("ord") > 0, "retired").otherwise(F.col("lifecycle"))
+    return (
+        current.join(members, "lesson_id")
+        .withColumn("lifecycle", lifecycle)
         .withColumn("version", F.col("version") + 1)
-        .select(*kept, "version", "lifecycle", *lists)
+        .withColumn("merged_into", F.when(F.col("ord") > 0, F.col("primary_id")))
+        .drop("primary_id", "ord")
     )
-    retired = (
-        members.filter("ord > 0")
-        .join(per_group.select("primary_id"), "primary_id", "left_semi")
-        .withColumn("version", F.col("version") + 1)
-        .withColumn("lifecycle", F.lit("retired"))
-        .select(*kept, "version", "lifecycle", *lists)
+
+
+def merge_links(current: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
+    """What merged primaries cite: the ordered union of their members' links.
+
+    ``links`` is ``(lesson_id, kind, pos, value)`` with the sources, validation results and
+    folded ids of a lesson; folded duplicates are added as ``merged_from``. One row per
+    value, its first place as ``(ord, pos)``: a group of copies of any size stays rows.
+    """
+    members = groups.join(mergeable_groups(current, groups), "primary_id", "left_semi")
+    cited = members.join(links, "lesson_id").filter((F.col("kind") != "merged_from") | (F.col("ord") == 0))
+    folded = members.filter("ord > 0").select(
+        "primary_id",
+        F.lit("merged_from").alias("kind"),
+        "ord",
+        F.lit(0).cast("long").alias("pos"),
+        F.col("lesson_id").alias("value"),
+    )
+    rows = cited.select("primary_id", "kind", "ord", F.col("pos").cast("long").alias("pos"), "value")
+    return (
+        rows.unionByName(folded)
+        .groupBy(F.col("primary_id").alias("lesson_id"), "kind", "value")
+        .agg(F.min(F.struct("ord", "pos")).alias("place"))
+        .select("lesson_id", "kind", "value", "place.ord", "place.pos")
     )
-    return primary.unionByName(retired)
 
 
 def rule_text() -> Column:

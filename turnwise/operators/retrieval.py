@@ -8,6 +8,7 @@ and they are limited to tokens that occur in a query.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
@@ -224,31 +225,54 @@ def _prepared(queries: Column) -> Column:
     return F.filter(made, lambda p: F.size(p["terms"]) > 0)
 
 
+def _query_terms(query: str) -> list[str]:
+    """Distinct tokens of a settings query; the same rule as ``text.terms``."""
+    words = re.findall(r"[a-z']{3,}", query.lower())
+    return list(dict.fromkeys(w for w in words if w not in K.STOPWORDS))
+
+
+def _prepared_literal(queries: Sequence[str]) -> Column:
+    """``_prepared`` of settings queries as a literal, so that no row tokenizes them again."""
+    made = [
+        F.struct(F.lit(_query_terms(q)).alias("terms"), F.lit(" ".join(q.lower().split())).alias("phrase"))
+        for q in queries
+        if _query_terms(q)
+    ]
+    empty = F.struct(
+        F.lit([]).cast("array<string>").alias("terms"), F.lit("").alias("phrase")
+    )
+    return F.array(*made) if made else F.slice(F.array(empty), 1, 0)
+
+
 def _score(text: Column, words: Column, prepared: Column, n: Column, df: Column) -> Column:
     """Best query score and the union of matched terms for one pair."""
 
     def one(p: Column) -> Column:
-        overlap = F.array_intersect(words, p["terms"])
-        weight = F.aggregate(
-            overlap,
-            F.lit(0.0),
-            lambda acc, t: acc + F.log(1.0 + n / (1.0 + F.element_at(df, t))),
-        )
-        coverage = F.size(overlap) / F.size(p["terms"])
-        bonus = F.when(F.contains(text, p["phrase"]), 1.75).otherwise(1.0)
-        return F.struct(
-            F.when(F.size(overlap) > 0, weight * (0.5 + 0.5 * coverage) * bonus)
-            .otherwise(0.0)
-            .alias("score"),
-            overlap.alias("overlap"),
+        def with_overlap(overlap: Column) -> Column:
+            weight = F.aggregate(
+                overlap,
+                F.lit(0.0),
+                lambda acc, t: acc + F.log(1.0 + n / (1.0 + F.element_at(df, t))),
+            )
+            coverage = F.size(overlap) / F.size(p["terms"])
+            bonus = F.when(F.contains(text, p["phrase"]), 1.75).otherwise(1.0)
+            return F.struct(
+                F.when(F.size(overlap) > 0, weight * (0.5 + 0.5 * coverage) * bonus)
+                .otherwise(0.0)
+                .alias("score"),
+                overlap.alias("overlap"),
+            )
+
+        return T.let(F.array_intersect(words, p["terms"]), with_overlap)
+
+    def summary(scored: Column) -> Column:
+        best = F.array_max(F.transform(scored, lambda s: s["score"]))
+        matched = F.array_sort(
+            F.array_distinct(F.flatten(F.transform(scored, lambda s: s["overlap"])))
         )
+        return F.struct(F.round(best, 9).alias("score"), matched.alias("matched"))
 
-    scored = F.transform(prepared, one)
-    best = F.array_max(F.transform(scored, lambda s: s["score"]))
-    matched = F.array_sort(
-        F.array_distinct(F.flatten(F.transform(scored, lambda s: s["overlap"])))
-    )
-    return F.struct(F.round(best, 9).alias("score"), matched.alias("matched"))
+    return T.let(F.transform(prepared, one), summary)
 
 
 def _with_stats(
@@ -319,8 +343,8 @@ def search_pairs(
 
 
 def _all_terms(queries: Queries) -> Column:
-    every = [q for words in queries.values() for q in words]
-    return F.array_distinct(F.flatten(F.transform(F.lit(every), T.terms)))
+    every = [t for words in queries.values() for q in words for t in _query_terms(q)]
+    return F.lit(list(dict.fromkeys(every))).cast("array<string>")
 
 
 def _topic_scores(queries: Queries) -> Column:
@@ -331,7 +355,7 @@ def _topic_scores(queries: Queries) -> Column:
                 _score(
                     F.col("__text"),
                     F.col("__words"),
-                    _prepared(F.lit(list(words))),
+                    _prepared_literal(words),
                     F.col("__n"),
                     F.col("__df"),
                 ).alias("s"),

@@ -396,43 +396,48 @@ def lesson_transition(spark, folder):
     return lessons.lesson_transition(cur, wanted).select("lesson_id", "version", "lifecycle", "ok")
 
 
-@query(
-    "merge_lessons",
-    f"""WITH {CURRENT_CTE}, g AS (SELECT *, first_value(lesson_id) OVER w AS primary_id, row_number() OVER w - 1 AS ord
-          FROM cur WHERE lifecycle = 'promoted' WINDOW w AS (PARTITION BY role, scope ORDER BY position, lesson_id)),
-        s AS (SELECT primary_id, string_agg('s' || position % 5, ',' ORDER BY ord) AS s, string_agg(lesson_id, ',' ORDER BY ord)
-          FILTER (WHERE ord > 0) AS m, count(*) AS n FROM g GROUP BY 1)
-        SELECT lesson_id, version + 1 AS version, CASE WHEN ord = 0 THEN 'promoted' ELSE 'retired' END AS lifecycle,
-          CASE WHEN ord = 0 THEN m ELSE '' END AS merged_from,
-          CASE WHEN ord = 0 THEN len(list_distinct(string_split(s.s, ','))) ELSE 1 END AS sources
-        FROM g JOIN s ON s.primary_id = g.primary_id WHERE n > 1""",
-)
-def merge_lessons(spark, folder):
-    cur = current(spark, folder).filter("lifecycle = 'promoted'")
-    cur = cur.withColumns(
-        {
-            "source_contrast_ids": F.array(F.concat(F.lit("s"), (F.col("position") % 5).cast("string"))),
-            "validation_result_ids": F.array(F.col("lesson_id")),
-            "merged_from": F.lit([]).cast("array<string>"),
-        }
-    )
+MERGE_CTE = f"""{CURRENT_CTE}, g AS (SELECT *, first_value(lesson_id) OVER w AS primary_id, row_number() OVER w - 1 AS ord,
+  count(*) OVER (PARTITION BY role, scope) AS n FROM cur WHERE lifecycle = 'promoted'
+  WINDOW w AS (PARTITION BY role, scope ORDER BY position, lesson_id))"""
+
+
+def merge_groups(cur):
+    """Promoted lessons of a (role, scope) fold into the one that arrived first."""
     first = cur.groupBy("role", "scope").agg(
         F.min_by("lesson_id", F.struct("position", "lesson_id")).alias("primary_id")
     )
-    # (position, lesson_id) orders a group; the primary gets 0.
-    groups = cur.join(first, ["role", "scope"]).select(
+    return cur.join(first, ["role", "scope"]).select(
         "primary_id",
         "lesson_id",
         F.when(F.col("lesson_id") == F.col("primary_id"), 0).otherwise(F.col("position") + 1).alias("ord"),
     )
-    merged = lessons.merge_lessons(cur.drop("merged"), groups)
-    return merged.select(
-        "lesson_id",
-        "version",
-        "lifecycle",
-        F.array_join("merged_from", ",").alias("merged_from"),
-        F.size("source_contrast_ids").cast("long").alias("sources"),
+
+
+@query(
+    "merge_lessons",
+    f"""WITH {MERGE_CTE} SELECT lesson_id, version + 1 AS version, CASE WHEN ord = 0 THEN 'promoted' ELSE 'retired' END AS lifecycle,
+        CASE WHEN ord > 0 THEN primary_id END AS merged_into FROM g WHERE n > 1""",
+)
+def merge_lessons(spark, folder):
+    cur = current(spark, folder).filter("lifecycle = 'promoted'")
+    return lessons.merge_lessons(cur, merge_groups(cur)).select("lesson_id", "version", "lifecycle", "merged_into")
+
+
+@query(
+    "merge_links",
+    f"""WITH {MERGE_CTE}, l AS (SELECT primary_id AS lesson_id, 'source' AS kind, 's' || position % 5 AS value FROM g WHERE n > 1
+          UNION SELECT primary_id, 'validation', lesson_id FROM g WHERE n > 1
+          UNION SELECT primary_id, 'merged_from', lesson_id FROM g WHERE n > 1 AND ord > 0) SELECT * FROM l""",
+)
+def merge_links(spark, folder):
+    cur = current(spark, folder).filter("lifecycle = 'promoted'")
+    source = F.concat(F.lit("s"), (F.col("position") % 5).cast("string"))
+    links = cur.select(
+        "lesson_id", F.lit("source").alias("kind"), F.lit(0).alias("pos"), source.alias("value")
+    ).unionByName(
+        cur.select("lesson_id", F.lit("validation").alias("kind"), F.lit(0).alias("pos"), F.col("lesson_id").alias("value"))
     )
+    return lessons.merge_links(cur, links, merge_groups(cur)).select("lesson_id", "kind", "value")
 
 
 RETRIEVED_CTE = f"""{CURRENT_CTE}, ret AS (SELECT role, scope, row_number() OVER w AS rank, lesson_id,

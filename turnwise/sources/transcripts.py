@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import strip
+from ..functions.text import let, strip
 from ..operators.turns import turn_id
 
 #: Columns a transcript line may have.
@@ -42,7 +42,7 @@ def _cells(line: Column, delimiter: Column) -> Column:
 
     def parsed(sep: str) -> Column:
         row = F.from_csv(line, F.lit(schema), {"sep": sep, "mode": "PERMISSIVE"})
-        return F.array(*(row[f"c{i}"] for i in range(_WIDTH)))
+        return let(row, lambda r: F.array(*(r[f"c{i}"] for i in range(_WIDTH))))
 
     return F.when(delimiter == "\t", parsed("\t")).when(delimiter == ";", parsed(";")).otherwise(parsed(","))
 
