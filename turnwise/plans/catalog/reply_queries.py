@@ -353,7 +353,8 @@ OFFERED = {"turn-0": "context", "turn-1": "reverse", "turn-2": "probe", "turn-3"
           trim(json_extract_string(c, '$.quote')) AS quote,
           list_filter(CAST(json_extract(c, '$.turn_ids') AS VARCHAR[]),
             lambda t: t IN ('turn-0', 'turn-1', 'turn-2', 'turn-3')) AS ids,
-          coalesce(greatest(0.0, least(1.0, TRY_CAST(json_extract_string(c, '$.confidence') AS DOUBLE))), 0.5) AS confidence,
+          CASE WHEN TRY_CAST(json_extract_string(c, '$.confidence') AS DOUBLE) IS NULL THEN 0.5
+            ELSE greatest(0.0, least(1.0, TRY_CAST(json_extract_string(c, '$.confidence') AS DOUBLE))) END AS confidence,
           CASE WHEN json_extract_string(c, '$.frequency_basis') = 'stated_days' THEN 'stated_days' ELSE 'none' END
             AS frequency_basis FROM u)
         SELECT session_id, topic, round_index, polarity, quote, array_to_string(ids, ',') AS turn_ids,
