@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as X
-from turnwise.functions.segments import position_segment, scan
+from turnwise.functions.segments import position_segment, scan, time_segment
 from turnwise.operators import turns as T
 
 ROWS = [
@@ -124,3 +124,14 @@ def test_negation(spark):
     df = spark.createDataFrame(cases, "t string, want boolean")
     got = df.select("t", "want", X.plain_occurrence(F.col("t"), F.lit("sad")).alias("got")).collect()
     assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
+
+
+def test_time_segments_split_a_busy_key(spark):
+    df = spark.range(100).select(
+        F.when(F.col("id") < 90, 1).otherwise(2).alias("k"), F.timestamp_seconds(F.col("id") * 50).alias("ts"), "id"
+    )
+    segment = time_segment(df, ["k"], "ts", rows=10)
+    assert df.filter("k = 1").select(segment.alias("s")).distinct().count() >= 8
+    out = scan(df, ["k"], ["ts"], segment, index="i").collect()
+    assert all(r.i == (r.id if r.k == 1 else r.id - 90) for r in out)
+    assert df.select(time_segment(df, ["k"], "ts").alias("s")).distinct().count() == 1

@@ -3,8 +3,10 @@
 A window partitioned by a key puts the whole key into one task. Here each key is
 cut into segments along its order: a first window works inside each (key, segment),
 a one-row summary per segment carries counts, sums and last values forward, and the
-two are joined. Only keys that span several segments take part in the second step,
-so ordinary keys pay for one shuffle and hot keys are spread over many tasks.
+two are joined. Only keys that span several segments take part in the second step: they
+are found by a pre-aggregated pass over the key columns alone, and where there are none
+the summary stays empty. So ordinary keys pay for one shuffle of the data and hot keys
+are spread over many tasks.
 """
 
 from __future__ import annotations
@@ -26,9 +28,19 @@ def position_segment(position: str, rows: int = SEGMENT_ROWS) -> Column:
     return F.floor(F.col(position) / F.lit(rows))
 
 
-def time_segment(ts: str, seconds: int = 86_400) -> Column:
-    """Segment number for keys ordered by a timestamp."""
-    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(seconds))
+def time_segment(df: DataFrame, keys: Sequence[str], ts: str, rows: int = SEGMENT_ROWS) -> Column:
+    """Segment number for keys ordered by a timestamp, about ``rows`` rows of the largest key each.
+
+    Measures the largest key and the time span first, in one pre-aggregated pass.
+    """
+    second = F.unix_seconds(F.col(ts).cast("timestamp"))
+    per_key = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min(second).alias("lo"), F.max(second).alias("hi")
+    )
+    n, lo, hi = per_key.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
+    if not n or n <= rows:
+        return F.lit(0).cast("long")
+    return F.floor((second - lo) / F.lit(max(1, (hi - lo) * rows // n)))
 
 
 def scan(
@@ -48,7 +60,7 @@ def scan(
     ``index`` numbers the rows of a key from 0; ``sums`` are running sums including
     the row; ``lasts`` the last non-null value up to and including the row;
     ``lags``/``leads`` the value of the previous/next row. ``order`` must be total
-    within a key and ``segment`` must not decrease along it.
+    within a key and ``segment`` must not decrease along it; keys must not be null.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     lags, leads = dict(lags or {}), dict(leads or {})
@@ -56,9 +68,6 @@ def scan(
     base = df.withColumn(_SEG, segment)
     for name, c in {**sums, **lasts, **lags, **leads}.items():
         base = base.withColumn(f"__v_{name}", c)
-    # One exchange serves the window, the summary and the final join.
-    base = base.repartition(*keys, _SEG)
-
     local = W.partitionBy(*keys, _SEG).orderBy(*order)
     upto = local.rowsBetween(W.unboundedPreceding, W.currentRow)
     row = base.select(
@@ -71,7 +80,16 @@ def scan(
     )
 
     place = F.struct(*order)
-    summary = base.groupBy(*keys, _SEG).agg(
+    several = base
+    if keys:
+        wide = (
+            base.groupBy(*keys)
+            .agg(F.min(_SEG).alias("__lo"), F.max(_SEG).alias("__hi"))
+            .filter("__lo < __hi")
+            .select(*keys)
+        )
+        several = base.join(wide, keys, "left_semi")
+    several = several.groupBy(*keys, _SEG).agg(
         F.count("*").alias("__n"),
         *(F.sum(f"__v_{n}").alias(f"__v_{n}") for n in sums),
         *(
@@ -81,15 +99,6 @@ def scan(
         *(F.max_by(F.struct(F.col(f"__v_{n}").alias("v")), place).alias(f"__v_{n}") for n in lags),
         *(F.min_by(F.struct(F.col(f"__v_{n}").alias("v")), place).alias(f"__v_{n}") for n in leads),
     )
-    wide = (
-        summary.groupBy(*keys)
-        .agg(F.min(_SEG).alias("__lo"), F.max(_SEG).alias("__hi"))
-        .filter("__lo < __hi")
-        .select(*keys)
-        if keys
-        else None
-    )
-    several = _matching(summary, wide, keys) if keys else summary
     chain = W.partitionBy(*keys).orderBy(_SEG) if keys else W.orderBy(_SEG)
     prior = chain.rowsBetween(W.unboundedPreceding, -1)
     carry = several.select(
@@ -101,9 +110,11 @@ def scan(
         *(F.lag(f"__v_{n}").over(chain).alias(f"__c_{n}") for n in lags),
         *(F.lead(f"__v_{n}").over(chain).alias(f"__c_{n}") for n in leads),
     )
-    same = F.col(_SEG) == F.col("__k_segment")
+    # The rows are already partitioned by these columns, the carried values are few.
+    same = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        same = same & (F.col(k) == F.col(f"__k_{k}"))
+    same = same & (F.col(_SEG) == F.col("__k_segment"))
     joined = row.join(carry, same, "left")
 
     zero = F.lit(0)
@@ -124,14 +135,6 @@ def scan(
     return joined.select(*kept, *(c.alias(n) for n, c in out.items()))
 
 
-def _matching(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = keys_df.select(*(F.col(k).alias(f"__w_{k}") for k in keys))
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__w_{k}"))
-    return df.join(renamed, cond, "left_semi")
-
-
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
 ) -> DataFrame:

@@ -194,23 +194,35 @@ TRACE = View(
 )
 
 
+CANDIDATE = View(
+    "events",
+    **{
+        **TRACE.columns,
+        "role": "CASE WHEN event_id % 97 = 0 THEN 'other' ELSE event_type END",
+        "request_hash": "CASE WHEN event_id % 89 = 0 THEN 'x' ELSE CAST(user_id AS STRING) END",
+        "response_hash": "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 53 = 0 THEN 'x' ELSE props END",
+        "latency_ms": "value * 9 + 20",
+    },
+)
+
+
 @query(
     "trace_parity",
-    f"""WITH t AS ({TRACE.sql}), a AS (SELECT *, row_number() OVER (ORDER BY position) AS k FROM t),
-        b AS (SELECT *, row_number() OVER (ORDER BY position) AS k FROM t WHERE position % 4001 <> 4000),
-        j AS (SELECT a.k AS ak, b.k AS bk, (a.request_id, a.role) IS DISTINCT FROM (b.request_id, b.role) AS cf,
+    f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY position) AS k FROM ({TRACE.sql})),
+        b AS (SELECT *, row_number() OVER (ORDER BY position) AS k FROM ({CANDIDATE.sql})),
+        p AS (SELECT (a.request_id, a.role) IS DISTINCT FROM (b.request_id, b.role) AS cf,
           a.request_hash IS DISTINCT FROM b.request_hash AS rq, a.outcome IS DISTINCT FROM b.outcome OR a.failure_type IS DISTINCT FROM b.failure_type AS oc,
-          a.response_hash IS DISTINCT FROM b.response_hash AS rs, greatest(b.latency_ms - a.latency_ms, 0) AS slow FROM a FULL OUTER JOIN b ON a.k = b.k),
-        p AS (SELECT * FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL)
-        SELECT (SELECT count(*) FROM a) AS baseline_count, (SELECT count(*) FROM b) AS candidate_count,
+          a.response_hash IS DISTINCT FROM b.response_hash AS rs, greatest(b.latency_ms - a.latency_ms, 0) AS slow FROM a JOIN b ON a.k = b.k),
+        s AS (SELECT (SELECT count(*) FROM a) AS baseline_count, (SELECT count(*) FROM b) AS candidate_count,
           count(*) FILTER (WHERE cf) AS control_flow_mismatches, count(*) FILTER (WHERE rq) AS request_mismatches,
           count(*) FILTER (WHERE oc) AS outcome_mismatches, count(*) FILTER (WHERE rs) AS response_mismatches, 0 AS provenance_mismatches,
           round(sum(slow), 3) AS total_latency_regression_ms, round(max(slow), 6) AS max_latency_regression_ms,
-          round(avg(slow), 6) AS mean_latency_regression_ms, false AS passes FROM p""",
+          round(avg(slow), 6) AS mean_latency_regression_ms FROM p)
+        SELECT *, baseline_count = candidate_count AND control_flow_mismatches + request_mismatches + outcome_mismatches = 0
+          AND response_mismatches <= 3 AND max_latency_regression_ms <= 5000 AS passes FROM s""",
 )
 def trace_parity(spark, folder):
-    t = TRACE.load(spark, folder)
-    out = paired.trace_parity(t, t.filter("position % 4001 <> 4000"), 0, 5000.0)
+    out = paired.trace_parity(TRACE.load(spark, folder), CANDIDATE.load(spark, folder), 3, 5000.0)
     return rounded(out).withColumn("total_latency_regression_ms", F.round("total_latency_regression_ms", 3))
 
 

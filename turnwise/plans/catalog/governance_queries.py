@@ -249,9 +249,8 @@ lg AS (SELECT user_id AS case_id, k AS decision_index, CASE event_type WHEN 'vie
 
 def decision_log(spark, folder):
     k, e = F.col("k"), F.col("event_id")
-    numbered = scan(
-        table(spark, folder, "events"), ["user_id"], ["ts", "event_id"], time_segment("ts", 30 * 86_400), index="k"
-    )
+    events, keys = table(spark, folder, "events"), ["user_id"]
+    numbered = scan(events, keys, ["ts", "event_id"], time_segment(events, keys, "ts"), index="k")
     roles = {"view": "interviewer", "click": "scorer", "purchase": "evaluator", "signup": "updater"}
     role = F.lit("reporter")
     for kind, name in roles.items():

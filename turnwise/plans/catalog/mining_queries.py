@@ -298,13 +298,8 @@ CURRENT_CTE = f"""{VERSIONS_CTE}, cur AS (SELECT * FROM versions
 
 
 def versions(spark, folder):
-    numbered = scan(
-        table(spark, folder, "events"),
-        ["user_id", "event_type"],
-        ["ts", "event_id"],
-        time_segment("ts", 30 * 86_400),
-        index="rn",
-    )
+    events, keys = table(spark, folder, "events"), ["user_id", "event_type"]
+    numbered = scan(events, keys, ["ts", "event_id"], time_segment(events, keys, "ts"), index="rn")
     user, e = F.col("user_id"), F.col("event_id")
     return numbered.select(
         F.concat_ws("-", user.cast("string"), "event_type").alias("lesson_id"),
