@@ -82,15 +82,15 @@ def plain_occurrence(text: Column, keyword: Column) -> Column:
     return F.when(F.contains(text, keyword), let(F.split(text, pattern, -1), some_plain)).otherwise(False)
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Runs of ``n`` consecutive words, joined by spaces; shifted copies are zipped."""
+def ngrams(words: Column, n: int, sep: str = " ") -> Column:
+    """Runs of ``n`` consecutive words, joined; shifted copies are zipped, so work is linear."""
 
     def runs(w: Column) -> Column:
         count = F.size(w) - (n - 1)
         shifted = F.arrays_zip(
             *(F.slice(w, F.lit(k + 1), F.greatest(count, F.lit(0))).alias(f"w{k}") for k in range(n))
         )
-        return F.transform(shifted, lambda z: F.concat_ws(" ", *(z[f"w{k}"] for k in range(n))))
+        return F.transform(shifted, lambda z: F.concat_ws(sep, *(z[f"w{k}"] for k in range(n))))
 
     return let(words, runs)
 

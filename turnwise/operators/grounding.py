@@ -87,10 +87,7 @@ def ground_quotes(quotes: DataFrame, documents: DataFrame, run: int = 5, head: i
     ]
     for n in sorted(sizes):
         mine = short.filter(F.least(F.length("q"), F.lit(head)) == n)
-        grams = F.transform(
-            F.when(F.length("e") >= n, F.sequence(F.lit(1), F.length("e") - (n - 1))),
-            lambda i: F.substring("e", i, F.lit(n)),
-        )
+        grams = T.ngrams(F.split("e", ""), n, "")
         cut = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
         proposed = proposed.unionByName(
             cut.join(mine.select("quote_id", F.substring("q", 1, n).alias("key")), "key").select(
