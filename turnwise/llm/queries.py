@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
-from .common import table
+from . import decontaminate, packing, pii, quality, sharding
+from .common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +19,27 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in sequences of 512 to 8192 words."""
+    return packing.pack(table(spark, folder, "documents"), F.size(words(F.col("text"))), ["doc_id"])
+
+
+@query
+def op2_skip_chain_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document, by patterns and by the skip-chain field."""
+    found = pii.find(table(spark, folder, "documents"), with_text=False)
+    columns = (*(f"n_{k}" for k in pii.KINDS), "base_sha256", "spans")
+    return found.select("doc_id", *(F.col(f"pii.{c}").alias(c) for c in columns))
+
+
+@query
+def op3_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.matches(docs, items, ["doc_id"])
+
+
 @query
 def op8_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     """Base statistics of every document and the verdict of the weighted rules."""
@@ -31,3 +52,19 @@ def op8_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
         q["kept"].alias("kept"),
         F.round(q["posterior"], 9).alias("posterior"),
     )
+
+
+@query
+def op9_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in one of 24 shards along the Hilbert curve, row counts at most one apart."""
+    placed = sharding.shard(table(spark, folder, "documents"), 24)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "curve",
+    )
