@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, sharding
+from . import decontaminate, jaccard, packing, pii, quality, sharding
 from .common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,8 @@ def op2_skip_chain_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op3_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item."""
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
-    return decontaminate.matches(docs, items, ["doc_id"])
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))  # identifiers may repeat
+    return decontaminate.matches(keyed, items, ["doc_id", "text_hash"]).drop("text_hash")
 
 
 @query
@@ -68,3 +69,10 @@ def op9_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "curve",
     )
+
+
+@query
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its component under four-word shingles and similarity 0.85."""
+    joined = jaccard.join(table(spark, folder, "documents"), n=4, percent=85)
+    return joined.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
