@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, pii, quality, sharding
+from . import decontaminate, jaccard, packing, pii, quality, sharding, toolcalls, warc
 from .common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,55 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its component under four-word shingles and similarity 0.85."""
     joined = jaccard.join(table(spark, folder, "documents"), n=4, percent=85)
     return joined.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
+#: What the tools of the derived calls accept: name -> argument -> (type, required).
+TOOLS: toolcalls.Schema = {
+    "lookup": {"query": ("string", True), "limit": ("integer", False)},
+    "measure": {"value": ("number", True), "unit": ("string", True)},
+    "store": {"path": ("string", True), "overwrite": ("boolean", True), "tags": ("array", False)},
+}
+
+
+def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results by rule from every turn of ``conversations``.
+
+    An assistant's turn is a call whose tool and arguments follow from its place and text, with
+    missing, mistyped and broken arguments among them; a call may refer to the assistant's turn
+    two before it. A user's turn that follows is that call's result.
+    """
+    n = F.length(F.coalesce("text", F.lit("")))
+    ident = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
+    start = F.substring(F.coalesce("text", F.lit("")), 1, 60)
+    refers = (F.col("turn") % 8 > 2) & (n % 3 == 0)
+    back = F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - 2).alias("$ref")))
+    plain = F.to_json(F.struct(start.alias("q")))
+    quoted = F.substring(plain, F.lit(6), F.length(plain) - 6)
+    lookup = F.concat(F.lit('{"query": '), F.when(refers, back).otherwise(quoted), F.when(n % 7 == 0, F.lit(', "limit": "ten"}')).otherwise(F.concat(F.lit(', "limit": '), n, F.lit("}"))))
+    measure = F.concat(F.lit('{ "value":'), F.when(refers, back).otherwise((n / 4).cast("string")), F.when(n % 5 == 0, F.lit("")).otherwise(F.lit(',"unit":"words"')), F.lit("}"))
+    store = F.concat(F.lit('{"path":'), quoted, F.lit(',"tags":['), F.when(refers, back).otherwise(F.lit("1")), F.lit('],"overwrite":'), F.when(n % 11 == 0, F.lit("maybe")).otherwise(F.lit("true")), F.lit("}"))
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    calls = conversations.filter("role = 'assistant'").select(
+        "conv_id",
+        ident(F.col("turn")).alias("call_id"),
+        "turn",
+        F.when(kind == 0, "lookup").when(kind == 1, "measure").when(kind == 2, "store").otherwise(F.when(n % 2 == 0, "lookup").otherwise("guess")).alias("name"),
+        F.when(kind == 1, measure).when(kind == 2, store).otherwise(lookup).alias("arguments"),
+    )
+    results = conversations.filter("role = 'user'").select(
+        "conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content")
+    )
+    return calls, results
+
+
+@query
+def op6_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls and results of every conversation, linked, ordered, checked and as canonical JSON."""
+    return toolcalls.link(*tool_traffic(table(spark, folder, "conversations")), TOOLS)
+
+
+@query
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives and read back in byte ranges."""
+    records = warc.read(warc.write(table(spark, folder, "pages")), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
