@@ -111,7 +111,7 @@ def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(kind == 0, "lookup").when(kind == 1, "measure").when(kind == 2, "store").otherwise(F.when(n % 2 == 0, "lookup").otherwise("guess")).alias("name"),
         F.when(kind == 1, measure).when(kind == 2, store).otherwise(lookup).alias("arguments"),
     )
-    results = conversations.filter("role = 'user'").select(
+    results = conversations.filter("role = 'user' AND turn > 0").select(
         "conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content")
     )
     return calls, results
