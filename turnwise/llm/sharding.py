@@ -91,7 +91,7 @@ def rank(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``rank``, the place of each row in the order from 0, and ``total``, their number.
 
     The rows are range-partitioned, sorted and stored once; a row's number in its file comes from
-    Spark's own row number. Repeated rows get ranks of their own.
+    Spark's own row number. ``df`` is evaluated twice, as Spark samples it for the ranges first. Repeated rows get ranks of their own.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -137,7 +137,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
         quantise_size(F.octet_length(text)).alias("size_cell"),
     )
     cells = [F.col(c) for c in ("lang_cell", "source_cell", "size_cell")]
-    keyed = stored(rows.withColumn("curve", hilbert_index(cells)), "curve")
+    keyed = rows.withColumn("curve", hilbert_index(cells))
     return cut(rank(keyed, ["curve", "size", "text_crc32", "doc_id"]), shards)
 
 
