@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, pii, quality, sharding, toolcalls, warc
+from . import decontaminate, jaccard, packing, pii, quality, sharding, substrings, toolcalls, warc
 from .common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to archives and read back in byte ranges."""
     records = warc.read(warc.write(table(spark, folder, "pages")), with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op4_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 20-word windows that the corpus holds earlier."""
+    return substrings.remove(table(spark, folder, "documents"), with_text=False).drop("kept")
