@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, pii, quality, sharding, substrings, toolcalls, warc
+from . import decontaminate, jaccard, language, packing, pii, quality, sharding, substrings, toolcalls, warc
 from .common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,15 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op4_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the 20-word windows that the corpus holds earlier."""
     return substrings.remove(table(spark, folder, "documents"), with_text=False).drop("kept")
+
+
+@query
+def op5_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from three quarters of those with a label."""
+
+    def held_out(id: str) -> Column:
+        return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit(""))) % 4 == 2
+
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, training=~held_out("doc_id"))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "switches")
