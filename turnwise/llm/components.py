@@ -25,28 +25,24 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (two long columns), the component's least node.
 
-    Loops and repeated edges change nothing; edges with a null end are left out. No edges, no rows.
+    Repeated edges change nothing; loops and edges with a null end are left out, and a node that has
+    no other edge with them. No edges, no rows.
     """
     a, b = (F.col(f"`{c}`") for c in edges.columns)
-    ends = edges.filter(a.isNotNull() & b.isNotNull())
-    start = ends.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    loops = start.filter("a = b").select(F.col("a").alias("node")).distinct()
-    now = stored(start.filter("a > b").distinct(), "edges")
-    loops = stored(loops, "loops")
+    ends = edges.filter(a.isNotNull() & b.isNotNull() & (a != b))
+    now = stored(ends.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.filter("a > b").distinct(), "large-star")
+        large = large.filter("a > b").distinct()
         under = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(under, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = moved.union(under.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
-        now = stored(small, "small-star")
+        now = stored(small, "stars")
         last, mark = mark, _mark(now)
         if mark == last:
             break
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = now.select(F.col("b").alias("node")).union(loops.select("node")).distinct()
-    alone = roots.join(members.select("node"), "node", "left_anti")
-    return members.union(alone.select("node", F.col("node").alias("component")))
+    return members.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -3,7 +3,9 @@
 1. ``describe``: every document becomes the hash of its set of word shingles; equal sets are one
    class from here on, so copies are never paired. The same pass counts, task by task, shingles that
    several classes share.
-2. The global order of shingles: by hash, the most frequent ones (``HEAD`` of them) last.
+2. The global order of shingles: the longest first, as they are the rarest as a rule, then by hash; the
+   most frequent ones (``HEAD`` of them, by the counts) last. A shingle's number begins with its length, so
+   the order of the numbers is the global order.
 3. Candidates: two sets that are similar enough share a shingle among the first few of each in that
    order (the prefix). Equal shingles are brought together and linked as a chain of stars, which is linear in the
    prefixes, and the connected groups of candidates follow.
@@ -37,13 +39,20 @@ HEAD = 200_000
 SHARED = 4
 #: Shingles that a task counts at once.
 FLUSH = 2_000_000
-FRAGMENTS = 4
+#: The global order is cut where shingles get shorter than so many bytes; the head is the last fragment.
+CUTS = (40, 30, 20)
+FRAGMENTS = len(CUTS) + 2
 BLOCK = 1000
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 _NO_ID = (1 << 63) - 1
 
 
+def _number(length: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A shingle's place in the global order: 8 bits that fall with its length, 56 of its hash."""
+    return ((255 - np.minimum(length, 255)).astype(_U) << _U(56)) | (hashes >> _U(8))
+
+
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle) sorted and without repeats, and the size of each row's set.
 
@@ -52,13 +61,19 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.n
     w = W.split_words(column, lower_ascii=True)
     rows = len(w.first) - 1
     count = np.diff(w.first)
-    full = w.left() >= n
-    row, token = [w.row[full]], [W.gram_hashes(w, n)[full]]
+    bytes_before = np.r_[0, np.cumsum(w.end - w.start)]
+
+    def numbers(at: np.ndarray, k: int, hashes: np.ndarray) -> np.ndarray:
+        return _number(bytes_before[at + k] - bytes_before[at], hashes)
+
+    full = np.flatnonzero(w.left() >= n)
+    row, token = [w.row[full]], [numbers(full, n, W.gram_hashes(w, n)[full])]
     for k in range(1, n):
         short = np.flatnonzero(count == k)
         if len(short):
+            at = w.first[short]
             row.append(short)
-            token.append(W.mix(W.gram_hashes(w, k)[w.first[short]] + _U(k)))
+            token.append(numbers(at, k, W.mix(W.gram_hashes(w, k)[at] + _U(k))))
     row, token = np.concatenate(row), np.concatenate(token)
     order = np.lexsort((token, row))
     row, token = row[order], token[order]
@@ -120,7 +135,7 @@ def _describe(n: int):
 
 
 def _order(token: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort keys of shingles in the global order: whether in the head, then place or hash.
+    """Sort keys of shingles in the global order: whether in the head, then place or number.
 
     ``head`` is a pair of sorted shingles and their places, as rows.
     """
@@ -193,8 +208,9 @@ def _stars(percent: int):
     return run
 
 
-def _fragments(n: int, fragments: int, head: np.ndarray):
-    """The shingles of each document by fragment of the global order; the head is the last fragment."""
+def _fragments(n: int, head: np.ndarray):
+    """The shingles of each document by fragment of the global order."""
+    cuts = _number(np.array(CUTS) - 1, np.zeros(len(CUTS), _U))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,12 +218,12 @@ def _fragments(n: int, fragments: int, head: np.ndarray):
                 row, token, size = shingle_sets(part.column(0), n)
                 klass = set_hashes(row, token, size).view(np.int64)
                 last, _ = _order(token, head)
-                place = (token >> _U(32)).astype(np.int64) * (fragments - 1) >> 32
-                place[last] = fragments - 1
+                place = np.searchsorted(cuts, token, side="right")
+                place[last] = FRAGMENTS - 1
                 order = np.lexsort((token, place, row))
                 row, token, place = row[order], token[order], place[order]
                 out = []
-                for f in range(fragments):
+                for f in range(FRAGMENTS):
                     mine = place == f
                     cut = np.searchsorted(row[mine], np.arange(len(size) + 1))
                     blob = token[mine].tobytes()
@@ -383,7 +399,7 @@ def join(
     keyed = docs.select(_known(id).alias("i"), F.xxhash64(c).alias("h"), c.alias("text"))
     chosen = keyed.join(wanted, (F.col("i") == wanted["id"]) & (F.col("h") == wanted["text_hash"]), "left_semi")
     cut = chosen.select("text").mapInArrow(
-        _fragments(n, FRAGMENTS, head), "class long, n long, fragment int, tokens binary"
+        _fragments(n, head), "class long, n long, fragment int, tokens binary"
     )
     # one task per bin of small groups, or per pair of blocks of a large one
     bins = max(1, math.ceil(members.filter(F.col("m") <= BLOCK).count() / BLOCK))
@@ -397,6 +413,9 @@ def join(
     task = F.when(F.col("blocks") > 1, F.xxhash64("component", "bi", "bj")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins)))
     placed = placed.withColumn("task", task).drop("blocks")
     blob = ", ".join(f"{x}_{s} binary" for x in ("class", "n", "size") for s in "ab")
+    copies = members.agg(F.sum(F.ceil(F.col("m") / BLOCK))).first()[0] or 0
+    if copies <= BROADCAST_ROWS:  # a class goes to as many tasks as its group has blocks
+        placed = F.broadcast(placed)
     partial = cut.join(placed, "class").groupBy("task", "fragment").applyInPandas(
         _count, f"task long, component long, bi int, bj int, {blob}, counts binary"
     )
