@@ -46,6 +46,8 @@ BLOCK = 1000
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 _NO_ID = (1 << 63) - 1
+#: A set's size and the largest size of a partner are packed into one number.
+_SIZE_BITS = 31
 
 
 def _number(length: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -151,6 +153,12 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-percent * size // 100) + 1
 
 
+def largest_partner(size: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """The size above which no set can be similar to one of ``size`` if the first shingle that both
+    hold is at place ``at`` in its order: the rest is too short for the overlap that is needed."""
+    return np.maximum((size - at) * (100 + percent) // percent - size, 0)
+
+
 def _prefixes(n: int, percent: int, head: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -173,34 +181,41 @@ def _prefixes(n: int, percent: int, head: np.ndarray):
                 first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
                 at = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
                 keep = at < prefix_length(size, percent)[row]
-                row, token = row[keep], token[keep]
-                yield pa.record_batch(
-                    [pa.array(token.view(np.int64)), pa.array(size[row]), pa.array(klass[row].view(np.int64))],
-                    names=["token", "n", "class"],
-                )
+                row, token, at = row[keep], token[keep], at[keep]
+                reach = largest_partner(size[row], at, percent)
+                columns = [token.view(np.int64), (size[row] << _SIZE_BITS) | reach, klass[row].view(np.int64)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["token", "sizes", "class"])
 
     return run
 
 
-def _stars(percent: int):
+def _stars():
     """Links within runs of equal shingles, sorted by size; a gap in the sizes ends a star.
 
-    Two sets of a run that may be similar have no gap between them, so they are in one star.
+    A gap is where the next size is above what every set before it in the run can be similar to, given
+    the shingle's place in it. Two sets that are similar have no gap between them at the first
+    shingle that they share, so they are in one star there.
     """
+    mask = (1 << _SIZE_BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # shingle, size, centre
+        last = None  # shingle, size, centre, reach of the sets so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, n, klass = (np.asarray(batch.column(i)) for i in range(3))
+            token, sizes, klass = (np.asarray(batch.column(i)) for i in range(3))
+            n, reach = sizes >> _SIZE_BITS, sizes & mask
             if last is not None:
-                token, n, klass = np.r_[last[0], token], np.r_[last[1], n], np.r_[last[2], klass]
+                token, n, klass, reach = (np.r_[x, y] for x, y in zip(last, (token, n, klass, reach)))
+            run_of = np.cumsum(np.r_[False, token[1:] != token[:-1]])
+            # the largest reach so far in each run: runs are lifted apart, then cut to size again
+            lift = run_of << (_SIZE_BITS + 1)
+            reach = np.maximum.accumulate(reach + lift) - lift
             begin = np.ones(len(token), bool)
-            begin[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
+            begin[1:] = (run_of[1:] != run_of[:-1]) | (n[1:] > reach[:-1])
             first = np.flatnonzero(begin)
             centre = np.repeat(klass[first], np.diff(np.r_[first, len(token)]))
-            last = (token[-1], n[-1], centre[-1])
+            last = (token[-1], n[-1], centre[-1], reach[-1])
             real = klass != centre
             pairs = np.unique(np.stack([klass[real], centre[real]], 1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -381,9 +396,9 @@ def join(
     described, head = describe(docs, id, text, n)
     full = described.filter("n > 0")
     texts = docs.select(F.col(f"`{text}`").alias("text"))
-    prefixes = texts.mapInArrow(_prefixes(n, percent, head), "token long, n long, class long")
-    together = prefixes.repartition("token").sortWithinPartitions("token", "n", "class")
-    stars = together.mapInArrow(_stars(percent), "a long, b long").distinct()
+    prefixes = texts.mapInArrow(_prefixes(n, percent, head), "token long, sizes long, class long")
+    together = prefixes.repartition("token").sortWithinPartitions("token", "sizes", "class")
+    stars = together.mapInArrow(_stars(), "a long, b long").distinct()
     groups = stored(components(stars).toDF("class", "component"), "candidates")
     sizes = full.groupBy("class").agg(
         F.count("*").alias("size"), F.min("id").alias("min_id"), F.min(F.struct("id", "text_hash")).alias("one")
