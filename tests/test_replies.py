@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from turnwise.operators import grounding, memory, replies
+from turnwise.operators import grounding, memory, replies, totals
 
 
 def test_balanced_spans():
@@ -72,15 +72,49 @@ def test_corpus_grounding_equals_row_grounding(spark):
     assert got == want and (3, 1) in want
 
 
+def test_objects_with_repeated_keys_and_odd_numbers(spark):
+    cases = [
+        ('{"score": 1, "score": 2}', 2, ""),
+        ('{"score": 3, "x": NaN}', 3, ""),
+        ('{"score": 2, "x": [Infinity, -Infinity]}', 2, ""),
+        ('{"score": NaN}', None, ""),
+        ('{"score": 1, "quote": "a\nb"}', None, "no JSON object in reply"),
+        ('{"score": 2, "n": 123456789012345678901234567890}', 2, ""),
+        ('{"score": 1} {"score": 2,, }', 1, ""),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, raw string")
+    got = {r.i: (r.score, r.reason) for r in replies.typed_item_scores(df).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+    same = spark.createDataFrame([('{"sufficient": true, "sufficient": false, "missing": "a", "missing": "b", "y": NaN}',)], "raw string")
+    r = replies.typed_sufficiency(same).first()
+    assert (r.sufficient, r.missing) == (False, "b")
+    doubled = spark.createDataFrame([(1, "m", '{"trigger": "t", "trigger": "u", "do": "d", "avoid": "a", "criterion": "c", "confidence": NaN}')], "role int, scope string, raw string")
+    r = replies.lesson_candidates(doubled).first()
+    assert (r.trigger, r.candidate_confidence) == ("u", 0.0)
+
+
 def test_contradictions(spark):
     rows = [("s", "t", "a", 0, "refutes", "none"), ("s", "t", "b", 1, "supports", "stated_days"), ("s", "t", "c", 0, "supports", "ongoing_state"),
             ("s", "t", "d", 2, "supports", "none"), ("s", "t", "e", 2, "uncertain", "stated_days"), ("s", "u", "f", 0, "supports", "stated_days")]
     df = spark.createDataFrame(rows, "session_id string, topic string, record_id string, round_index int, polarity string, frequency_basis string")
-    edges = {(r.record_id_a, r.record_id_b, r.earlier_record_id) for r in memory.contradictions(memory.contradiction_sides(df)).collect()}
-    assert edges == {("a", "b", "a"), ("a", "c", None)}
+    found = memory.contradictions(memory.contradiction_sides(df)).collect()
+    assert {(r.record_id, r.counterpart_id, r.counterparts, r.earlier_record_id) for r in found} == {
+        ("a", "c", 2, None), ("b", "a", 1, "a"), ("c", "a", 1, None)}
     assert [r.contradictions for r in memory.contradiction_counts(df).collect()] == [2]
 
 
+def test_large_groups_keep_their_contradictions(spark):
+    rows = spark.range(260).selectExpr(
+        "'s' AS session_id", "'t' AS topic", "string(id) AS record_id", "int(id % 5) AS round_index",
+        "if(id < 130, 'refutes', 'supports') AS polarity", "'stated_days' AS frequency_basis")
+    assert memory.contradiction_counts(rows).first().contradictions == 16_900
+    sides = memory.contradiction_sides(rows)
+    assert sides.count() == 260 and memory.contradictions(sides).agg(F.min("counterparts")).first()[0] == 130
+    results = spark.createDataFrame([("s", "none", None, False, False, False, 1)],
+        "session_id string, evidence_tier string, score int, citation_mismatch boolean, quote_grounded boolean, parse_failed boolean, rounds int")
+    assert totals.session_diagnostics(results, memory.contradiction_counts(rows)).first().contradictions == 16_900
+
+
 def test_append_is_idempotent(spark):
     schema = "record_id string, round_index int, confidence double"
     old = spark.createDataFrame([("a", 0, 0.5)], schema)

@@ -35,13 +35,37 @@ def test_labels(spark, tmp_path):
     assert got == {"302": (12, 1, {"PHQ8_Sleep": 3}), "303": (4, 0, None)}
 
 
-def test_samples_leave_long_sessions_as_rows(spark):
+def test_wide_and_multi_line_transcripts(spark, tmp_path):
+    names = ",".join(f"c{i}" for i in range(12))
+    (tmp_path / "1_TRANSCRIPT.csv").write_text(
+        f'{names},speaker,value\n,{"x," * 11}Participant,"fine\nthanks, ""ok"""\n{"," * 12}Ellie,plain\n' + "".join(
+            f'{"," * 12}Participant,"n{i}\n\nm"\n' for i in range(40)))
+    (tmp_path / "2_TRANSCRIPT.csv").write_text("speaker,value\nEllie,it is 5\n")
+    got = transcripts.scan_transcripts(spark, str(tmp_path)).orderBy("session_id", "block", "line").collect()
+    assert [r.text for r in got][:3] == ['fine\nthanks, "ok"', "plain", "n0\n\nm"]
+    assert [r.text for r in got][-2:] == ["n39\n\nm", "it is 5"] and len(got) == 43
+
+
+def test_labels_without_a_number_are_listed(spark, tmp_path):
+    path = tmp_path / "l.csv"
+    path.write_text("Participant_ID,PHQ8_Sleep\n1,2\nx,3\n,1\n")
+    got = {(r.raw_id, r.reason) for r in transcripts.rejected_labels(spark, str(path)).collect()}
+    assert got == {("x", "id is no number"), (None, "no id")}
+
+
+def test_long_sessions_are_written_in_parts(spark):
     turns = spark.createDataFrame([(s, i, "P", "x") for s, n in ((1, 2), (2, 5)) for i in range(n)], "session_id int, turn_idx int, role string, text string")
     labels = spark.createDataFrame([(1, 3, 0), (2, 9, 1), (3, 1, 0)], "session_id int, total int, binary int").withColumn(
         "items", F.create_map(F.lit("a"), F.lit(1)))
-    samples, missing, long_ = transcripts.build_samples(labels, turns, max_turns=3)
-    assert [r.Participant_ID for r in samples.collect()] == ["1"]
-    assert [r.session_id for r in missing.collect()] == [3] and [r.session_id for r in long_.collect()] == [2]
+    samples, missing = transcripts.build_samples(labels, turns, part_turns=3)
+    got = sorted((r.Participant_ID, r.part, r.first_turn, len(r.real_interview)) for r in samples.collect())
+    assert got == [("1", 0, 0, 2), ("2", 0, 0, 3), ("2", 1, 3, 2)]
+    told = sorted((r.session_id, r.turn_idx) for r in transcripts.sample_turns(samples).collect())
+    assert told == sorted((str(s), i) for s, n in ((1, 2), (2, 5)) for i in range(n))
+    assert transcripts.sample_labels(samples).count() == 2
+    assert [r.session_id for r in missing.collect()] == [3]
+    with pytest.raises(ValueError):
+        transcripts.build_samples(labels, turns, strict=True)
 
 
 def settings_files(tmp_path, **changed):

@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -84,13 +85,15 @@ def test_pairing_is_checked(spark):
             paired.paired_diff(a, frame(spark, rows, schema))
 
 
-def test_bootstrap_paths_agree(spark, monkeypatch):
+def test_bootstrap_draws_from_the_differences(spark):
     diffs = spark.range(60).select(F.col("id").alias("session_id"), ((F.col("id") * 7) % 13 - 6).cast("double").alias("d"))
-    by_expression = paired.paired_bootstrap(diffs, 40, 5).first()
-    monkeypatch.setattr(paired, "MAX_LITERAL_VALUES", 3)
-    by_join = paired.paired_bootstrap(diffs, 40, 5).first()
-    assert tuple(by_expression) == pytest.approx(tuple(by_join))
-    assert by_expression.interval_lower <= by_expression.mean_difference <= by_expression.interval_upper
+    values = sorted(r.d for r in diffs.collect())
+    drawn = paired._draws(spark, 40, 60, 5).groupBy("r").agg(F.collect_list("j").alias("j")).collect()
+    means = sorted(sum(values[j] for j in r.j) / 60 for r in drawn)
+    got = paired.paired_bootstrap(diffs, 40, 5).first()
+    assert got.mean_difference == pytest.approx(sum(values) / 60)
+    assert got.interval_lower == pytest.approx(np.percentile(means, 2.5))
+    assert got.interval_upper == pytest.approx(np.percentile(means, 97.5))
 
 
 def test_permutation_of_equal_arms_is_always_extreme(spark):

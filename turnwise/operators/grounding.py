@@ -43,10 +43,6 @@ def quote_grounded(quote: Column, evidence: Column, run: int = 5) -> Column:
     return T.let(normal, decide)
 
 
-#: Rows of a key table that may be broadcast.
-MAX_BROADCAST_KEYS = 1_000_000
-
-
 def ground_quotes(quotes: DataFrame, documents: DataFrame, run: int = 5, head: int = 8) -> DataFrame:
     """All (quote, document) pairs where the quote is grounded in the document.
 
@@ -73,27 +69,24 @@ def ground_quotes(quotes: DataFrame, documents: DataFrame, run: int = 5, head: i
             )
         ).alias("key"),
     ).select("quote_id", F.xxhash64("key").alias("key"))
-    if q_keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
-        # Then documents are not shuffled by their keys at all; otherwise Spark joins by hash.
-        q_keys = F.broadcast(q_keys)
-    d_keys = d.select(
-        "doc_id", F.explode(F.array_distinct(T.ngrams(F.split("e", " "), inner))).alias("key")
-    ).select("doc_id", F.xxhash64("key").alias("key"))
-    proposed = d_keys.join(q_keys, "key").select("quote_id", "doc_id")
-
-    short = q.filter(F.size(spaced) < run)
-    sizes = [
-        r.n for r in short.select(F.least(F.length("q"), F.lit(head)).alias("n")).distinct().collect()
-    ]
-    for n in sorted(sizes):
-        mine = short.filter(F.least(F.length("q"), F.lit(head)) == n)
-        grams = T.ngrams(F.split("e", ""), n, "")
-        cut = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
-        proposed = proposed.unionByName(
-            cut.join(mine.select("quote_id", F.substring("q", 1, n).alias("key")), "key").select(
-                "quote_id", "doc_id"
-            )
-        )
+
+    # Short quotes are keyed by their first characters; documents offer runs of the lengths asked for.
+    short = q.filter(F.size(spaced) < run).withColumn("n", F.least(F.length("q"), F.lit(head)))
+    asked = short.agg(F.collect_set("n").alias("lengths"))  # one row of ``head`` numbers at most
+    s_keys = short.select("quote_id", F.xxhash64("n", F.expr("substring(q, 1, n)")).alias("key"))
+    chars = F.split("e", "")
+
+    def keys_of(lengths: Column) -> Column:
+        words = F.transform(T.ngrams(F.split("e", " "), inner), lambda g: F.xxhash64(g))
+
+        def runs(n: int) -> Column:
+            grams = F.transform(T.ngrams(chars, n, ""), lambda g: F.xxhash64(F.lit(n), g))
+            return F.when(F.array_contains(lengths, n), F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
+
+        return F.concat(F.array_distinct(words), *(runs(n) for n in range(1, head + 1)))
+
+    d_keys = d.join(F.broadcast(asked)).select("doc_id", F.explode(keys_of(F.col("lengths"))).alias("key"))
+    proposed = d_keys.join(q_keys.unionByName(s_keys), "key").select("quote_id", "doc_id")
     found = proposed.distinct().join(q, "quote_id").join(d, "doc_id")
     holds = F.contains("e", F.col("q")) | F.coalesce(
         _run_found(_words(F.col("q")), F.col("e"), run), F.lit(False)

@@ -44,29 +44,36 @@ def _side() -> Column:
 
 
 def contradiction_sides(evidence: DataFrame) -> DataFrame:
-    """Records that contradict others of their (session, topic), with how many.
+    """Records that contradict others of their (session, topic): how many, and the first of them.
 
     Within a group every denial stands against every report of presence, so the two
     sides name all contradictions in a table no longer than the evidence itself.
     """
     sided = evidence.withColumn("side", _side()).filter(F.col("side").isNotNull())
-    counts = (
+    place = F.struct("round_index", "record_id")
+
+    def first(side: str) -> Column:
+        return F.min(F.when(F.col("side") == side, place)).alias(f"first_{side}")
+
+    groups = (
         sided.groupBy("session_id", "topic")
         .agg(
             F.count_if(F.col("side") == "refutes").alias("refuting"),
             F.count_if(F.col("side") == "supports").alias("supporting"),
+            first("refutes"),
+            first("supports"),
         )
         .filter((F.col("refuting") > 0) & (F.col("supporting") > 0))
     )
-    return sided.join(counts, ["session_id", "topic"]).select(
+    refutes = F.col("side") == "refutes"
+    return sided.join(groups, ["session_id", "topic"]).select(
         "session_id",
         "topic",
         "record_id",
         "round_index",
         "side",
-        F.when(F.col("side") == "refutes", F.col("supporting"))
-        .otherwise(F.col("refuting"))
-        .alias("counterparts"),
+        F.when(refutes, F.col("supporting")).otherwise(F.col("refuting")).alias("counterparts"),
+        F.when(refutes, F.col("first_supports")).otherwise(F.col("first_refutes")).alias("first"),
     )
 
 
@@ -84,33 +91,24 @@ def contradiction_counts(evidence: DataFrame) -> DataFrame:
     )
 
 
-def contradictions(sides: DataFrame, max_counterparts: int = 64) -> DataFrame:
-    """Contradiction edges for records with few counterparts.
+def contradictions(sides: DataFrame) -> DataFrame:
+    """Each contradicting record with the first record that it stands against.
 
-    Edges with a record that has more than ``max_counterparts`` on *both* ends stay in
-    the form of ``contradiction_sides``, which lists those groups whole.
+    Together with ``counterparts`` this says all that a list of every pair would, in as many rows as
+    there are records: the other counterparts are the records of the other side. ``earlier_record_id``
+    is the one of an earlier round, if the rounds differ.
     """
-    small = sides.groupBy("session_id", "topic").agg(
-        F.min("counterparts").alias("few")
-    ).filter(F.col("few") <= max_counterparts).select("session_id", "topic")
-    kept = sides.join(small, ["session_id", "topic"], "left_semi")
-    place = F.struct("round_index", "record_id")
-
-    def of(side: str) -> DataFrame:
-        return kept.filter(F.col("side") == side).select("session_id", "topic", place.alias(side))
-
-    pairs = of("refutes").join(of("supports"), ["session_id", "topic"])
-    first = F.least("refutes", "supports")
-    second = F.greatest("refutes", "supports")
-    return pairs.select(
+    first = F.col("first")
+    return sides.select(
         "session_id",
         "topic",
-        first["record_id"].alias("record_id_a"),
-        second["record_id"].alias("record_id_b"),
+        "record_id",
+        first["record_id"].alias("counterpart_id"),
+        "counterparts",
         F.lit(K.CONTRADICTION_REASON).alias("reason"),
-        F.when(first["round_index"] < second["round_index"], first["record_id"]).alias(
-            "earlier_record_id"
-        ),
+        F.when(F.col("round_index") < first["round_index"], F.col("record_id"))
+        .when(first["round_index"] < F.col("round_index"), first["record_id"])
+        .alias("earlier_record_id"),
     )
 
 

@@ -94,10 +94,10 @@ def low_yield_cells(
     )
 
 
-def source_holdout(members: DataFrame, seed: int, max_holdout: int = 24) -> DataFrame:
+def source_holdout(members: DataFrame, seed: int, max_holdout: int | None = None) -> DataFrame:
     """Split each cell's participants into ``source`` (a third, at least one) and ``holdout``.
 
-    The order is a seeded hash, which stands in for a shuffle; positions come from hash
+    ``max_holdout`` bounds the holdout of a cell where each of its rows is to cost a call. The order is a seeded hash, which stands in for a shuffle; positions come from hash
     segments, so a cell of any size is ranked by many tasks.
     """
     people = members.select(*CELL, "session_id").distinct().withColumn(
@@ -106,7 +106,8 @@ def source_holdout(members: DataFrame, seed: int, max_holdout: int = 24) -> Data
     ranked = scan(people, CELL, ["h", "session_id"], F.shiftright("h", 48), index="at")
     sizes = people.groupBy(*CELL).agg(F.count("*").alias("n"))
     cut = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
-    part = F.when(F.col("at") < cut, "source").when(F.col("at") < cut + max_holdout, "holdout")
+    inside = F.lit(True) if max_holdout is None else F.col("at") < cut + max_holdout
+    part = F.when(F.col("at") < cut, "source").when(inside, "holdout")
     return (
         ranked.join(sizes, CELL)
         .withColumn("part", part)

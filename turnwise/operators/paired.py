@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import draw
 from ..functions.segments import position_segment, scan
 
-#: Distinct differences that fit into one expression of the bootstrap.
-MAX_LITERAL_VALUES = 512
 
 #: Sign bits taken from one hash in the permutation test.
 BITS = 60
@@ -59,50 +57,24 @@ def paired_diff(a: DataFrame, b: DataFrame, check: bool = True) -> DataFrame:
     )
 
 
-def _lookup(position: Column, steps: list[tuple[int, float]]) -> Column:
-    """Balanced comparison tree: the value of the first step whose end is above."""
-    if len(steps) == 1:
-        return F.lit(steps[0][1])
-    half = len(steps) // 2
-    return F.when(position < steps[half - 1][0], _lookup(position, steps[:half])).otherwise(
-        _lookup(position, steps[half:])
-    )
-
-
 def paired_bootstrap(
-    diffs: DataFrame, iterations: int, seed: int, level: float = 0.95, id_segment: Column | None = None
+    diffs: DataFrame, iterations: int, seed: int, level: float = 0.95
 ) -> DataFrame:
     """Mean difference and percentile interval of resampled means.
 
     Draw ``i`` of replicate ``r`` is position ``hash(seed, r, i) mod n`` among the sorted
-    differences, so a retried task draws the same. Few distinct differences (the rule,
-    for scores) are looked up in an expression and nothing but one row per replicate is
-    shuffled; otherwise the positions are joined to the numbered differences.
+    differences, so a retried task draws the same. The positions are joined to the numbered
+    differences (broadcast by Spark's own size rule), and one row per replicate is shuffled.
     """
     if iterations <= 0 or not 0.0 < level < 1.0:
         raise ValueError("iterations must be positive and level between 0 and 1")
-    spark = diffs.sparkSession
-    counted = diffs.groupBy("d").agg(F.count("*").alias("w"))
-    few = counted.orderBy("d").limit(MAX_LITERAL_VALUES + 1).collect()
-    if not few:
+    n, mean = diffs.agg(F.count("*"), F.avg("d")).first()
+    if not n:
         raise ValueError("paired statistics require non-empty arms")
-    if len(few) <= MAX_LITERAL_VALUES:
-        n, steps = 0, []
-        for row in few:
-            n += row.w
-            steps.append((n, row.d))
-        mean = sum(row.d * row.w for row in few) / n
-        draws = _draws(spark, iterations, n, seed).select(
-            "r", _lookup(F.col("j"), steps).alias("d")
-        )
-    else:
-        n, mean = diffs.agg(F.count("*"), F.avg("d")).first()
-        merged = counted.withColumn("__b", F.floor(F.col("d") * 64))
-        ends = scan(merged, [], ["d"], F.col("__b"), sums={"upto": F.col("w")})
-        places = ends.select(
-            "d", F.explode(F.sequence(F.col("upto") - F.col("w"), F.col("upto") - 1)).alias("j")
-        )
-        draws = _draws(spark, iterations, n, seed).join(places, "j").select("r", "d")
+    merged = diffs.groupBy("d").agg(F.count("*").alias("w")).withColumn("__b", F.floor(F.col("d") * 64))
+    ends = scan(merged, [], ["d"], F.col("__b"), sums={"upto": F.col("w")})
+    places = ends.select("d", F.explode(F.sequence(F.col("upto") - F.col("w"), F.col("upto") - 1)).alias("j"))
+    draws = _draws(diffs.sparkSession, iterations, n, seed).join(places, "j").select("r", "d")
     means = draws.groupBy("r").agg((F.sum("d") / F.lit(float(n))).alias("m"))
     tail = (1.0 - level) / 2.0
     return means.agg(
@@ -114,7 +86,7 @@ def paired_bootstrap(
 
 def _draws(spark, iterations: int, n: int, seed: int) -> DataFrame:
     rows = iterations * n
-    parts = max(spark.sparkContext.defaultParallelism, min(200_000, rows // 5_000_000 + 1))
+    parts = max(spark.sparkContext.defaultParallelism, rows // 5_000_000 + 1)
     ids = spark.range(0, rows, 1, parts)
     r, i = F.floor(F.col("id") / n), F.col("id") % n
     return ids.select(r.alias("r"), (draw(F.lit(seed), r, i) % n).alias("j"))

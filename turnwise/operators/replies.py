@@ -90,6 +90,33 @@ balanced_spans = _span_finder()
 json_objects = F.pandas_udf(_spans_of_batch(), ArrayType(StringType()))
 
 
+def _object_reader():
+    """A reader of one reply's objects, sent to tasks whole: spans that parse, written anew.
+
+    Of a repeated key the last value counts, and NaN and infinities become null; a raw line break
+    inside a string refuses the object.
+    """
+    import json
+
+    spans = _span_finder()
+
+    def parsed(span: str) -> str | None:
+        try:
+            value = json.loads(span, parse_constant=lambda _: None)
+            return json.dumps(value, ensure_ascii=False, allow_nan=False)
+        except (ValueError, RecursionError):  # no JSON, or a number beyond a double's range
+            return None
+
+    def batch(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [x for x in map(parsed, spans(t)) if x is not None])
+
+    return batch
+
+
+#: The objects of a text that parse, as JSON that every parser reads alike.
+readable_objects = F.pandas_udf(_object_reader(), ArrayType(StringType()))
+
+
 def with_objects(replies: DataFrame) -> DataFrame:
     """Clean replies and add ``objects``, the JSON objects of the text that parse.
 
@@ -97,7 +124,7 @@ def with_objects(replies: DataFrame) -> DataFrame:
     """
     cleaned = clean_replies(replies)
     source = F.when(F.col("cleaned") != "", F.col("cleaned")).otherwise(F.col("raw"))
-    return cleaned.withColumn("objects", _parsed(json_objects(source)))
+    return cleaned.withColumn("objects", _parsed(readable_objects(source)))
 
 
 def _parsed(spans: Column) -> Column:
@@ -162,8 +189,8 @@ def typed_scores(replies: DataFrame) -> DataFrame:
     """Scores 0-3 of scorer replies: JSON first, then ``score: n``, then a bare number."""
     df = clean_replies(replies).withColumns(
         {
-            "__a": _parsed(json_objects("cleaned")),
-            "__b": _parsed(json_objects("tag_free")),
+            "__a": _parsed(readable_objects("cleaned")),
+            "__b": _parsed(readable_objects("tag_free")),
         }
     )
 
@@ -211,7 +238,7 @@ def _reason(value: Column, otherwise: str) -> Column:
 
 def typed_necessity(replies: DataFrame) -> DataFrame:
     """Follow-up necessity 0-2 of necessity replies."""
-    df = clean_replies(replies).withColumn("objects", _parsed(json_objects("cleaned")))
+    df = clean_replies(replies).withColumn("objects", _parsed(readable_objects("cleaned")))
 
     def rating(v: Column) -> Column:
         return F.coalesce(*(_whole(v, f"$.{k}", 0, 2) for k in ("necessity", "score", "rating")))
@@ -234,7 +261,7 @@ def typed_necessity(replies: DataFrame) -> DataFrame:
 
 def typed_updates(replies: DataFrame, topics: Sequence[str]) -> DataFrame:
     """One row per (reply, revised topic) with score, reason and cited ids."""
-    df = clean_replies(replies).withColumn("objects", _parsed(json_objects("cleaned")))
+    df = clean_replies(replies).withColumn("objects", _parsed(readable_objects("cleaned")))
     payloads = F.filter(
         "objects", lambda v: _has(v, "$.summary") | _has(v, "$.updated_scores")
     )

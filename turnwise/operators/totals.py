@@ -73,7 +73,10 @@ def totals(
 def session_diagnostics(
     item_results: DataFrame, contradictions: DataFrame | None = None
 ) -> DataFrame:
-    """Counts per session: tiers, abstentions, mismatches, failures, extra rounds."""
+    """Counts per session: tiers, abstentions, mismatches, failures, extra rounds.
+
+    ``contradictions`` are the counts per (session, topic) of ``memory.contradiction_counts``.
+    """
     scored = F.col("score").isNotNull()
     out = item_results.groupBy("session_id").agg(
         *(F.count_if(F.col("evidence_tier") == t).alias(f"tier_{t}") for t in K.TIERS),
@@ -85,7 +88,7 @@ def session_diagnostics(
     )
     if contradictions is None:
         return out.withColumn("contradictions", F.lit(0).cast("long"))
-    found = contradictions.groupBy("session_id").agg(F.count("*").alias("contradictions"))
+    found = contradictions.groupBy("session_id").agg(F.sum("contradictions").alias("contradictions"))
     return out.join(found, "session_id", "left").withColumn(
         "contradictions", F.coalesce("contradictions", F.lit(0)).cast("long")
     )

@@ -91,18 +91,21 @@ def memory(spark, folder):
           AS counterparts FROM s WHERE side IS NOT NULL AND r > 0 AND p > 0""",
 )
 def contradiction_sides(spark, folder):
-    return M.contradiction_sides(memory(spark, folder))
+    return M.contradiction_sides(memory(spark, folder)).drop("first")
 
 
 @query(
     "contradictions",
-    f"""WITH {MEMORY_CTE}, p AS (SELECT a.session_id, a.topic, a.round_index AS ra, a.record_id AS ia,
-          b.round_index AS rb, b.record_id AS ib, (a.round_index, a.record_id) < (b.round_index, b.record_id) AS first
-        FROM sided a JOIN sided b ON a.session_id = b.session_id AND a.topic = b.topic
-        WHERE a.side = 'refutes' AND b.side = 'supports')
-        SELECT session_id, topic, CASE WHEN first THEN ia ELSE ib END AS record_id_a,
-          CASE WHEN first THEN ib ELSE ia END AS record_id_b, '{K.CONTRADICTION_REASON}' AS reason,
-          CASE WHEN ra < rb THEN ia WHEN rb < ra THEN ib END AS earlier_record_id FROM p""",
+    f"""WITH {MEMORY_CTE}, s AS (SELECT *, count(*) FILTER (WHERE side = 'refutes') OVER w AS r,
+          count(*) FILTER (WHERE side = 'supports') OVER w AS p,
+          min((round_index, record_id)) FILTER (WHERE side = 'refutes') OVER w AS fr,
+          min((round_index, record_id)) FILTER (WHERE side = 'supports') OVER w AS fp
+        FROM sided WINDOW w AS (PARTITION BY session_id, topic)),
+        o AS (SELECT *, CASE WHEN side = 'refutes' THEN fp[1] ELSE fr[1] END AS oround,
+          CASE WHEN side = 'refutes' THEN fp[2] ELSE fr[2] END AS oid FROM s WHERE side IS NOT NULL AND r > 0 AND p > 0)
+        SELECT session_id, topic, record_id, oid AS counterpart_id, CASE WHEN side = 'refutes' THEN p ELSE r END AS counterparts,
+          '{K.CONTRADICTION_REASON}' AS reason, CASE WHEN round_index < oround THEN record_id
+          WHEN oround < round_index THEN oid END AS earlier_record_id FROM o""",
 )
 def contradictions(spark, folder):
     return M.contradictions(M.contradiction_sides(memory(spark, folder)))
@@ -256,8 +259,8 @@ def collect_maps(spark, folder):
         FROM res r JOIN cmap c ON c.session_id = r.session_id AND c.topic = r.topic GROUP BY 1""",
 )
 def session_diagnostics(spark, folder):
-    edges = M.contradictions(M.contradiction_sides(memory(spark, folder)))
-    return T.session_diagnostics(item_results(spark, folder), edges)
+    counts = M.contradiction_counts(memory(spark, folder))
+    return T.session_diagnostics(item_results(spark, folder), counts)
 
 
 @query(

@@ -127,8 +127,7 @@ def low_yield_cells(spark, folder):
         h AS (SELECT *, CAST('0x' || substr(md5('9:' || topic || ':' || evidence_tier || ':' || session_id), 1, 15) AS BIGINT) AS h FROM p),
         r AS (SELECT *, row_number() OVER (PARTITION BY topic, evidence_tier ORDER BY h, session_id) - 1 AS a,
           greatest(1, count(*) OVER (PARTITION BY topic, evidence_tier) // 3) AS cut FROM h)
-        SELECT topic, evidence_tier, session_id, CASE WHEN a < cut THEN 'source' ELSE 'holdout' END AS part
-        FROM r WHERE a < cut + 24""",
+        SELECT topic, evidence_tier, session_id, CASE WHEN a < cut THEN 'source' ELSE 'holdout' END AS part FROM r""",
 )
 def source_holdout(spark, folder):
     df = states(spark, folder)

@@ -102,7 +102,7 @@ def _samples(spark, folder):
        GROUP BY doc_id, quality""",
 )
 def build_samples(spark, folder):
-    samples, _, _ = _samples(spark, folder)
+    samples, _ = _samples(spark, folder)
     told = F.transform("real_interview", lambda t: F.concat_ws(":", t["roleName"], t["content"]))
     return samples.select(
         "Participant_ID",
@@ -120,6 +120,19 @@ def missing_transcripts(spark, folder):
     return _samples(spark, folder)[1]
 
 
+@query(
+    "rejected_labels",
+    """SELECT 'x' || doc_id AS raw_id, 'id is no number' AS reason FROM labels WHERE doc_id % 7 = 3""",
+)
+def rejected_labels(spark, folder):
+    """Labels whose ids are numbers, but for every seventh."""
+    path = _fresh(spark, "labels")
+    raw = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("x"), "doc_id")).otherwise(F.col("doc_id").cast("string"))
+    labels = table(spark, folder, "labels").select(raw.alias("Participant_ID"), F.col("quality").alias("PHQ8_Sleep"))
+    labels.write.option("header", True).csv(path)
+    return transcripts.rejected_labels(spark, path)
+
+
 @query(
     "sample_documents",
     """SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_idx, role, text

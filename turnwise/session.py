@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +25,19 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables that every executor can reach."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
-        "turnwise.intermediate.dir", None
-    )
-    if not folder:  # no cluster: a test or a laptop
-        folder = tempfile.mkdtemp(prefix="turnwise-")
-        spark.conf.set("turnwise.intermediate.dir", folder)
-    return folder.rstrip("/")
+    """The folder for intermediate tables that every executor can reach.
+
+    It is the one in ``spark.checkpoint.dir``. Without that setting (tests, a laptop) a folder of
+    the warehouse is taken; on a cluster, a warehouse on a local disk is refused.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = warehouse.startswith("file:") or "://" not in warehouse
+    if local and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/steps"
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:

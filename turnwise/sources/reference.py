@@ -14,9 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import constants as K
 from ..session import bounded_rows
 
-#: Characters of one settings file; more is not a settings file.
-MAX_CHARS = 4_000_000
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -52,7 +49,7 @@ class Settings:
 
 def _load(spark: SparkSession, path: str) -> dict:
     rows = bounded_rows(spark.read.text(path, wholetext=True), 1, path)
-    if not rows or len(rows[0].value) > MAX_CHARS:
+    if not rows:
         raise ValueError(f"{path} is not a settings file")
     return json.loads(rows[0].value)
 

@@ -8,17 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.segments import position_segment, scan
 from ..functions.text import let, strip
 from ..operators.turns import turn_id
 
-#: Columns a transcript line may have.
-_WIDTH = 12
-
-#: Turns a nested document may hold; longer sessions stay rows.
-MAX_DOCUMENT_TURNS = 100_000
+#: Turns of one nested document; longer sessions are written in numbered parts.
+PART_TURNS = 100_000
 
 SAMPLE_SCHEMA = (
-    "Participant_ID string, real_interview array<struct<roleName string, content string>>, "
+    "Participant_ID string, part long, first_turn long, real_interview array<struct<roleName string, content string>>, "
     "phq8_scores struct<PHQ8_Score int, PHQ8_Binary int, items map<string,int>>"
 )
 
@@ -37,16 +35,46 @@ def _delimiter(header: Column) -> Column:
 
 
 def _cells(line: Column, delimiter: Column) -> Column:
-    """Fields of a delimited line; the separator of a parser is a constant, hence three."""
-    schema = ", ".join(f"c{i} string" for i in range(_WIDTH))
+    """Fields of a delimited line, as many as there are; doubled quotes in a quoted field are one."""
+
+    def cell(c: Column) -> Column:
+        body = F.substring(c, F.lit(2), F.length(c))
+        inner = F.regexp_extract(body, r'(?s)^\x20*"(.*)"\s*$', 1)
+        quoted = body.rlike(r'(?s)^\x20*".*"\s*$')
+        return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(body)
 
     def parsed(sep: str) -> Column:
-        row = F.from_csv(line, F.lit(schema), {"sep": sep, "mode": "PERMISSIVE"})
-        return let(row, lambda r: F.array(*(r[f"c{i}"] for i in range(_WIDTH))))
+        quoted = rf'{sep}\x20*"[^"]*+(?:""[^"]*+)*+"[^{sep}]*'
+        # a delimiter in front makes every field, also an empty one, a match of its own
+        pieces = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf"{quoted}|{sep}[^{sep}]*"), F.lit(0))
+        return F.transform(pieces, cell)
 
     return F.when(delimiter == "\t", parsed("\t")).when(delimiter == ";", parsed(";")).otherwise(parsed(","))
 
 
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines joined where a quoted field runs on: an odd number of quotes leaves the field open.
+
+    Only files that have such a line take part; the parity of the quotes so far is a running sum,
+    which is carried from block to block of a file.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counted = lines.withColumn("__q", quotes % 2)
+    torn = counted.groupBy("session_id").agg(F.max("__q").alias("__t")).filter("__t = 1").select("session_id")
+    whole = lines.join(torn, "session_id", "left_anti")
+    keys, order = ["session_id"], ["block", "line"]
+    summed = scan(counted.join(torn, "session_id", "left_semi"), keys, order, F.col("block"), sums={"__p": F.col("__q")})
+    # a line starts a record if the quotes before it are closed
+    begins = ((F.col("__p") - F.col("__q")) % 2 == 0).cast("long")
+    numbered = scan(summed.withColumn("__b", begins), keys, order, F.col("block"), sums={"__r": F.col("__b")})
+    parts = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
+    joined = numbered.groupBy("session_id", "__r").agg(parts.alias("x")).select(
+        "session_id", F.col("x")[0]["block"].alias("block"), F.col("x")[0]["line"].alias("line"),
+        F.array_join(F.transform("x", lambda p: p["value"]), "\n").alias("value"),
+    )
+    return whole.unionByName(joined)
+
+
 def scan_transcripts(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -58,7 +86,7 @@ def scan_transcripts(
 
     Files are read line by line, so a long file is split like any other; ``(block, line)`` is
     its order. The header of each file gives its delimiter and columns. A value may be
-    quoted but not run over several lines.
+    quoted, hold doubled quotes and run over several lines.
     """
     reader = spark.read.option("recursiveFileLookup", recursive)
     lines = reader.text(paths if isinstance(paths, str) else list(paths)).select(
@@ -67,6 +95,7 @@ def scan_transcripts(
         F.monotonically_increasing_id().alias("line"),
         F.regexp_replace("value", "^﻿", "").alias("value"),
     )
+    lines = _records(lines)
     place = F.struct("block", "line")
     heads = lines.groupBy("session_id").agg(F.min_by("value", place).alias("header"))
     heads = heads.withColumn("sep", _delimiter(F.col("header")))
@@ -107,8 +136,20 @@ def scan_transcripts(
 def scan_labels(spark: SparkSession, path: str) -> DataFrame:
     """``(session_id, total, binary, items map<string,int>)`` from a label file.
 
-    Column aliases and both spellings of the id are accepted; null items are left out.
+    Column aliases and both spellings of the id are accepted; null items are left out. Rows
+    whose id is no number are those of ``rejected_labels``.
     """
+    return _labels(spark, path).filter(F.col("session_id").isNotNull()).drop("raw_id")
+
+
+def rejected_labels(spark: SparkSession, path: str) -> DataFrame:
+    """``(raw_id, reason)`` of the label rows that name no session."""
+    bad = _labels(spark, path).filter(F.col("session_id").isNull())
+    reason = F.when(F.col("raw_id").isNull(), "no id").otherwise("id is no number")
+    return bad.select("raw_id", reason.alias("reason"))
+
+
+def _labels(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).csv(path)
     raw = raw.withColumnsRenamed(
         {a: b for a, b in K.LABEL_ALIASES.items() if a in raw.columns and b not in raw.columns}
@@ -125,33 +166,37 @@ def scan_labels(spark: SparkSession, path: str) -> DataFrame:
     entries = [x for c in K.ITEM_COLUMNS for x in (F.lit(c), whole(c))]
     items = F.map_filter(F.create_map(*entries), lambda k, v: v.isNotNull())
     return raw.select(
+        F.col(ids[0]).alias("raw_id"),
         F.col(ids[0]).try_cast("double").cast("long").cast("string").alias("session_id"),
         whole("PHQ8_Score").alias("total"),
         whole("PHQ8_Binary").alias("binary"),
         F.when(F.size(items) > 0, items).alias("items"),
-    ).filter(F.col("session_id").isNotNull())
+    )
 
 
 def build_samples(
-    labels: DataFrame, turns: DataFrame, max_turns: int = MAX_DOCUMENT_TURNS
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nested sample documents, ids without a transcript, and sessions left as rows.
+    labels: DataFrame, turns: DataFrame, part_turns: int = PART_TURNS, strict: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Nested sample documents, and the labelled ids without a transcript.
 
-    A session longer than ``max_turns`` does not fit into one document; the third table
-    names it, and its turns are read from ``turns`` itself.
+    A document holds ``part_turns`` turns at most; a longer session is written in parts numbered
+    from 0, each with the index of its first turn. ``strict`` refuses labels without a transcript.
     """
-    sizes = turns.groupBy("session_id").agg(F.count("*").alias("turns"))
-    known = labels.join(sizes, "session_id", "left")
-    missing = known.filter(F.col("turns").isNull()).select("session_id")
-    long_ = known.filter(F.col("turns") > max_turns).select("session_id", "turns")
-    fitting = known.filter(F.col("turns") <= max_turns).drop("turns")
-    told = (
-        turns.join(fitting.select("session_id"), "session_id", "left_semi")
-        .groupBy("session_id")
-        .agg(F.array_sort(F.collect_list(F.struct("turn_idx", "role", "text"))).alias("t"))
+    told = turns.select("session_id").distinct()
+    missing = labels.select("session_id").join(told, "session_id", "left_anti")
+    if strict:
+        some = [r.session_id for r in missing.orderBy("session_id").limit(10).collect()]
+        if some:
+            raise ValueError(f"labels without a transcript, among them: {some}")
+    wanted = turns.join(labels.select("session_id"), "session_id", "left_semi")
+    placed = scan(wanted, ["session_id"], ["turn_idx"], position_segment("turn_idx"), index="__at")
+    parts = placed.groupBy("session_id", F.floor(F.col("__at") / part_turns).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("turn_idx", "role", "text"))).alias("t")
     )
-    samples = fitting.join(told, "session_id").select(
+    samples = labels.join(parts, "session_id").select(
         F.col("session_id").cast("string").alias("Participant_ID"),
+        "part",
+        F.col("t")[0]["turn_idx"].cast("long").alias("first_turn"),
         F.transform(
             "t", lambda x: F.struct(x["role"].alias("roleName"), x["text"].alias("content"))
         ).alias("real_interview"),
@@ -159,7 +204,7 @@ def build_samples(
             F.col("total").cast("int").alias("PHQ8_Score"), F.col("binary").cast("int").alias("PHQ8_Binary"), "items"
         ).alias("phq8_scores"),
     )
-    return samples, missing, long_
+    return samples, missing
 
 
 def write_samples(samples: DataFrame, path: str, split: str) -> None:
@@ -174,11 +219,12 @@ def read_samples(spark: SparkSession, path: str, multi_line: bool = False) -> Da
 
 def sample_turns(samples: DataFrame) -> DataFrame:
     """Turns of sample documents, one row each."""
+    base = F.coalesce("first_turn", F.lit(0))
     return samples.select(
-        F.col("Participant_ID").alias("session_id"), F.posexplode("real_interview").alias("turn_idx", "t")
-    ).select(
+        F.col("Participant_ID").alias("session_id"), base.alias("base"), F.posexplode("real_interview").alias("at", "t")
+    ).withColumn("turn_idx", F.col("base") + F.col("at")).select(
         "session_id",
-        F.col("turn_idx").cast("long").alias("turn_idx"),
+        "turn_idx",
         turn_id("turn_idx").alias("turn_id"),
         F.col("t.roleName").alias("role"),
         F.col("t.content").alias("text"),
@@ -186,7 +232,7 @@ def sample_turns(samples: DataFrame) -> DataFrame:
 
 
 def sample_labels(samples: DataFrame) -> DataFrame:
-    """Item labels of sample documents, one row each."""
-    return samples.select(
+    """Item labels of sample documents, one row each; later parts repeat those of the first."""
+    return samples.filter(F.coalesce("part", F.lit(0)) == 0).select(
         F.col("Participant_ID").alias("session_id"), F.explode("phq8_scores.items").alias("item", "value")
     )
