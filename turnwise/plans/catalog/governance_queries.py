@@ -92,13 +92,13 @@ def label_leaks(spark, folder):
     return G.map_label_leaks(df, "payload")
 
 
-MEMBERS_SQL = """SELECT CASE conv_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split_id, conv_id AS session_id FROM conversations WHERE turn = 0
- UNION ALL SELECT 'dev', conv_id FROM conversations WHERE turn = 7
- UNION ALL SELECT 'train', conv_id FROM conversations WHERE turn = 6 AND conv_id % 3 = 0"""
+MEMBERS_SQL = """SELECT CASE conv_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split_id, conv_id AS session_id FROM conversations GROUP BY conv_id
+ UNION ALL SELECT 'dev', conv_id FROM conversations GROUP BY conv_id HAVING max(turn) > 6
+ UNION ALL SELECT 'train', conv_id FROM conversations GROUP BY conv_id HAVING max(turn) > 5 AND conv_id % 3 = 0"""
 
 
 def members(spark, folder):
-    c = table(spark, folder, "conversations")
+    c = table(spark, folder, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"))
     i = F.col("conv_id")
     own = F.when(i % 3 == 0, "train").when(i % 3 == 1, "dev").otherwise("test")
 
@@ -106,9 +106,9 @@ def members(spark, folder):
         return rows.select(split.alias("split_id"), i.alias("session_id"))
 
     return (
-        part(c.filter("turn = 0"), own)
-        .unionByName(part(c.filter("turn = 7"), F.lit("dev")))
-        .unionByName(part(c.filter("turn = 6 AND conv_id % 3 = 0"), F.lit("train")))
+        part(c, own)
+        .unionByName(part(c.filter("turn > 6"), F.lit("dev")))
+        .unionByName(part(c.filter("turn > 5 AND conv_id % 3 = 0"), F.lit("train")))
     )
 
 
@@ -186,7 +186,7 @@ def manifest_hash(spark, folder):
 )
 def reusable(spark, folder):
     m = members(spark, folder).withColumn("kind", F.lit("evolve"))
-    other = m.orderBy(F.col("session_id").desc()).filter("NOT (split_id = 'test' AND session_id = 2)")
+    other = m.repartition(3, "session_id").filter("NOT (split_id = 'test' AND session_id = 2)")
     return G.reusable(G.manifest_hash(m), G.manifest_hash(other))
 
 

@@ -236,6 +236,9 @@ def resolve_arm(spark, folder):
     return rounded(out.select("state_id", "value"))
 
 
+#: Supporting states that a lesson needs.
+MIN_SUPPORT = 6
+
 GATE_CTE = f"""{OUTCOMES_CTE}, marked AS (SELECT o.*, e.state_id IS NULL AS ok FROM outcomes o LEFT JOIN excluded e
   ON e.lesson_id = o.lesson_id AND e.state_id = o.state_id),
 g AS (SELECT lesson_id, count(*) FILTER (WHERE ok) AS support, coalesce(avg(gain) FILTER (WHERE ok), 0) AS mean_gain,
@@ -247,7 +250,7 @@ gate AS (SELECT *, concat_ws(',', CASE WHEN support = 0 THEN 'no_source_excluded
   CASE WHEN support > 0 AND round(improved, 9) < 0.55 THEN 'too_few_states_improved' END,
   CASE WHEN support > 0 AND regressions > 0 THEN 'safety_regression' END) AS reasons FROM g),
 valid AS (SELECT lesson_id, count(*) FILTER (WHERE ok) AS eligible, count(*) FILTER (WHERE ok AND gain > 0) AS supporting,
-  CASE WHEN count(*) FILTER (WHERE ok AND gain > 0) >= 750 THEN 'validated' ELSE 'rejected' END AS lifecycle
+  CASE WHEN count(*) FILTER (WHERE ok AND gain > 0) >= {MIN_SUPPORT} THEN 'validated' ELSE 'rejected' END AS lifecycle
   FROM marked GROUP BY 1)"""
 
 
@@ -264,7 +267,7 @@ def transfer_gate(spark, folder):
 def validated(spark, folder):
     out, excluded = outcomes(spark, folder)
     results = out.select("lesson_id", F.col("state_id").alias("source_id"), (F.col("gain") > 0).alias("supports"))
-    return mining.validate_lessons(results, excluded.withColumnRenamed("state_id", "source_id"), 750)
+    return mining.validate_lessons(results, excluded.withColumnRenamed("state_id", "source_id"), MIN_SUPPORT)
 
 
 @query("validate_lessons", f"WITH {GATE_CTE} SELECT * FROM valid")
@@ -287,7 +290,7 @@ def promotions(spark, folder):
 VERSIONS_CTE = """n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS rn FROM events),
 versions AS (SELECT user_id || '-' || event_type AS lesson_id, rn + 1 + CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END AS version,
   CASE WHEN user_id % 2 = 0 THEN 'scorer' ELSE 'interviewer' END AS role, event_type || '|' || (user_id % 9) AS scope,
-  'do ' || (user_id % 3) AS "do", user_id AS position, event_id,
+  'do ' || (user_id // 9 % 3) AS "do", user_id AS position, event_id,
   CASE WHEN rn = 0 THEN 'candidate' WHEN rn = 1 THEN 'validated' WHEN rn = 2 THEN 'promoted'
     WHEN event_id % 4 = 0 THEN 'retired' WHEN event_id % 4 = 1 THEN 'quarantined' ELSE 'promoted' END AS lifecycle,
   event_id % 5 = 0 AS merged FROM n)"""
@@ -306,7 +309,7 @@ def versions(spark, folder):
         F.when(user % 2 == 0, "scorer").otherwise("interviewer").alias("role"),
         F.concat(F.col("event_type"), F.lit("|"), (user % 9).cast("string")).alias("scope"),
         F.lit("t").alias("trigger"),
-        F.concat(F.lit("do "), (user % 3).cast("string")).alias("do"),
+        F.concat(F.lit("do "), F.expr("user_id div 9 % 3").cast("string")).alias("do"),
         F.lit("a").alias("avoid"),
         F.lit("c").alias("criterion"),
         user.alias("position"),
@@ -390,17 +393,25 @@ def lesson_transition(spark, folder):
     return lessons.lesson_transition(cur, wanted).select("lesson_id", "version", "lifecycle", "ok")
 
 
-MERGE_CTE = f"""{CURRENT_CTE}, g AS (SELECT *, first_value(lesson_id) OVER w AS primary_id, row_number() OVER w - 1 AS ord,
-  count(*) OVER (PARTITION BY role, scope) AS n FROM cur WHERE lifecycle = 'promoted'
-  WINDOW w AS (PARTITION BY role, scope ORDER BY position, lesson_id))"""
+#: Lessons that are proposed for merging: among them candidates and members of another scope, which refuse their group.
+PROPOSED = "lifecycle IN ('validated', 'promoted') OR (lifecycle = 'candidate' AND position % 4 = 0)"
+MERGE_CTE = f"""{CURRENT_CTE}, m AS (SELECT *, role || '#' || split_part(scope, '|', 1) || '|' || CASE WHEN position % 50 = 7 THEN '0'
+    ELSE split_part(scope, '|', 2) END AS gk FROM cur WHERE {PROPOSED}),
+a AS (SELECT *, first_value(lesson_id) OVER w AS primary_id, row_number() OVER w - 1 AS ord, count(*) OVER p AS n,
+  bool_and(lifecycle IN ('validated', 'promoted')) OVER p AND min(scope) OVER p = max(scope) OVER p AS fine
+  FROM m WINDOW w AS (PARTITION BY gk ORDER BY position, lesson_id), p AS (PARTITION BY gk)),
+g AS (SELECT * FROM a WHERE fine)"""
 
 
 def merge_groups(cur):
-    """Promoted lessons of a (role, scope) fold into the one that arrived first."""
-    first = cur.groupBy("role", "scope").agg(
+    """Lessons of a (role, scope), and strays from other scopes, fold into the one that arrived first."""
+    own = F.split_part("scope", F.lit("|"), F.lit(2))
+    number = F.when(F.col("position") % 50 == 7, "0").otherwise(own)
+    cur = cur.withColumn("gk", F.concat_ws("|", "role", F.split_part("scope", F.lit("|"), F.lit(1)), number))
+    first = cur.groupBy("gk").agg(
         F.min_by("lesson_id", F.struct("position", "lesson_id")).alias("primary_id")
     )
-    return cur.join(first, ["role", "scope"]).select(
+    return cur.join(first, "gk").select(
         "primary_id",
         "lesson_id",
         F.when(F.col("lesson_id") == F.col("primary_id"), 0).otherwise(F.col("position") + 1).alias("ord"),
@@ -409,11 +420,11 @@ def merge_groups(cur):
 
 @query(
     "merge_lessons",
-    f"""WITH {MERGE_CTE} SELECT lesson_id, version + 1 AS version, CASE WHEN ord = 0 THEN 'promoted' ELSE 'retired' END AS lifecycle,
+    f"""WITH {MERGE_CTE} SELECT lesson_id, version + 1 AS version, CASE WHEN ord = 0 THEN lifecycle ELSE 'retired' END AS lifecycle,
         CASE WHEN ord > 0 THEN primary_id END AS merged_into FROM g WHERE n > 1""",
 )
 def merge_lessons(spark, folder):
-    cur = current(spark, folder).filter("lifecycle = 'promoted'")
+    cur = current(spark, folder).filter(PROPOSED)
     return lessons.merge_lessons(cur, merge_groups(cur)).select("lesson_id", "version", "lifecycle", "merged_into")
 
 
@@ -424,7 +435,7 @@ def merge_lessons(spark, folder):
           UNION SELECT primary_id, 'merged_from', lesson_id FROM g WHERE n > 1 AND ord > 0) SELECT * FROM l""",
 )
 def merge_links(spark, folder):
-    cur = current(spark, folder).filter("lifecycle = 'promoted'")
+    cur = current(spark, folder).filter(PROPOSED)
     source = F.concat(F.lit("s"), (F.col("position") % 5).cast("string"))
     links = cur.select(
         "lesson_id", F.lit("source").alias("kind"), F.lit(0).alias("pos"), source.alias("value")
@@ -630,7 +641,7 @@ def branch_validity(spark, folder):
 
 
 CONTRAST_CTE = """res AS (SELECT user_id || '-' || event_id % 20 AS branch_set_id, event_type AS role, event_id AS branch_index,
-  'r' || event_id % 4 AS response, round(0.5 * (event_id % 7) / 7.0 + 0.3 * (value / 100) - 0.2 * ((event_id % 5) / 5.0), 9) AS u,
+  'r' || (event_id // 20) % 4 AS response, round(0.5 * (event_id % 7) / 7.0 + 0.3 * (value / 100) - 0.2 * ((event_id % 5) / 5.0), 9) AS u,
   event_id % 9 <> 0 AND event_id % 8 <> 0 AS ok FROM events),
 rk AS (SELECT *, row_number() OVER (PARTITION BY branch_set_id, role ORDER BY u DESC, branch_index) AS a,
   row_number() OVER (PARTITION BY branch_set_id, role ORDER BY u, branch_index DESC) AS z FROM res WHERE ok),
@@ -648,7 +659,7 @@ def contrast_rows(spark, folder):
         F.col("event_type").alias("role"),
         e.alias("branch_index"),
         e.cast("string").alias("branch_id"),
-        F.concat(F.lit("r"), (e % 4).cast("string")).alias("response"),
+        F.concat(F.lit("r"), F.expr("event_id div 20 % 4").cast("string")).alias("response"),
         ((e % 7) / 7.0).alias("task_gain"),
         (F.col("value") / 100).alias("evidence_gain"),
         ((e % 5) / 5.0).alias("costs"),
