@@ -146,3 +146,37 @@ def op5_language_crf(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = language.identify(docs, training=~held_out("doc_id"))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "switches")
+
+
+# --- SQL ------------------------------------------------------------------------------
+
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+SQL["op4_seed_extend"] = f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents),
+x AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 19)) AS i, ws FROM d WHERE len(ws) >= 20),
+y AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 19], ' ')) AS h FROM x),
+r AS (SELECT doc_id, i FROM y QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM r, (SELECT unnest(generate_series(0, 19)) AS k)),
+k AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.p) AS kept, count(*) AS n FROM
+  (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d) w ANTI JOIN c ON c.doc_id = w.doc_id AND c.p = w.p GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+_LOWER = _WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+SQL["op10_ngram_jaccard"] = f"""WITH RECURSIVE d AS (SELECT doc_id, {_LOWER} AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) AS i FROM d WHERE len(ws) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM w),
+n AS (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT n.doc_id, n AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM n JOIN c ON c.a = n.doc_id LEFT JOIN l ON l.a = n.doc_id"""
+
+SQL["op7_warc"] = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < max(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM d WINDOW w AS (PARTITION BY payload_digest)"""
