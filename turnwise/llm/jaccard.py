@@ -8,7 +8,10 @@
    the order of the numbers is the global order.
 3. Candidates: two sets that are similar enough share a shingle among the first few of each in that
    order (the prefix). Equal shingles are brought together and linked as a chain of stars, which is linear in the
-   prefixes, and the connected groups of candidates follow.
+   prefixes, and the connected groups of candidates follow. Inside a group every pair is screened by
+   bitmaps: a bit is the parity of the shingles that hash to it, so each bit in which two sets differ is
+   a shingle that one of them lacks. Sets that only share a passage are told apart here, and only
+   groups of what is left go on.
 4. Vertical partitioning: the global order is cut into ``FRAGMENTS`` fragments. Each fragment counts, for the candidates
    of a group, the partial overlaps of their shingles in that fragment alone; the partial overlaps are summed
    per pair and compared with the threshold. Pairs travel as matrices of counts, never as rows. Groups above
@@ -42,6 +45,8 @@ FLUSH = 2_000_000
 #: The global order is cut where shingles get shorter than so many bytes; the head is the last fragment.
 CUTS = (40, 30, 20)
 FRAGMENTS = len(CUTS) + 2
+#: Bits of a set's bitmap; sets of up to about three times as many shingles can be told apart by it.
+BITMAP_BITS = 1024
 BLOCK = 1000
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
@@ -95,6 +100,19 @@ def set_hashes(row: np.ndarray, token: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
+def bitmaps(row: np.ndarray, token: np.ndarray, rows: int) -> list[bytes]:
+    """For each set, the parity of its shingles in ``BITMAP_BITS`` cells of their hash."""
+    out = []
+    cell = (token & _U(BITMAP_BITS - 1)).astype(np.int64)
+    for start in range(0, rows, 2000):
+        end = min(start + 2000, rows)
+        lo, hi = np.searchsorted(row, [start, end])
+        at = (row[lo:hi] - start) * BITMAP_BITS + cell[lo:hi]
+        odd = np.bincount(at, minlength=(end - start) * BITMAP_BITS).astype(np.uint8) & 1
+        out += [x.tobytes() for x in np.packbits(odd.reshape(end - start, BITMAP_BITS), axis=1)]
+    return out
+
+
 def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -106,18 +124,21 @@ def _describe(n: int):
             token, count = token[count >= SHARED], count[count >= SHARED]
             none = pa.nulls(len(token), pa.int64())
             return pa.record_batch(
-                [none, none, none, none, pa.array(token.view(np.int64)), pa.array(count)], names=names
+                [none, none, none, none, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(count)],
+                names=names,
             )
 
-        names = ["id", "text_hash", "class", "n", "token", "count"]
+        names = ["id", "text_hash", "class", "n", "bitmap", "token", "count"]
         for batch in batches:
             for part in W.chunks(batch, "text"):
                 row, token, size = shingle_sets(part.column(2), n)
                 klass = set_hashes(row, token, size)
                 none = pa.nulls(len(size), pa.int64())
+                bits = pa.array(bitmaps(row, token, len(size)), pa.binary())
                 yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array(klass.view(np.int64)), pa.array(size), none, none], names=names
-                )
+                    [part.column(0), part.column(1), pa.array(klass.view(np.int64)), pa.array(size), bits, none, none],
+                    names=names,
+                )
                 fresh = np.zeros(len(size), bool)
                 for i, c in enumerate(klass.tolist()):
                     if c not in seen:
@@ -322,6 +343,50 @@ def _count(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[*_PAIR, "class_a", "class_b", "n_a", "n_b", "size_a", "size_b", "counts"])
 
 
+def _components(adjacent: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first row that links reach from it."""
+    label = np.full(len(adjacent), -1)
+    for i in range(len(adjacent)):
+        if label[i] < 0:
+            label[i] = i
+            front = [i]
+            while front:
+                near = np.flatnonzero(adjacent[front].any(0) & (label < 0))
+                label[near] = i
+                front = near.tolist()
+    return label
+
+
+def _screen(percent: int):
+    """Stars of the sets that bitmaps and sizes leave possible, in each pair of blocks."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part, runs = _runs(part.drop_duplicates([*_PAIR, "class"]), ["block", "class"])
+        klass, n, block = (part[c].to_numpy(np.int64) for c in ("class", "n", "block"))
+        bits = np.frombuffer(b"".join(part.bitmap), _U).reshape(len(part), BITMAP_BITS // 64)
+        bi, bj = part.bi.tolist(), part.bj.tolist()
+        out = []
+        for lo, hi in runs:
+            near = np.zeros((hi - lo, hi - lo), bool)
+            sizes = n[lo:hi]
+            for i in range(hi - lo - 1):
+                later = slice(lo + i + 1, hi)
+                differ = np.bitwise_count(bits[later] ^ bits[lo + i]).sum(1, dtype=np.int64)
+                both, small_ = sizes[i] + sizes[i + 1 :], np.minimum(sizes[i], sizes[i + 1 :])
+                ok = differ * (100 + percent) <= both * (100 - percent)
+                ok &= percent * (both - small_) <= 100 * small_
+                if bi[lo] != bj[lo]:
+                    ok &= block[later] != block[lo + i]
+                near[i, i + 1 :] = ok
+            label = _components(near | near.T)
+            real = np.flatnonzero(label != np.arange(hi - lo))
+            out.append(np.stack([klass[lo:hi][real], klass[lo:hi][label[real]]], 1))
+        found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
 def _sum(percent: int):
     """Sum the partial overlaps per pair, keep the links, and reduce them to stars and numbers."""
 
@@ -346,15 +411,7 @@ def _sum(percent: int):
                 adjacent = np.zeros((len(both), len(both)), bool)
                 adjacent[: len(ca), len(ca) :] = linked
                 adjacent[len(ca) :, : len(ca)] = linked.T
-            label = np.full(len(both), -1)
-            for i in range(len(both)):
-                if label[i] < 0:
-                    label[i] = i
-                    front = [i]
-                    while front:
-                        near = np.flatnonzero(adjacent[front].any(0) & (label < 0))
-                        label[near] = i
-                        front = near.tolist()
+            label = _components(adjacent)
             out += [(c, both[k], links[c]) for c, k in zip(both, label) if links[c]]
         return pd.DataFrame(out, columns=["class", "centre", "links"])
 
@@ -370,17 +427,34 @@ def describe(docs: DataFrame, id: str, text: str, n: int) -> tuple[DataFrame, np
     """Stored (id, text_hash, class, n) per row of ``docs``, and the head of the global order."""
     c = F.col(f"`{text}`")
     rows = docs.select(_known(id).alias("id"), F.xxhash64(c).alias("text_hash"), c.alias("text"))
-    schema = "id long, text_hash long, class long, n long, token long, count long"
+    schema = "id long, text_hash long, class long, n long, bitmap binary, token long, count long"
     found = stored(rows.mapInArrow(_describe(n), schema), "shingle-sets")
     counted = found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
     top = counted.orderBy(F.desc("count"), "token").limit(HEAD).select("token").toPandas()["token"]
     token = top.to_numpy(np.int64).view(_U)
     place = np.arange(len(token), 0, -1).astype(_U)  # the most frequent last
     order = np.argsort(token)
-    described = found.filter("token IS NULL").select("id", "text_hash", "class", "n")
+    described = found.filter("token IS NULL").select("id", "text_hash", "class", "n", "bitmap")
     return described, np.stack([token[order], place[order]])
 
 
+def _tasks(groups: DataFrame) -> DataFrame:
+    """The tasks of each class of ``groups`` (class, component and more): one per bin of small groups,
+    one per pair of blocks of a large one."""
+    counts = groups.groupBy("component").agg(F.count("*").alias("m"))
+    few = counts.agg(F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))), F.sum(F.col("m") * F.ceil(F.col("m") / BLOCK))).first()
+    bins = max(1, math.ceil((few[0] or 0) / BLOCK))
+    placed = groups.join(counts, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("class"), "blocks")).otherwise(0).cast("int")
+    placed = placed.withColumn("block", own)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+    alone = F.pmod(F.xxhash64("component"), F.lit(bins))
+    placed = placed.withColumn("task", F.when(F.col("blocks") > 1, F.xxhash64("component", "bi", "bj")).otherwise(alone))
+    placed = placed.drop("m", "blocks", "other")
+    return F.broadcast(placed) if (few[1] or 0) <= BROADCAST_ROWS else placed
+
+
 def join(
     docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -400,13 +474,15 @@ def join(
     together = prefixes.repartition("token").sortWithinPartitions("token", "sizes", "class")
     stars = together.mapInArrow(_stars(), "a long, b long").distinct()
     groups = stored(components(stars).toDF("class", "component"), "candidates")
+    bits = full.join(small(groups.select("class"), BROADCAST_ROWS), "class", "left_semi")
+    bits = bits.select("class", "n", "bitmap").dropDuplicates(["class"])
+    screened = bits.join(_tasks(groups), "class").groupBy("task").applyInPandas(_screen(percent), "a long, b long")
+    groups = stored(components(screened).toDF("class", "component"), "screened")
     sizes = full.groupBy("class").agg(
         F.count("*").alias("size"), F.min("id").alias("min_id"), F.min(F.struct("id", "text_hash")).alias("one")
     )
     sizes = stored(sizes, "classes")
-    members = groups.join(sizes.select("class", "size", "one"), "class")
-    counts = groups.groupBy("component").agg(F.count("*").alias("m"))
-    members = stored(members.join(counts, "component"), "members")
+    members = stored(groups.join(sizes.select("class", "size", "one"), "class"), "members")
     # the texts of one document per class that has candidates
     wanted = members.select(F.col("one.id").alias("id"), F.col("one.text_hash").alias("text_hash")).distinct()
     wanted = small(stored(wanted, "wanted"), BROADCAST_ROWS)
@@ -416,21 +492,8 @@ def join(
     cut = chosen.select("text").mapInArrow(
         _fragments(n, head), "class long, n long, fragment int, tokens binary"
     )
-    # one task per bin of small groups, or per pair of blocks of a large one
-    bins = max(1, math.ceil(members.filter(F.col("m") <= BLOCK).count() / BLOCK))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = members.select("class", "component", "size", blocks.alias("blocks")).withColumn(
-        "block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("class"), "blocks")).otherwise(0).cast("int")
-    )
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bi, bj = F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
-    placed = placed.select("class", "component", "size", "block", "blocks", bi, bj)
-    task = F.when(F.col("blocks") > 1, F.xxhash64("component", "bi", "bj")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins)))
-    placed = placed.withColumn("task", task).drop("blocks")
+    placed = _tasks(members.select("class", "component", "size"))
     blob = ", ".join(f"{x}_{s} binary" for x in ("class", "n", "size") for s in "ab")
-    copies = members.agg(F.sum(F.ceil(F.col("m") / BLOCK))).first()[0] or 0
-    if copies <= BROADCAST_ROWS:  # a class goes to as many tasks as its group has blocks
-        placed = F.broadcast(placed)
     partial = cut.join(placed, "class").groupBy("task", "fragment").applyInPandas(
         _count, f"task long, component long, bi int, bj int, {blob}, counts binary"
     )
@@ -447,8 +510,8 @@ def join(
     classes = stored(classes, "linked-classes")
     least = classes.groupBy("component").agg(F.min("min_id").alias("component_id"))
     by_class = classes.join(least, "component").select("class", "component", "component_id", "n_links")
-    joined = full.join(by_class, "class")
-    empty = described.filter("n = 0").select(
+    joined = full.drop("bitmap").join(by_class, "class")
+    empty = described.filter("n = 0").drop("bitmap").select(
         "*", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
     )
     name = lambda c: F.nullif(F.col(c), F.lit(_NO_ID)).alias(c)
