@@ -21,8 +21,8 @@ def test_matches_sql(spark, con, name):
     assert differences(RUNS[name](spark, FOLDER), con, SQL[name]) is None
 
 
-def test_only_three_queries_have_no_sql():
-    assert set(RUNS) - set(SQL) == {"json_objects", "acquisition_trace", "near_duplicates"}
+def test_only_one_query_has_no_sql():
+    assert set(RUNS) - set(SQL) == {"acquisition_trace"}
 
 
 @pytest.mark.parametrize("name", sorted(set(RUNS) - {"acquisition_trace"}))

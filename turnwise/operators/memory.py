@@ -220,6 +220,18 @@ def criterion_map(item_results: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+def criterion_records(item_results: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The records behind the rows of ``criterion_map``: ``(session_id, topic, record_id, side, counterpart_id)``.
+
+    ``side`` and ``counterpart_id`` (the first record it stands against) are null where a record
+    contradicts nothing. One row per record, so a topic may have any number.
+    """
+    keys = ["session_id", "topic"]
+    behind = evidence.select(*keys, "record_id").join(item_results.select(*keys), keys, "left_semi")
+    sides = contradiction_sides(evidence).select(*keys, "record_id", "side", F.col("first.record_id").alias("counterpart_id"))
+    return behind.join(sides, [*keys, "record_id"], "left")
+
+
 def collect_maps(criterion_maps: DataFrame) -> DataFrame:
     """One review row per session; a session has one row per topic of the scale."""
 

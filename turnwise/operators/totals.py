@@ -116,3 +116,13 @@ def report(topic_states: DataFrame) -> DataFrame:
         F.sum(F.size("score_basis_slot_ids")).cast("long").alias("cited_slots"),
         F.count("*").alias("topics"),
     )
+
+
+def report_topics(topic_states: DataFrame) -> DataFrame:
+    """Score and cited slots per topic of a case, a row per slot and one for a topic that cites none."""
+    return topic_states.select(
+        "case_id",
+        "topic",
+        F.coalesce("proposed_score", F.lit(0)).alias("score"),
+        F.posexplode_outer("score_basis_slot_ids").alias("pos", "slot_id"),
+    )

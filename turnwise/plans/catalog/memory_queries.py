@@ -234,6 +234,19 @@ def criterion_map(spark, folder):
     return cmap(spark, folder)
 
 
+@query(
+    "criterion_records",
+    f"""WITH {RESULTS_CTE}, {MEMORY_CTE}, s AS (SELECT *, min((round_index, record_id)) FILTER (WHERE side = 'refutes') OVER w AS fr,
+          min((round_index, record_id)) FILTER (WHERE side = 'supports') OVER w AS fp
+        FROM sided WINDOW w AS (PARTITION BY session_id, topic))
+        SELECT s.session_id, s.topic, record_id, CASE WHEN fr IS NOT NULL AND fp IS NOT NULL THEN side END AS side,
+          CASE WHEN fr IS NULL OR fp IS NULL THEN NULL WHEN side = 'refutes' THEN fp[2] WHEN side = 'supports' THEN fr[2] END AS counterpart_id
+        FROM s SEMI JOIN res r ON r.session_id = s.session_id AND r.topic = s.topic""",
+)
+def criterion_records(spark, folder):
+    return M.criterion_records(item_results(spark, folder), memory(spark, folder))
+
+
 @query(
     "collect_maps",
     f"""WITH {MAP_CTE} SELECT session_id,
@@ -296,3 +309,20 @@ def report(spark, folder):
         ),
     )
     return T.report(df)
+
+
+@query(
+    "report_topics",
+    """WITH r AS (SELECT l_orderkey AS case_id, l_linenumber AS topic, CASE WHEN l_suppkey % 5 = 0 THEN 0 ELSE l_partkey % 4 END AS score,
+         ['a', 'b'][1:l_linenumber % 3] AS slots FROM lineitem)
+       SELECT case_id, topic, score, s.pos AS pos, s.slot AS slot_id FROM r
+         LEFT JOIN LATERAL (SELECT generate_subscripts(slots, 1) - 1 AS pos, unnest(slots) AS slot) s ON true""",
+)
+def report_topics(spark, folder):
+    df = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"),
+        F.col("l_linenumber").alias("topic"),
+        F.when(F.col("l_suppkey") % 5 != 0, F.col("l_partkey") % 4).alias("proposed_score"),
+        F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), F.col("l_linenumber") % 3).alias("score_basis_slot_ids"),
+    )
+    return T.report_topics(df)

@@ -72,7 +72,21 @@ def word_similarity(spark, folder):
     )
 
 
-@query("near_duplicates")
+@query(
+    "near_duplicates",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, lang AS role, source AS scope, {WORDS_SQL.format(t='text')} AS ws FROM documents),
+        w AS (SELECT doc_id, role, scope, unnest(ws) AS t, len(ws) AS n FROM d),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n + b.n) AS n FROM w a
+          JOIN w b ON a.t = b.t AND a.role = b.role AND a.scope = b.scope AND b.doc_id < a.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, list(b) AS bs FROM c WHERE round(k / (n - k), 9) >= 0.8 GROUP BY a),
+        o AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, coalesce(bs, []::BIGINT[]) AS bs
+          FROM d LEFT JOIN e ON a = doc_id),
+        r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS f, NULL::BIGINT AS doc_id, NULL::BIGINT AS p UNION ALL
+          SELECT o.i, CASE WHEN list_has_any(f, bs) THEN f ELSE list_append(f, o.doc_id) END, o.doc_id,
+            CASE WHEN list_has_any(f, bs) THEN list_min(list_intersect(f, bs)) ELSE o.doc_id END FROM r JOIN o ON o.i = r.i + 1)
+        SELECT role, scope, p AS "primary", r.doc_id AS row_id FROM r JOIN d ON d.doc_id = r.doc_id
+        WHERE p IN (SELECT p FROM r GROUP BY p HAVING count(*) > 1)""",
+)
 def near_duplicates(spark, folder):
     d = table(spark, folder, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("lang").alias("role"), F.col("source").alias("scope"),

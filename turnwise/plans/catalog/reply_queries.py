@@ -88,7 +88,11 @@ def clean_replies(spark, folder):
     return D.clean_replies(SCORER.load(spark, folder)).select("event_id", "tag_free", "cleaned")
 
 
-@query("json_objects")
+@query(
+    "json_objects",
+    f"""WITH s AS (SELECT event_id, regexp_extract_all(raw, '\\{{[^{{}}]*\\}}') AS spans FROM ({SCORER.sql}))
+        SELECT event_id, generate_subscripts(spans, 1) - 1 AS pos, unnest(spans) AS span FROM s""",
+)
 def json_objects(spark, folder):
     df = SCORER.load(spark, folder)
     spans = df.select("event_id", F.posexplode(D.json_objects("raw")).alias("pos", "span"))

@@ -209,3 +209,41 @@ def sample_head(spark, folder):
     named = F.when(i % 9 == 0, F.concat(F.lit("x"), i.cast("string"))).otherwise(i.cast("string"))
     inputs = table(spark, folder, "conversations").select(named.alias("session_id")).distinct()
     return runs.sample_head(inputs, 25)
+
+
+SUMMARY = View(
+    "orders",
+    session_id="o_orderkey",
+    predicted="CASE WHEN o_orderkey % 11 > 0 THEN o_custkey % 25 END",
+    reference="CASE WHEN o_custkey % 13 > 0 THEN o_orderkey % 25 END",
+)
+SUMMARY_CTE = f"""s AS (SELECT *, predicted IS NOT NULL AND reference IS NOT NULL AS scored, abs(predicted - reference) AS absolute_difference,
+  predicted >= 10 AS predicted_binary, reference >= 10 AS reference_binary FROM ({SUMMARY.sql}))"""
+
+
+def _summary(spark, folder):
+    """The two files of a batch's summary, written and read back."""
+    sessions = runs.session_summary(SUMMARY.load(spark, folder))
+    path = _fresh(spark, "summary")
+    runs.write_summary(runs.batch_summary(sessions), sessions, path)
+    return path
+
+
+@query("session_summary", f"WITH {SUMMARY_CTE} SELECT * FROM s")
+def session_summary(spark, folder):
+    schema = (
+        "session_id long, predicted long, reference long, scored boolean, absolute_difference long, "
+        "predicted_binary boolean, reference_binary boolean"
+    )
+    return spark.read.schema(schema).option("header", True).csv(f"{_summary(spark, folder)}/sessions")
+
+
+@query(
+    "batch_summary",
+    f"""WITH {SUMMARY_CTE} SELECT count(*) FILTER (WHERE scored) AS scored, round(avg(absolute_difference) FILTER (WHERE scored), 6) AS mae,
+        round(avg(CASE WHEN predicted_binary = reference_binary THEN 1.0 ELSE 0.0 END) FILTER (WHERE scored), 6) AS binary_agreement,
+        count(*) FILTER (WHERE NOT scored) AS unscored FROM s""",
+)
+def batch_summary(spark, folder):
+    schema = "scored long, mae double, binary_agreement double, unscored long"
+    return spark.read.schema(schema).json(f"{_summary(spark, folder)}/metrics")

@@ -80,6 +80,37 @@ def sample_head(inputs: DataFrame, n: int, key: str = "session_id") -> DataFrame
     return inputs.orderBy(number.asc_nulls_last(), F.col(key)).limit(n)
 
 
+def session_summary(records: DataFrame, threshold: int = 10) -> DataFrame:
+    """Per session of a run: predicted and true total, their difference, both sides of ``threshold``.
+
+    ``records`` is ``(session_id, predicted, reference)``; a session without both is not ``scored``.
+    """
+    both = F.col("predicted").isNotNull() & F.col("reference").isNotNull()
+    return records.select(
+        "session_id",
+        "predicted",
+        "reference",
+        both.alias("scored"),
+        F.abs(F.col("predicted") - F.col("reference")).alias("absolute_difference"),
+        (F.col("predicted") >= threshold).alias("predicted_binary"),
+        (F.col("reference") >= threshold).alias("reference_binary"),
+    )
+
+
+def batch_summary(sessions: DataFrame) -> DataFrame:
+    """One row over ``session_summary``: how many sessions are scored, their error, their binary agreement.
+
+    The unscored ids are the rows of ``sessions`` that are not ``scored``.
+    """
+    scored = sessions.filter("scored")
+    agree = F.col("predicted_binary") == F.col("reference_binary")
+    return scored.agg(
+        F.count("*").alias("scored"),
+        F.round(F.avg("absolute_difference"), 6).alias("mae"),
+        F.round(F.avg(agree.cast("double")), 6).alias("binary_agreement"),
+    ).join(sessions.agg(F.count_if(~F.col("scored")).alias("unscored")))
+
+
 def write_summary(metrics: DataFrame, records: DataFrame, path: str) -> None:
     """Batch summary: the one-row metrics as JSON, the per-session totals as CSV."""
     metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
