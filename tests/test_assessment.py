@@ -29,7 +29,7 @@ def test_acquire(spark, limit):
     states, trace = assessment.acquire(pairs, seeds, rec, SCOPES, budget=6, limit=limit)
 
     first = R.retrieve_topics(pairs, EDGES, QUERIES, limit).orderBy("rank").collect()
-    want, steps = {}, []
+    want, steps, finds = {}, [], []
     for s in "stu":
         own = [p for p in PAIRS if p[0] == s]
         st = {}
@@ -55,6 +55,7 @@ def test_acquire(spark, limit):
             if queries:
                 known = {a for a, _ in x["turns"]}
                 found = [(a, "expanded") for a, _, _ in search(own, queries, limit, known)]
+                finds += [(s, t, r, i, a) for i, (a, _) in enumerate(found)]
                 x["turns"] = (x["turns"] + found)[:limit]
                 if tier(x) != before:
                     x["ok"] = verdict
@@ -68,3 +69,5 @@ def test_acquire(spark, limit):
     assert got == want
     shown = sorted((r.session_id, r.topic, r.round_index, r.tier_before, r.tier_after) for r in trace.collect())
     assert shown == sorted(steps) and steps
+    rows = assessment.round_finds(trace).collect()
+    assert sorted((r.session_id, r.topic, r.round_index, r.pos, r.turn_id) for r in rows) == sorted(finds) and finds

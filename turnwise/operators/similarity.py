@@ -42,21 +42,19 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("order"))
     )
     return ordered.select(
-        *_SPACE, "ord", F.explode(F.slice("order", F.lit(1), keep.cast("int"))["token"]).alias("token")
+        *_SPACE, "ord", F.size("order").alias("n"), F.explode(F.slice("order", F.lit(1), keep.cast("int"))["token"]).alias("token")
     )
 
 
 def _close(left: DataFrame, right: DataFrame, threshold: float, sets: DataFrame) -> DataFrame:
     """(ord, other) pairs that share a bucket, ``other`` being earlier, and are similar."""
-    other = right.select(*_SPACE, "token", F.col("ord").alias("other"))
-    met = left.join(other, [*_SPACE, "token"]).filter(F.col("other") < F.col("ord")).select("ord", "other").distinct()
+    other = right.select(*_SPACE, "token", F.col("ord").alias("other"), F.col("n").alias("m"))
+    # A similar set is neither much shorter nor much longer.
+    sized = (F.col("m") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("m") * threshold - 1e-9)
+    met = left.join(other, [*_SPACE, "token"]).filter((F.col("other") < F.col("ord")) & sized).select("ord", "other").distinct()
     a = sets.select("ord", F.col("tokens").alias("ta"))
     b = sets.select(F.col("ord").alias("other"), F.col("tokens").alias("tb"))
-    # A similar set is neither much shorter nor much longer.
-    sized = met.join(a, "ord").join(b, "other").filter(
-        (F.size("tb") >= F.size("ta") * threshold - 1e-9) & (F.size("ta") >= F.size("tb") * threshold - 1e-9)
-    )
-    return sized.filter(F.round(jaccard(F.col("ta"), F.col("tb")), 9) >= round(threshold, 9)).select("ord", "other")
+    return met.join(a, "ord").join(b, "other").filter(F.round(jaccard(F.col("ta"), F.col("tb")), 9) >= round(threshold, 9)).select("ord", "other")
 
 
 def near_duplicates(entries: DataFrame, threshold: float, width: int = 32) -> DataFrame:

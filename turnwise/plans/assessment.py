@@ -102,10 +102,21 @@ def acquisition_round(
         F.when(judged, F.col("verdict")).otherwise(F.col("sufficient")).alias("sufficient"),
         "queries",
         F.transform("turns", lambda t: t["turn_id"]).alias("excluded"),
+        F.coalesce("found", F.slice("turns", 1, 0)).alias("found"),
         "new_turns",
     )
 
 
+def round_finds(trace: DataFrame) -> DataFrame:
+    """Every turn that a round found, also those that the merge had no room for, one row each.
+
+    Claims are extracted from all of them: ``append_evidence`` takes the claims recorded for these rows.
+    """
+    return trace.select(
+        "session_id", "topic", "round_index", F.posexplode("found").alias("pos", "turn")
+    ).select("session_id", "topic", "round_index", "pos", "turn.*")
+
+
 def acquire(
     pairs: DataFrame,
     states: DataFrame,

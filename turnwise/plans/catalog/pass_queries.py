@@ -47,7 +47,17 @@ def acquisition_trace(spark, folder):
     recorded = recorded_rounds(pairs)
     seeds = assessment.seed_states(pairs, EDGES, QUERIES, recorded)
     _, trace = assessment.acquire(pairs, seeds, recorded, ["sleep|absent", "mood|lexical"])
-    return trace.withColumns({c: F.array_join(c, ",") for c in ("queries", "excluded")})
+    return trace.drop("found").withColumns({c: F.array_join(c, ",") for c in ("queries", "excluded")})
+
+
+@query("round_finds")
+def round_finds(spark, folder):
+    """Turns found per round; without SQL like the trace, and compared with it in the tests."""
+    pairs = stored_pairs(spark, folder)
+    recorded = recorded_rounds(pairs)
+    seeds = assessment.seed_states(pairs, EDGES, QUERIES, recorded)
+    _, trace = assessment.acquire(pairs, seeds, recorded, ["sleep|absent", "mood|lexical"])
+    return assessment.round_finds(trace)
 
 
 WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: w <> ''))"
