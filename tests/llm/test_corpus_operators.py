@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,27 @@ def test_one_document_of_each_group_stays(docs):
     assert jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_bitmaps_never_exceed_the_difference():
+    import numpy as np
+
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(2500)]
+    texts = [" ".join(base[: rng.randint(1, 2500)]) for _ in range(40)] + ["", "a b c d"]
+    row, token, size = jaccard.shingle_sets(pa.array(texts, pa.string()), 4)
+    sets = [set(token[row == r].tolist()) for r in range(len(texts))]
+    maps = jaccard.bitmaps(row, token, size)
+    assert len({len(m) for m in maps}) > 2
+    seen = set()
+    for i, others, differ in jaccard._differences(maps):
+        for j, d in zip(others.tolist(), differ.tolist()):
+            true = len(sets[i] ^ sets[j])
+            assert d <= true and d % 2 == true % 2 and frozenset((i, j)) not in seen
+            alike = 100 * min(size[i], size[j]) >= 85 * max(size[i], size[j])
+            assert not alike or d >= 0.4 * true
+            seen.add(frozenset((i, j)))
+    assert len(seen) == len(texts) * (len(texts) - 1) // 2 and np.all(size[-2:] == [0, 1])
+
+
 def test_components_of_chains_stars_and_repeats(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, 201)] * 2

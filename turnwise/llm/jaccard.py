@@ -45,7 +45,7 @@ FLUSH = 2_000_000
 #: The global order is cut where shingles get shorter than so many bytes; the head is the last fragment.
 CUTS = (40, 30, 20)
 FRAGMENTS = len(CUTS) + 2
-#: Bits of a set's bitmap; sets of up to about three times as many shingles can be told apart by it.
+#: Bits of the smallest bitmap.
 BITMAP_BITS = 1024
 BLOCK = 1000
 BROADCAST_ROWS = 1_000_000
@@ -100,19 +100,50 @@ def set_hashes(row: np.ndarray, token: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
-def bitmaps(row: np.ndarray, token: np.ndarray, rows: int) -> list[bytes]:
-    """For each set, the parity of its shingles in ``BITMAP_BITS`` cells of their hash."""
-    out = []
-    cell = (token & _U(BITMAP_BITS - 1)).astype(np.int64)
-    for start in range(0, rows, 2000):
-        end = min(start + 2000, rows)
-        lo, hi = np.searchsorted(row, [start, end])
-        at = (row[lo:hi] - start) * BITMAP_BITS + cell[lo:hi]
-        odd = np.bincount(at, minlength=(end - start) * BITMAP_BITS).astype(np.uint8) & 1
-        out += [x.tobytes() for x in np.packbits(odd.reshape(end - start, BITMAP_BITS), axis=1)]
+def bitmaps(row: np.ndarray, token: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For each set, the parity of its shingles in the cells of their hash.
+
+    A set has at least twice as many cells as shingles, in powers of two from ``BITMAP_BITS``. Halves
+    of a bitmap combine by exclusive or to the one with half as many cells.
+    """
+    out = [b""] * len(size)
+    cells = np.maximum(BITMAP_BITS, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    first = np.searchsorted(row, np.arange(len(size) + 1))
+    for bits in np.unique(cells).tolist():
+        mine = np.flatnonzero(cells == bits)
+        step = max(1, (1 << 21) // bits)
+        for at in range(0, len(mine), step):
+            rows = mine[at : at + step]
+            count = first[rows + 1] - first[rows]
+            place = np.repeat(first[rows] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            cell = (token[place] & _U(bits - 1)).astype(np.int64) + np.repeat(np.arange(len(rows)) * bits, count)
+            odd = np.bincount(cell, minlength=len(rows) * bits).astype(np.uint8) & 1
+            packed = np.packbits(odd.reshape(len(rows), bits), axis=1)
+            for r, x in zip(rows.tolist(), packed):
+                out[r] = x.tobytes()
     return out
 
 
+def _differences(maps: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each bitmap, others and in how many bits they differ from it; each pair comes once.
+
+    Bitmaps of different length are compared at the shorter's.
+    """
+    length = np.array([len(x) for x in maps])
+    for size in np.unique(length).tolist():
+        rows = np.flatnonzero(length >= size)
+        folded = np.empty((len(rows), size // 8), _U)
+        for k, r in enumerate(rows.tolist()):
+            x = np.frombuffer(maps[r], _U)
+            while x.nbytes > size:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            folded[k] = x
+        for k, r in enumerate(rows.tolist()):
+            if length[r] == size:
+                other = np.flatnonzero((length[rows] > size) | (rows > r))
+                yield r, rows[other], np.bitwise_count(folded[other] ^ folded[k]).sum(1, dtype=np.int64)
+
+
 def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -134,7 +165,7 @@ def _describe(n: int):
                 row, token, size = shingle_sets(part.column(2), n)
                 klass = set_hashes(row, token, size)
                 none = pa.nulls(len(size), pa.int64())
-                bits = pa.array(bitmaps(row, token, len(size)), pa.binary())
+                bits = pa.array(bitmaps(row, token, size), pa.binary())
                 yield pa.record_batch(
                     [part.column(0), part.column(1), pa.array(klass.view(np.int64)), pa.array(size), bits, none, none],
                     names=names,
@@ -363,21 +394,19 @@ def _screen(percent: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part, runs = _runs(part.drop_duplicates([*_PAIR, "class"]), ["block", "class"])
         klass, n, block = (part[c].to_numpy(np.int64) for c in ("class", "n", "block"))
-        bits = np.frombuffer(b"".join(part.bitmap), _U).reshape(len(part), BITMAP_BITS // 64)
+        maps = part.bitmap.tolist()
         bi, bj = part.bi.tolist(), part.bj.tolist()
         out = []
         for lo, hi in runs:
             near = np.zeros((hi - lo, hi - lo), bool)
             sizes = n[lo:hi]
-            for i in range(hi - lo - 1):
-                later = slice(lo + i + 1, hi)
-                differ = np.bitwise_count(bits[later] ^ bits[lo + i]).sum(1, dtype=np.int64)
-                both, small_ = sizes[i] + sizes[i + 1 :], np.minimum(sizes[i], sizes[i + 1 :])
+            for i, other, differ in _differences(maps[lo:hi]):
+                both, least = sizes[i] + sizes[other], np.minimum(sizes[i], sizes[other])
                 ok = differ * (100 + percent) <= both * (100 - percent)
-                ok &= percent * (both - small_) <= 100 * small_
+                ok &= percent * (both - least) <= 100 * least
                 if bi[lo] != bj[lo]:
-                    ok &= block[later] != block[lo + i]
-                near[i, i + 1 :] = ok
+                    ok &= block[lo + other] != block[lo + i]
+                near[i, other] = ok
             label = _components(near | near.T)
             real = np.flatnonzero(label != np.arange(hi - lo))
             out.append(np.stack([klass[lo:hi][real], klass[lo:hi][label[real]]], 1))
