@@ -459,7 +459,9 @@ def describe(docs: DataFrame, id: str, text: str, n: int) -> tuple[DataFrame, np
     schema = "id long, text_hash long, class long, n long, bitmap binary, token long, count long"
     found = stored(rows.mapInArrow(_describe(n), schema), "shingle-sets")
     counted = found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
-    top = counted.orderBy(F.desc("count"), "token").limit(HEAD).select("token").toPandas()["token"]
+    # stored first: so the tasks' own heads meet in a task and not on the driver
+    top = stored(counted.orderBy(F.desc("count"), "token").limit(HEAD), "head")
+    top = top.orderBy(F.desc("count"), "token").toPandas()["token"]
     token = top.to_numpy(np.int64).view(_U)
     place = np.arange(len(token), 0, -1).astype(_U)  # the most frequent last
     order = np.argsort(token)
