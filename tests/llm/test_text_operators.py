@@ -224,6 +224,30 @@ def test_planted_items_are_found(spark, docs):
     assert decontaminate.clean(docs, benchmark).columns == docs.columns
 
 
+LONG_ITEM = (
+    "in the morning the baker near the old bridge fills three baskets with fresh rolls for Mary and then carries 1000 grams of "
+    "flour back to the mill where his brother waits until noon before both of them walk home to count what is left"
+)
+
+
+def found(spark, items, texts):
+    """(text number, item number) of the matches."""
+    a = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    b = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.matches(b, a, ["doc_id"]).collect()}
+
+
+def test_inserted_words_long_names_and_half_items_are_found(spark):
+    split_at = LONG_ITEM.split()
+    inserted = " ".join([*split_at[:14], "quickly", *split_at[14:28], "again", *split_at[28:]])
+    renamed = LONG_ITEM.replace("Mary", "Mary Ann Smith").replace("1000 grams", "1 000 kg")
+    half = "we saw that " + " ".join(split_at[: len(split_at) // 2]) + " and nothing else happened here today"
+    copies = LONG_ITEM + " so " + LONG_ITEM.replace("Mary", "Paul")
+    few = "they say that " + " ".join(split_at[:9]) + " and nothing else happened here today at all"
+    texts = [inserted, renamed, half, copies, few, "the mill and the old bridge and the baker near the noon"]
+    assert found(spark, [LONG_ITEM], texts) == {(0, 0), (1, 0), (2, 0), (3, 0)}
+
+
 # languages
 
 

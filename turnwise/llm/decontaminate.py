@@ -2,10 +2,13 @@
 
 A text turns into words without punctuation, in lower case, in which a number, a capitalised word
 inside a sentence and a unit after a number stand as placeholders that keep their values beside
-them. Windows of eight template words are hash-joined with those of the benchmark; hits of one
-document and item on one diagonal are counted, and the values in the slots are compared: the same
-value of the item must always stand for the same value of the document. A copied question passes
-with equal values, a re-parameterised one with values that were replaced throughout.
+them. A run of names, or of numbers with their units, is one placeholder, so that a value may be
+replaced by one of another word count. Windows of eight such words are hash-joined with those of the
+benchmark; hits of one document and item are chained over diagonals that lie near each other, since
+every inserted or deleted word shifts the diagonal. What a chain (and each diagonal alone) covers of
+the item is counted, and the values in the slots are compared: the same value of the item must
+always stand for the same value of the document. A copied question passes with equal values, a
+re-parameterised one with values that were replaced throughout.
 
 All of it is DataFrame functions. Windows of documents are never shuffled while the windows of the
 benchmark are few enough to be broadcast; a larger benchmark is joined by a shuffle.
@@ -14,9 +17,10 @@ benchmark are few enough to be broadcast; a larger benchmark is joined by a shuf
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, small, stored
+from .common import SPACES, WORD, free_name, small, stored
 
 # Units that may follow a number.
 UNITS = [
@@ -33,12 +37,16 @@ WINDOW = 8
 MIN_LITERALS = 5
 MIN_COVERAGE = 0.5
 MIN_CONSISTENCY = 0.8
+#: Words of an item in one chain that tell it by themselves, however long the item is.
+LONG_MATCH = 20
+#: Diagonals at most this far apart belong to one chain: so many words may be inserted or left out at once.
+BAND = 16
 #: Rows of benchmark windows, and of flagged texts, up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def template_words(text: Column) -> Column:
-    """Words of the template; a placeholder word is its mark followed by the value it stands for."""
+def _marked(text: Column) -> Column:
+    """The text in lower case without punctuation, with a mark before each value of a slot."""
     t = F.coalesce(text, F.lit(""))
     number = r"[$€£]?[0-9]+(?:[.,:/][0-9]+)*%?"
     t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_.,]){number}", f"{NUMBER}$0")
@@ -47,10 +55,28 @@ def template_words(text: Column) -> Column:
     t = F.regexp_replace(
         t, r"\p{Lu}(?<=[\p{Ll}\p{N},;)][\x20\x09-\x0D]\p{Lu})[\p{L}\p{N}'’-]*", f"{NAME}$0"
     )
-    t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}\x20\x09-\x0D]+", "")
+    return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}\x20\x09-\x0D]+", "")
+
+
+def template_words(text: Column) -> Column:
+    """Words of the template; a placeholder word is its mark followed by the value it stands for."""
+    return F.regexp_extract_all(_marked(text), F.lit(WORD), F.lit(0))
+
+
+def _merged(marked: Column) -> Column:
+    """Template words in which a run of names, or of numbers and units, is one placeholder."""
+    t = F.regexp_replace(marked, rf"((?<![^\x20\x09-\x0D]){NAME}{WORD}){SPACES}(?={NAME})", "$1")
+    t = F.regexp_replace(t, rf"((?<![^\x20\x09-\x0D]){NUMBER}{WORD}){SPACES}(?=[{NUMBER}{UNIT}])", "$1")
+    t = F.regexp_replace(t, rf"(?<=[^\x20\x09-\x0D])[{NUMBER}{NAME}{UNIT}]", "")
     return F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
 
 
+def _templates(df: DataFrame, text: str) -> DataFrame:
+    """The column ``text`` replaced by ``template`` (a number) and ``words``, a row per template of the text."""
+    marked = df.withColumn("marked", _marked(F.col(text))).drop(text)
+    return marked.withColumn("template", F.lit(0)).withColumn("words", _merged(F.col("marked"))).drop("marked")
+
+
 def _is_slot(word: Column) -> Column:
     return word.between(F.lit(NUMBER), F.lit(UNIT + "￿"))
 
@@ -72,58 +98,90 @@ def _windows(df: DataFrame, words: str) -> DataFrame:
 def benchmark_windows(benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """Windows of the benchmark that hold enough literal words to tell a question by.
 
-    ``n_windows`` is their number in the item. Items shorter than a window have none and are never found.
+    Per item and template, ``n_windows`` is their number, ``n_words`` how many words they cover and
+    ``item_words`` the number of all words. Items shorter than a window have none.
     """
-    items = benchmark.select(F.col(f"`{item}`").alias("item_id"), template_words(F.col(f"`{text}`")).alias("words"))
-    rows = _windows(items.distinct(), "words").withColumn("slots", F.slice("words", F.col("at") + 1, WINDOW))
+    items = benchmark.select(F.col(f"`{item}`").alias("item_id"), F.col(f"`{text}`").alias("item_text"))
+    rows = _windows(_templates(items.distinct(), "item_text"), "words")
+    rows = rows.withColumn("slots", F.slice("words", F.col("at") + 1, WINDOW))
     literals = F.size(F.filter("slots", lambda w: ~_is_slot(w)))
-    rows = rows.filter(literals >= MIN_LITERALS).select("item_id", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    n = rows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return rows.join(n, rows.item_id.eqNullSafe(n.item_id)).drop(n.item_id)
+    rows = rows.filter(literals >= MIN_LITERALS).select(
+        "item_id", "template", "window", F.size("words").alias("item_words"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots")
+    ).distinct()
+    covered = rows.withColumn("pos", F.explode(F.sequence("item_at", F.col("item_at") + WINDOW - 1)))
+    n = covered.groupBy(F.col("item_id").alias("id"), F.col("template").alias("t")).agg(
+        F.count_distinct("item_at", "window").alias("n_windows"), F.count_distinct("pos").alias("n_words")
+    )
+    return rows.join(n, rows.item_id.eqNullSafe(n.id) & (rows.template == n.t)).drop("id", "t")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Per key columns of ``docs`` and item: the best diagonal of matching windows.
+    """Per key columns of ``docs`` and item: the best chain, or diagonal, of matching windows.
 
     Columns: the key, ``item_id``, ``n_matched`` (windows of the item found), ``coverage`` (their
-    share) and ``consistency`` (the share of slot values that always stand for one value; 1 without
-    slots). Only pairs that reach ``MIN_COVERAGE`` and ``MIN_CONSISTENCY`` are returned. Null and
+    share, or that of the words they cover if that is more) and ``consistency`` (the share of slot
+    values that always stand for one value; 1 without slots). Only pairs that reach ``MIN_COVERAGE``
+    or ``LONG_MATCH`` words, and ``MIN_CONSISTENCY``, are returned. Null and
     empty texts and an empty benchmark match nothing. Rows with equal keys count as one document,
     so the key should hold a hash of the text where identifiers may repeat.
     """
     windows = small(stored(benchmark_windows(benchmark), "benchmark-windows"), BROADCAST_ROWS)
     names = [f"key{i}" for i in range(len(key))]
     rows = docs.select(
-        *(F.col(f"`{c}`").alias(n) for c, n in zip(key, names)), template_words(F.col(f"`{text}`")).alias("words")
+        *(F.col(f"`{c}`").alias(n) for c, n in zip(key, names)), F.col(f"`{text}`").alias("doc_text")
     )
     hits = (
-        _windows(rows, "words")
-        .join(windows, "window")
+        _windows(_templates(rows, "doc_text"), "words")
+        .join(windows, ["template", "window"])
         .select(
             *names,
             "item_id",
+            "template",
             (F.col("at") - F.col("item_at")).alias("diagonal"),
             "item_at",
+            "item_words",
             "n_windows",
+            "n_words",
             F.arrays_zip(F.col("item_slots").alias("a"), F.slice("words", F.col("at") + 1, WINDOW).alias("b")).alias("zipped"),
         )
     )
     hits = stored(hits, "benchmark-hits")
-    group = [*names, "item_id", "diagonal"]
-    counted = hits.groupBy(*group).agg(
-        F.count_distinct("item_at").alias("n_matched"), F.max("n_windows").alias("n_windows")
+    pair = [*names, "item_id", "template"]
+    along = SqlWindow.partitionBy(*pair).orderBy("diagonal")
+    gap = F.col("diagonal") - F.lag("diagonal").over(along)
+    chained = hits.withColumn("apart", F.coalesce(gap > BAND, F.lit(False)).cast("int"))
+    chained = chained.withColumn("chain", F.sum("apart").over(along))
+    whole = SqlWindow.partitionBy(*pair, "chain")
+    several = F.min("diagonal").over(whole) < F.max("diagonal").over(whole)
+    # a diagonal alone is judged as well: a chain may hold two copies with different values
+    alone = F.struct(F.lit(False).alias("chained"), F.col("diagonal").cast("long").alias("place"))
+    joint = F.struct(F.lit(True).alias("chained"), F.col("chain").cast("long").alias("place"))
+    spans = chained.withColumn("several", several).withColumn(
+        "span", F.explode(F.when(F.col("several"), F.array(alone, joint)).otherwise(F.array(alone)))
     )
-    counted = counted.filter(F.col("n_matched") >= MIN_COVERAGE * F.col("n_windows"))
-    slot = hits.withColumn("z", F.explode("zipped")).select(*group, F.col("z.a").alias("a"), F.col("z.b").alias("b"))
-    values = slot.filter(_is_slot(F.col("a"))).groupBy(*group, "a").agg(
-        (F.min("b") == F.max("b")).cast("int").alias("one")
+    group = [*pair, "chained", "place"]
+    slot = spans.select(
+        *pair, "span.*", "item_at", "item_words", "n_windows", "n_words", F.posexplode("zipped").alias("k", "z")
+    ).withColumn("pos", F.col("item_at") + F.col("k"))
+    counted = slot.groupBy(*group).agg(
+        F.count_distinct("item_at").alias("n_matched"),
+        F.count_distinct("pos").alias("n_covered"),
+        F.max("n_windows").alias("n_windows"),
+        F.max("n_words").alias("n_words"),
+    )
+    share = F.greatest(F.col("n_matched") / F.col("n_windows"), F.col("n_covered") / F.col("n_words"))
+    counted = counted.withColumn("coverage", F.least(share, F.lit(1.0)))
+    counted = counted.filter((F.col("coverage") >= MIN_COVERAGE) | (F.col("n_covered") >= LONG_MATCH))
+    # a run at either end of the item may go on in the document, so its value isn't compared
+    inner = (F.col("pos") > 0) & (F.col("pos") < F.col("item_words") - 1)
+    values = slot.filter(inner & _is_slot(F.col("z.a"))).groupBy(*group, F.col("z.a").alias("a")).agg(
+        (F.min("z.b") == F.max("z.b")).cast("int").alias("one")
     )
     steady = values.groupBy(*group).agg(F.avg("one").alias("consistency"))
     same = [counted[c].eqNullSafe(steady[c]) for c in group]
     both = counted.join(steady, same, "left").select(
-        *(counted[c] for c in group), "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
-        F.coalesce("consistency", F.lit(1.0)).alias("consistency"),
-    )
+        *(counted[c] for c in group), "n_matched", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency")
+    )
     best = both.filter(F.col("consistency") >= MIN_CONSISTENCY).groupBy(*names, "item_id").agg(
         F.max(F.struct("n_matched", "coverage", "consistency")).alias("best")
     )
