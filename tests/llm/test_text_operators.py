@@ -248,6 +248,17 @@ def test_inserted_words_long_names_and_half_items_are_found(spark):
     assert found(spark, [LONG_ITEM], texts) == {(0, 0), (1, 0), (2, 0), (3, 0)}
 
 
+def test_names_that_begin_sentences_are_slots(spark):
+    item = (
+        "Natalia sold 48 clips to her friends in the town. Maria bought 24 clips at the market near the river. "
+        "Tom paid for all of them with coins from the jar. Natalia gave half of the coins to the school."
+    )
+    other = item.replace("Natalia", "Petra").replace("Maria", "Ann Lee").replace("Tom", "Bo").replace("48", "70")
+    spaced = other.replace(". ", ".\r\n").replace(" Bo", '  "Bo')
+    texts = [item, other, "They say: " + spaced, other.replace("Petra gave", "Kim gave").replace("Tom", "Kim")]
+    assert {(0, 0), (1, 0), (2, 0)} <= found(spark, [item], texts)
+
+
 # languages
 
 

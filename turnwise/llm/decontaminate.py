@@ -8,7 +8,8 @@ benchmark; hits of one document and item are chained over diagonals that lie nea
 every inserted or deleted word shifts the diagonal. What a chain (and each diagonal alone) covers of
 the item is counted, and the values in the slots are compared: the same value of the item must
 always stand for the same value of the document. A copied question passes with equal values, a
-re-parameterised one with values that were replaced throughout.
+re-parameterised one with values that were replaced throughout. All this is done for two templates,
+one in which capitalised words at the start of a sentence are literals and one in which they are names.
 
 All of it is DataFrame functions. Windows of documents are never shuffled while the windows of the
 benchmark are few enough to be broadcast; a larger benchmark is joined by a shuffle.
@@ -33,6 +34,7 @@ UNITS = [
     "mph", "kmh", "w", "kw", "v", "volts", "j", "n", "pa", "hz", "degrees",
 ]
 NUMBER, NAME, UNIT = "", "", ""
+CAPITAL = ""
 WINDOW = 8
 MIN_LITERALS = 5
 MIN_COVERAGE = 0.5
@@ -46,7 +48,10 @@ BROADCAST_ROWS = 500_000
 
 
 def _marked(text: Column) -> Column:
-    """The text in lower case without punctuation, with a mark before each value of a slot."""
+    """The text in lower case without punctuation, with a mark before each value of a slot.
+
+    ``NAME`` stands before capitalised words inside a sentence, ``CAPITAL`` before all others.
+    """
     t = F.coalesce(text, F.lit(""))
     number = r"[$€£]?[0-9]+(?:[.,:/][0-9]+)*%?"
     t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_.,]){number}", f"{NUMBER}$0")
@@ -55,12 +60,14 @@ def _marked(text: Column) -> Column:
     t = F.regexp_replace(
         t, r"\p{Lu}(?<=[\p{Ll}\p{N},;)][\x20\x09-\x0D]\p{Lu})[\p{L}\p{N}'’-]*", f"{NAME}$0"
     )
-    return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}\x20\x09-\x0D]+", "")
+    other = rf"(?<![\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}])(?<![\p{{L}}\p{{N}}]['’-])\p{{Lu}}"
+    t = F.regexp_replace(t, other, f"{CAPITAL}$0")
+    return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}{CAPITAL}\x20\x09-\x0D]+", "")
 
 
 def template_words(text: Column) -> Column:
     """Words of the template; a placeholder word is its mark followed by the value it stands for."""
-    return F.regexp_extract_all(_marked(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.replace(_marked(text), F.lit(CAPITAL), F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def _merged(marked: Column) -> Column:
@@ -72,9 +79,16 @@ def _merged(marked: Column) -> Column:
 
 
 def _templates(df: DataFrame, text: str) -> DataFrame:
-    """The column ``text`` replaced by ``template`` (a number) and ``words``, a row per template of the text."""
+    """The column ``text`` replaced by ``template`` (a number) and ``words``, a row per template of the text.
+
+    In template 0 only a capitalised word inside a sentence is a name, in template 1 every capitalised
+    word, whatever stands before it.
+    """
     marked = df.withColumn("marked", _marked(F.col(text))).drop(text)
-    return marked.withColumn("template", F.lit(0)).withColumn("words", _merged(F.col("marked"))).drop("marked")
+    forms = [F.replace("marked", F.lit(CAPITAL), F.lit("")), F.replace("marked", F.lit(CAPITAL), F.lit(NAME))]
+    each = F.array(*(F.struct(F.lit(i).alias("template"), _merged(f).alias("words")) for i, f in enumerate(forms)))
+    others = [F.col(f"`{c}`") for c in marked.columns if c != "marked"]
+    return marked.select(*others, F.explode(each).alias("each")).select(*others, "each.*")
 
 
 def _is_slot(word: Column) -> Column:
