@@ -259,6 +259,14 @@ def test_names_that_begin_sentences_are_slots(spark):
     assert {(0, 0), (1, 0), (2, 0)} <= found(spark, [item], texts)
 
 
+def test_items_without_windows_are_found_as_they_stand(spark):
+    sums = "12 + 7 = 19 and 3 * 4 = 12 and 5 kg + 2 kg = 7 kg and 1 - 1 = 0"
+    items = ["Who wrote Faust?", sums, "Der Hund, die Katze und das Pferd, Esel, Huhn, Hahn im Stall", "Why?", " ", None]
+    texts = [f"So: {i} Then it ends." for i in items[:3]]
+    texts += ["who wrote", sums.replace("19", "20"), "He asked (why?), and left.", sums.replace("12 + 7", "12 - 7"), None, " "]
+    assert found(spark, items, texts) == {(0, 0), (1, 1), (2, 2), (5, 3)}
+
+
 # languages
 
 

@@ -10,6 +10,7 @@ the item is counted, and the values in the slots are compared: the same value of
 always stand for the same value of the document. A copied question passes with equal values, a
 re-parameterised one with values that were replaced throughout. All this is done for two templates,
 one in which capitalised words at the start of a sentence are literals and one in which they are names.
+An item without a window in one of them is also searched for as it stands, values included.
 
 All of it is DataFrame functions. Windows of documents are never shuffled while the windows of the
 benchmark are few enough to be broadcast; a larger benchmark is joined by a shuffle.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, free_name, small, stored
+from .common import SPACES, WORD, free_name, let, small, stored
 
 # Units that may follow a number.
 UNITS = [
@@ -60,7 +61,8 @@ def _marked(text: Column) -> Column:
     t = F.regexp_replace(
         t, r"\p{Lu}(?<=[\p{Ll}\p{N},;)][\x20\x09-\x0D]\p{Lu})[\p{L}\p{N}'’-]*", f"{NAME}$0"
     )
-    other = rf"(?<![\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}])(?<![\p{{L}}\p{{N}}]['’-])\p{{Lu}}"
+    # patterns begin with what is rare, so that no look-behind is tried at every character
+    other = rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}]\p{{Lu}})(?<![\p{{L}}\p{{N}}]['’-]\p{{Lu}})"
     t = F.regexp_replace(t, other, f"{CAPITAL}$0")
     return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}{CAPITAL}\x20\x09-\x0D]+", "")
 
@@ -72,9 +74,10 @@ def template_words(text: Column) -> Column:
 
 def _merged(marked: Column) -> Column:
     """Template words in which a run of names, or of numbers and units, is one placeholder."""
-    t = F.regexp_replace(marked, rf"((?<![^\x20\x09-\x0D]){NAME}{WORD}){SPACES}(?={NAME})", "$1")
-    t = F.regexp_replace(t, rf"((?<![^\x20\x09-\x0D]){NUMBER}{WORD}){SPACES}(?=[{NUMBER}{UNIT}])", "$1")
-    t = F.regexp_replace(t, rf"(?<=[^\x20\x09-\x0D])[{NUMBER}{NAME}{UNIT}]", "")
+    first = r"(?<![^\x20\x09-\x0D]."
+    t = F.regexp_replace(marked, rf"({NAME}{first}){WORD}+){SPACES}(?={NAME})", "$1")
+    t = F.regexp_replace(t, rf"({NUMBER}{first}){WORD}+){SPACES}(?=[{NUMBER}{UNIT}])", "$1")
+    t = F.regexp_replace(t, rf"[{NUMBER}{NAME}{UNIT}](?<=[^\x20\x09-\x0D].)", "")
     return F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
 
 
@@ -84,11 +87,13 @@ def _templates(df: DataFrame, text: str) -> DataFrame:
     In template 0 only a capitalised word inside a sentence is a name, in template 1 every capitalised
     word, whatever stands before it.
     """
-    marked = df.withColumn("marked", _marked(F.col(text))).drop(text)
-    forms = [F.replace("marked", F.lit(CAPITAL), F.lit("")), F.replace("marked", F.lit(CAPITAL), F.lit(NAME))]
-    each = F.array(*(F.struct(F.lit(i).alias("template"), _merged(f).alias("words")) for i, f in enumerate(forms)))
-    others = [F.col(f"`{c}`") for c in marked.columns if c != "marked"]
-    return marked.select(*others, F.explode(each).alias("each")).select(*others, "each.*")
+
+    def forms(m: Column) -> Column:
+        each = [F.replace(m, F.lit(CAPITAL), F.lit(by)) for by in ("", NAME)]
+        return F.array(*(F.struct(F.lit(i).alias("template"), _merged(t).alias("words")) for i, t in enumerate(each)))
+
+    others = [F.col(f"`{c}`") for c in df.columns if c != text]
+    return df.select(*others, F.explode(let(_marked(F.col(text)), forms)).alias("each")).select(*others, "each.*")
 
 
 def _is_slot(word: Column) -> Column:
@@ -113,7 +118,7 @@ def benchmark_windows(benchmark: DataFrame, text: str = "text", item: str = "ite
     """Windows of the benchmark that hold enough literal words to tell a question by.
 
     Per item and template, ``n_windows`` is their number, ``n_words`` how many words they cover and
-    ``item_words`` the number of all words. Items shorter than a window have none.
+    ``item_words`` the number of all words. Items shorter than a window, or of little but values, have none.
     """
     items = benchmark.select(F.col(f"`{item}`").alias("item_id"), F.col(f"`{text}`").alias("item_text"))
     rows = _windows(_templates(items.distinct(), "item_text"), "words")
@@ -129,6 +134,57 @@ def benchmark_windows(benchmark: DataFrame, text: str = "text", item: str = "ite
     return rows.join(n, rows.item_id.eqNullSafe(n.id) & (rows.template == n.t)).drop("id", "t")
 
 
+def exact_words(text: Column) -> Column:
+    """Words in lower case without the punctuation around them; a word of nothing else stays."""
+    edge = r"(?<![^\x20\x09-\x0D])\p{P}++(?=[^\x20\x09-\x0D])|(?<=[^\x20\x09-\x0D\p{P}])\p{P}++(?![^\x20\x09-\x0D])"
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), edge, "")
+    return F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+
+
+def _hash(words: Column) -> Column:
+    """128 bits of an array of words."""
+    return F.struct(F.xxhash64(words).alias("a"), F.xxhash64(F.lit(7), words).alias("b"))
+
+
+def _exact(docs: DataFrame, benchmark: DataFrame, windows: DataFrame, names: list[str]) -> DataFrame | None:
+    """Whole copies of the items that lack windows in a template: ``names``, ``item_id``, ``best``.
+
+    An item is cut into pieces of eight words, the last of which ends with it, or is one piece if it is
+    shorter; a copy holds all of them on one diagonal. None where no item lacks windows.
+    """
+    items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
+    told = windows.groupBy(F.col("item_id").alias("id")).agg(F.count_distinct("template").alias("n"))
+    told = told.filter("n = 2")
+    rest = items.join(told, items.item_id.eqNullSafe(told.id), "left_anti")
+    # texts that share an identifier are items of their own here
+    rest = rest.select("item_id", F.xxhash64("item_text").alias("part"), exact_words(F.col("item_text")).alias("words"))
+    rest = rest.withColumn("n", F.size("words")).filter("n > 0")
+    starts = F.when(F.col("n") <= WINDOW, F.array(F.lit(0))).otherwise(
+        F.array_union(F.sequence(F.lit(0), F.col("n") - WINDOW, F.lit(WINDOW)), F.array(F.col("n") - WINDOW))
+    )
+    pieces = rest.withColumn("starts", starts).withColumn("item_at", F.explode("starts")).select(
+        "item_id", "part", F.size("starts").alias("n_pieces"), "item_at", F.least("n", F.lit(WINDOW)).alias("length"),
+        _hash(F.slice("words", F.col("item_at") + 1, WINDOW)).alias("piece"),
+    )
+    pieces = stored(pieces, "benchmark-pieces")
+    lengths = [r.length for r in pieces.select("length").distinct().collect()]  # eight at most
+    if not lengths:
+        return None
+    words = docs.select(*names, exact_words(F.col("doc_text")).alias("words"))
+    rows = words.withColumn("length", F.explode(F.array(*(F.lit(n) for n in sorted(lengths))))).filter(
+        F.size("words") >= F.col("length")
+    )
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length")))).select(
+        *names, "length", "at", _hash(F.slice("words", F.col("at") + 1, F.col("length"))).alias("piece")
+    )
+    hits = rows.join(small(pieces, BROADCAST_ROWS), ["length", "piece"])
+    group = [*names, "item_id", "part", (F.col("at") - F.col("item_at")).alias("diagonal")]
+    n = F.count_distinct("item_at").cast("long").alias("n")
+    whole = hits.groupBy(*group).agg(n, F.max("n_pieces").alias("n_pieces")).filter("n = n_pieces")
+    best = F.struct(F.col("n").alias("n_matched"), F.lit(1.0).alias("coverage"), F.lit(1.0).alias("consistency"))
+    return whole.select(*names, "item_id", best.alias("best"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """Per key columns of ``docs`` and item: the best chain, or diagonal, of matching windows.
 
@@ -136,10 +192,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str = "
     share, or that of the words they cover if that is more) and ``consistency`` (the share of slot
     values that always stand for one value; 1 without slots). Only pairs that reach ``MIN_COVERAGE``
     or ``LONG_MATCH`` words, and ``MIN_CONSISTENCY``, are returned. Null and
-    empty texts and an empty benchmark match nothing. Rows with equal keys count as one document,
+    empty texts and an empty benchmark match nothing. Items without windows in one of the templates
+    are found where they stand whole; ``n_matched`` then counts their pieces. Rows with equal keys count as one document,
     so the key should hold a hash of the text where identifiers may repeat.
     """
-    windows = small(stored(benchmark_windows(benchmark), "benchmark-windows"), BROADCAST_ROWS)
+    told = stored(benchmark_windows(benchmark), "benchmark-windows")
+    windows = small(told, BROADCAST_ROWS)
     names = [f"key{i}" for i in range(len(key))]
     rows = docs.select(
         *(F.col(f"`{c}`").alias(n) for c, n in zip(key, names)), F.col(f"`{text}`").alias("doc_text")
@@ -196,9 +254,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str = "
     both = counted.join(steady, same, "left").select(
         *(counted[c] for c in group), "n_matched", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency")
     )
-    best = both.filter(F.col("consistency") >= MIN_CONSISTENCY).groupBy(*names, "item_id").agg(
-        F.max(F.struct("n_matched", "coverage", "consistency")).alias("best")
+    judged = both.filter(F.col("consistency") >= MIN_CONSISTENCY).select(
+        *names, "item_id", F.struct("n_matched", "coverage", "consistency").alias("best")
     )
+    exact = _exact(rows, benchmark, told, names)
+    if exact is not None:
+        judged = judged.union(exact)
+    best = judged.groupBy(*names, "item_id").agg(F.max("best").alias("best"))
     return best.select(*(F.col(n).alias(c) for c, n in zip(key, names)), "item_id", "best.*")
 
 
