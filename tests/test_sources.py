@@ -46,6 +46,16 @@ def test_wide_and_multi_line_transcripts(spark, tmp_path):
     assert [r.text for r in got][-2:] == ["n39\n\nm", "it is 5"] and len(got) == 43
 
 
+def test_lone_quotes_do_not_swallow_lines(spark, tmp_path):
+    (tmp_path / "1_TRANSCRIPT.csv").write_text('speaker,value\nEllie,5\' 6" tall\n' + "".join(f"Participant,n{i}\n" for i in range(300)))
+    (tmp_path / "2_TRANSCRIPT.csv").write_text(
+        'speaker\tvalue\nEllie\t"a, ""b""\nc 7"" d"\nEllie\t3" or 4\nParticipant\t"never closed\n' + "".join(f"Participant\tm{i}\n" for i in range(50)))
+    rows = transcripts.scan_transcripts(spark, str(tmp_path)).orderBy("session_id", "block", "line").collect()
+    got = {s: [r.text for r in rows if r.session_id == s] for s in "12"}
+    assert got["1"] == ["5' 6\" tall", *(f"n{i}" for i in range(300))]
+    assert got["2"] == ['a, "b"\nc 7" d', '3" or 4', '"never closed', *(f"m{i}" for i in range(50))]
+
+
 def test_labels_without_a_number_are_listed(spark, tmp_path):
     path = tmp_path / "l.csv"
     path.write_text("Participant_ID,PHQ8_Sleep\n1,2\nx,3\n,1\n")

@@ -52,27 +52,52 @@ def _cells(line: Column, delimiter: Column) -> Column:
     return F.when(delimiter == "\t", parsed("\t")).when(delimiter == ";", parsed(";")).otherwise(parsed(","))
 
 
+def _opens(line: Column, delimiter: Column) -> Column:
+    """1 if the last field of the line opens with a quote that isn't closed in it, else 0."""
+
+    def parsed(sep: str) -> Column:
+        quoted = rf'{sep}\x20*"[^"]*+(?:""[^"]*+)*+"[^{sep}]*'
+        unclosed = rf'{sep}\x20*"[^"]*+(?:""[^"]*+)*+\z'
+        pieces = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf"{quoted}|{unclosed}|{sep}[^{sep}]*"), F.lit(0))
+        return F.element_at(pieces, -1).rlike(unclosed).cast("int")
+
+    return F.when(delimiter == "\t", parsed("\t")).when(delimiter == ";", parsed(";")).otherwise(parsed(","))
+
+
 def _records(lines: DataFrame) -> DataFrame:
-    """Lines joined where a quoted field runs on: an odd number of quotes leaves the field open.
+    """Lines joined where a quoted field runs on into the next line.
 
-    Only files that have such a line take part; the parity of the quotes so far is a running sum,
-    which is carried from block to block of a file.
+    Only files that have a line with an open field take part. A line keeps the state (in a quoted
+    field or not), turns it round or sets it; the state after a line is the last one set, turned round
+    as often as since then, which is carried from block to block of a file. Lines of a record that
+    is never closed stay lines of their own.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    counted = lines.withColumn("__q", quotes % 2)
-    torn = counted.groupBy("session_id").agg(F.max("__q").alias("__t")).filter("__t = 1").select("session_id")
+    first = lines.groupBy("session_id").agg(F.min_by("value", F.struct("block", "line")).alias("header"))
+    seps = first.select("session_id", _delimiter(F.col("header")).alias("__d"))
+    quote = F.col("value").contains('"')
+    told = lines.join(seps, "session_id")
+    told = told.withColumn("__o", F.when(quote, _opens(F.col("value"), F.col("__d"))).otherwise(0))
+    torn = told.groupBy("session_id").agg(F.max("__o").alias("__t")).filter("__t = 1").select("session_id")
     whole = lines.join(torn, "session_id", "left_anti")
+    # the same for a line that begins inside a quoted field
+    inside = F.when(quote, _opens(F.concat(F.lit('"'), F.col("value")), F.col("__d"))).otherwise(1)
+    told = told.join(torn, "session_id", "left_semi").withColumn("__i", inside)
     keys, order = ["session_id"], ["block", "line"]
-    summed = scan(counted.join(torn, "session_id", "left_semi"), keys, order, F.col("block"), sums={"__p": F.col("__q")})
-    # a line starts a record if the quotes before it are closed
-    begins = ((F.col("__p") - F.col("__q")) % 2 == 0).cast("long")
-    numbered = scan(summed.withColumn("__b", begins), keys, order, F.col("block"), sums={"__r": F.col("__b")})
+    turns = ((F.col("__o") == 1) & (F.col("__i") == 0)).cast("long")
+    turned = scan(told, keys, order, F.col("block"), sums={"__n": turns})
+    put = F.when(F.col("__o") == F.col("__i"), (F.col("__o") + F.col("__n")) % 2)
+    kept = scan(turned, keys, order, F.col("block"), lasts={"__s": put})
+    closed = ((F.coalesce("__s", F.lit(0)) + F.col("__n")) % 2 == 0).cast("long")
+    numbered = scan(kept.withColumn("__c", closed), keys, order, F.col("block"), sums={"__r": F.col("__c")})
+    numbered = numbered.withColumn("__r", F.col("__r") - F.col("__c"))  # records closed before the line
+    ends = numbered.groupBy("session_id").agg(F.sum("__c").alias("__e"))
+    numbered = numbered.join(ends, "session_id")
     parts = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
-    joined = numbered.groupBy("session_id", "__r").agg(parts.alias("x")).select(
+    joined = numbered.filter("__r < __e").groupBy("session_id", "__r").agg(parts.alias("x")).select(
         "session_id", F.col("x")[0]["block"].alias("block"), F.col("x")[0]["line"].alias("line"),
         F.array_join(F.transform("x", lambda p: p["value"]), "\n").alias("value"),
     )
-    return whole.unionByName(joined)
+    return whole.unionByName(joined).unionByName(numbered.filter("__r = __e").select(*lines.columns))
 
 
 def scan_transcripts(
@@ -86,7 +111,8 @@ def scan_transcripts(
 
     Files are read line by line, so a long file is split like any other; ``(block, line)`` is
     its order. The header of each file gives its delimiter and columns. A value may be
-    quoted, hold doubled quotes and run over several lines.
+    quoted, hold doubled quotes and run over several lines. A quote inside an unquoted value is a
+    character like others, and the lines after a quoted value that never ends are read one by one.
     """
     reader = spark.read.option("recursiveFileLookup", recursive)
     lines = reader.text(paths if isinstance(paths, str) else list(paths)).select(
