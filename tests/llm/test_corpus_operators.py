@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm import jaccard, packing, sharding, substrings, toolcalls, warc
 from turnwise.llm.components import components
-from turnwise.llm.queries import QUERIES, TOOLS
+from turnwise.llm.queries import QUERIES, TOOLS, tool_traffic
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -325,6 +325,28 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert toolcalls.link(c.limit(0), r.limit(0), TOOLS).count() == 0
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rows = [(1, str(i), str(i - 1)) for i in range(1, 200)] + [(2, str(i), str(j)) for i in range(2, 30) for j in (i - 1, i - 2)] + [(3, "0", "1"), (3, "1", "2"), (3, "2", "0"), (3, "5", "2")]
+    edges = spark.createDataFrame(rows, "conv_id long, call_id string, ref string")
+    calls = spark.createDataFrame([(c, str(i)) for c in (1, 2, 3) for i in range(200)], "conv_id long, call_id string")
+    got = {(r.conv_id, int(r.call_id)): r.level for r in toolcalls.levels(calls, edges.filter("conv_id <> 2")).collect()}
+    assert all(got[1, i] == i for i in range(200)) and not {(3, 0), (3, 1), (3, 2), (3, 5)} & set(got) and got[3, 7] == 0
+    stored, steps = toolcalls.stored, []
+    monkeypatch.setattr(toolcalls, "stored", lambda df, name: steps.append(name) or stored(df, name))
+    toolcalls.levels(calls, edges.filter("conv_id = 1")).count()
+    assert len(steps) < 25
+    short = toolcalls.levels(calls, edges.filter("conv_id = 2 AND int(call_id) < 8")).collect()
+    assert all(r.level == max(0, int(r.call_id) - 1) for r in short if r.conv_id == 2 and int(r.call_id) < 8)
+
+
+def test_derived_calls_hold_whole_texts_and_long_chains(spark):
+    turns = [(c, t, "assistant" if t % 2 else "user", "word " * 40 + "end" + "x" * (t % 5)) for c in (1, 2) for t in range(40)]
+    calls, _ = tool_traffic(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    arguments = {(r.conv_id, r.turn): r.arguments for r in calls.collect()}
+    assert sum("$ref" in a for a in arguments.values()) == 38
+    assert any("word end" in a for a in arguments.values())
+
+
 def test_calls_of_the_table(spark):
     rows = QUERIES["op6_tool_calls"](spark, FOLDER).collect()
     turns = spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()

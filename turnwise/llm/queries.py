@@ -91,14 +91,13 @@ def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     An assistant's turn is a call whose tool and arguments follow from its place and text, with
     missing, mistyped and broken arguments among them; a call may refer to the assistant's turn
-    two before it. A user's turn that follows is that call's result.
+    two before it, and in two of three conversations every call does. A user's turn that follows is that call's result.
     """
     n = F.length(F.coalesce("text", F.lit("")))
     ident = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
-    start = F.substring(F.coalesce("text", F.lit("")), 1, 60)
-    refers = (F.col("turn") % 8 > 2) & (n % 3 == 0)
+    refers = (F.col("turn") > 2) & ((F.pmod(F.col("conv_id"), F.lit(3)) > 0) | (n % 3 == 0))
     back = F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - 2).alias("$ref")))
-    plain = F.to_json(F.struct(start.alias("q")))
+    plain = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("q")))
     quoted = F.substring(plain, F.lit(6), F.length(plain) - 6)
     lookup = F.concat(F.lit('{"query": '), F.when(refers, back).otherwise(quoted), F.when(n % 7 == 0, F.lit(', "limit": "ten"}')).otherwise(F.concat(F.lit(', "limit": '), n, F.lit("}"))))
     measure = F.concat(F.lit('{ "value":'), F.when(refers, back).otherwise((n / 4).cast("string")), F.when(n % 5 == 0, F.lit("")).otherwise(F.lit(',"unit":"words"')), F.lit("}"))

@@ -3,8 +3,9 @@
 Calls and results meet in a hash join on conversation and call identifier, which is unique per
 call, so a conversation of any length spreads over all tasks. Arguments may refer to the result of
 another call as ``{"$ref": id}``; a call's level is one more than the highest level it refers to, found
-in rounds of joins over the calls that are still open (as many rounds as the longest chain of
-references). Level, turn and identifier order the calls of a conversation topologically; what never
+in rounds of joins over the calls that are still open. In each round a reference to an open call with
+one reference goes on to what that refers to, so a chain takes as many rounds as the logarithm of its
+length (calls that refer to several open calls, which do so in turn, take one round per link). Level, turn and identifier order the calls of a conversation topologically; what never
 gets a level refers to itself in a circle.
 """
 
@@ -89,17 +90,28 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """
     key = ["conv_id", "call_id"]
     targets = calls.select("conv_id", F.col("call_id").alias("ref"))
-    edges = stored(edges.distinct().join(targets, ["conv_id", "ref"]), "references")
-    waiting = edges.select(*key).distinct()
+    edges = edges.distinct().join(targets, ["conv_id", "ref"]).withColumn("steps", F.lit(1).cast("long"))
+    open_ = stored(edges, "references")
+    waiting = open_.select(*key).distinct()
     done = stored(calls.select(*key).join(waiting, key, "left_anti").withColumn("level", F.lit(0)), "level")
-    found, open_, level = done, edges, 0
+    found = done
     while open_.count() and done.count():
-        level += 1
-        met = done.select("conv_id", F.col("call_id").alias("ref"))
-        rest = stored(open_.join(met, ["conv_id", "ref"], "left_anti"), "open")
-        ready = open_.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti")
-        done = stored(ready.withColumn("level", F.lit(level)), "level")
-        found, open_ = found.union(done), rest
+        met = found.select("conv_id", F.col("call_id").alias("ref"), "level")
+        nodes = open_.join(met, ["conv_id", "ref"], "left").groupBy(*key).agg(
+            F.max(F.col("level") + F.col("steps")).cast("int").alias("level"), F.count("*").alias("n"),
+            F.count("level").alias("known"), F.max("ref").alias("ref"), F.max("steps").alias("steps"),
+        )
+        nodes = stored(nodes, "level")
+        done = nodes.filter("n = known").select(*key, "level")
+        rest = open_.join(done.select(*key), key, "left_anti")
+        # a reference to an open call that has one reference itself goes on to that
+        single = nodes.filter("n = 1 AND known = 0 AND ref <> call_id").select(
+            "conv_id", F.col("call_id").alias("ref"), F.col("ref").alias("next"), F.col("steps").alias("more")
+        )
+        jumped = rest.join(single, ["conv_id", "ref"], "left").select(
+            *key, F.coalesce("next", "ref").alias("ref"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
+        )
+        found, open_ = found.union(done), stored(jumped.groupBy(*key, "ref").agg(F.max("steps").alias("steps")), "open")
     return found
 
 
