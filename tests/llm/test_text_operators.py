@@ -177,6 +177,21 @@ def test_beliefs_are_exact_on_a_chain():
     assert np.allclose(got[0], joint.sum((1, 2)), atol=2e-2) and np.allclose(got[2], joint.sum((0, 1)), atol=2e-2)
 
 
+def test_one_clear_mention_settles_all_others():
+    text = "call 555-0123 now. " + "then ask for 555-0123 again. " * 50
+    g = pii.graph(text, [("phone", 5, 13)])
+    model = {"unary": np.zeros((pii.FEATURES + 1, len(pii.LABELS))), "pair": np.stack([w * np.eye(len(pii.LABELS)) for w in (0, 4, 0.3)])}
+    p = pii.beliefs(model, *pii._stack([g]))[: len(g.spans), pii.LABELS.index("phone")]
+    assert len(p) == 51 and p[1:].min() > 0.85 and np.ptp(p[1:]) < 1e-2
+    spans = pii.label_texts(["no digits", text + " +1 (555) 555-0123", "x 9 y 9"], model)[1][1]
+    assert len(spans) >= 1
+    chain = np.array([[i, i + 1, 1] for i in range(60)])
+    one = np.array([2] + [-1] * 60)
+    got = pii.beliefs(model, np.full((61, 7), pii.FEATURES), one, chain)[:, 2]
+    e = np.exp(4)
+    assert np.allclose(got, 0.2 + 0.8 * ((e - 1) / (e + 4)) ** np.arange(61), atol=1e-2)
+
+
 def test_pii_stage(docs):
     found = pii.find(docs)
     assert found.columns == [*docs.columns, "_pii"]

@@ -2,10 +2,11 @@
 
 Patterns find addresses, numbers and cards exactly (the base). The field then labels every other
 word that holds a digit or ``@``; a word without either can carry no label but "none", which cuts
-the chain there and keeps the graph small. Neighbouring words share a chain potential, a word and
-the previous occurrence of the same word share a "same" potential, and a word and the previous
-one of the same shape a "similar" potential, however far apart: each word has two skip links at
-most, so that the graph stays linear in the document. Loopy message passing runs over all graphs
+the chain there and keeps the graph small. Neighbouring words share a chain potential. All mentions
+of one word are linked to a hub of that word by a "same" potential, and the words of one shape (or
+their hubs) to a hub of the shape by a "similar" potential, however far apart, so that the graph stays
+linear in the document and two mentions of a word are two links apart. Loopy
+message passing runs over all graphs
 of a batch at once. Base spans are observed labels, which is how one clear mention settles an
 unclear one elsewhere in the document. Weights are fitted by pseudo-likelihood, with the base
 spans as labels, on a bounded sample of documents (``SAMPLE_DOCS`` of at most ``SAMPLE_CHARS``
@@ -33,7 +34,8 @@ LABELS = ("none", *KINDS)
 SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 20_000
 FEATURES = 1 << 12
-ROUNDS = 12
+#: Rounds of messages in a graph: so many, and one per node, unless it converges before.
+ROUNDS = 50
 DAMPING = 0.5
 MIN_BELIEF = 0.5
 CHAIN, SAME, SIMILAR = range(3)
@@ -108,21 +110,22 @@ def _features(word: str, before: str, after: str) -> list[int]:
 
 @dataclass
 class Graph:
-    """The words of one text that may carry a label, and their links."""
+    """The words of one text that may carry a label, then the hubs, and the links."""
 
     spans: list[tuple[int, int]]
     features: list[list[int]]
     edges: list[tuple[int, int, int]]
     observed: list[int]
+    members: list[list[int]]
 
 
 def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
-    g = Graph([], [], [], [])
+    g = Graph([], [], [], [], [])
     if not _HINT.search(text):
         return g
     owner = sorted((s, e, LABELS.index(k)) for k, s, e in base)
-    same: dict[str, int] = {}
-    similar: dict[str, int] = {}
+    same: dict[str, list[int]] = {}
+    shape_of: dict[str, str] = {}
     found = list(_WORD.finditer(text))
     last, at = -2, 0
     for i, m in enumerate(found):
@@ -146,44 +149,64 @@ def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
         if last == i - 1:
             g.edges.append((node - 1, node, CHAIN))
         key, shape = re.sub(r"[^0-9a-z@]", "", word.lower()), re.sub("[0-9]", "9", re.sub("[A-Za-z]", "a", word))
-        if key in same:
-            g.edges.append((same[key], node, SAME))
-        elif shape in similar:
-            g.edges.append((similar[shape], node, SIMILAR))
-        same[key] = similar[shape] = node
+        same.setdefault(key, []).append(node)
+        shape_of.setdefault(key, shape)
         last = i
+
+    def hub(ends: list[int], kind: int, members: list[int]) -> int:
+        node = len(g.spans) + len(g.members)
+        g.edges += [(node, e, kind) for e in ends]
+        g.members.append(members)
+        return node
+
+    similar: dict[str, list[tuple[int, str]]] = {}
+    for key, nodes in same.items():
+        end = hub(nodes, SAME, nodes) if len(nodes) > 1 else nodes[0]
+        similar.setdefault(shape_of[key], []).append((end, key))
+    for ends in similar.values():
+        if len(ends) > 1:
+            hub([e for e, _ in ends], SIMILAR, [n for _, key in ends for n in same[key]])
     return g
 
 
-def _stack(graphs: list[Graph]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.cumsum([0, *(len(g.spans) for g in graphs)])
-    features = np.array([f for g in graphs for f in g.features], np.int64).reshape(-1, 7)
-    observed = np.array([o for g in graphs for o in g.observed], np.int64)
+def _stack(graphs: list[Graph]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features (those of a hub are ``FEATURES``, which has no weight), observed labels, links, and the graph of each node."""
+    size = [len(g.spans) + len(g.members) for g in graphs]
+    at = np.cumsum([0, *size])
+    features = np.array([f for g in graphs for f in [*g.features, *([[FEATURES] * 7] * len(g.members))]], np.int64).reshape(-1, 7)
+    observed = np.array([o for g in graphs for o in [*g.observed, *([-1] * len(g.members))]], np.int64)
     edges = [(i + a, j + a, t) for g, a in zip(graphs, at) for i, j, t in g.edges]
-    return features, observed, np.array(edges, np.int64).reshape(-1, 3)
+    return features, observed, np.array(edges, np.int64).reshape(-1, 3), np.repeat(np.arange(len(graphs)), size)
+
+
+def _hub_labels(g: Graph) -> list[int]:
+    """The most frequent label of each hub's members, the smallest of several."""
+    counts = (np.bincount(np.maximum([g.observed[n] for n in m], 0), minlength=len(LABELS)) for m in g.members)
+    return [int(c.argmax()) for c in counts]
 
 
 def fit(texts: list[str], steps: int = 150, rate: float = 0.5, l2: float = 1e-4) -> dict[str, np.ndarray]:
     """Weights by pseudo-likelihood: each label given its features and its neighbours' labels."""
     k = len(LABELS)
-    prior = {"unary": np.zeros((FEATURES, k)), "pair": np.stack([w * np.eye(k) for w in PRIOR_LINKS])}
+    prior = {"unary": np.zeros((FEATURES + 1, k)), "pair": np.stack([w * np.eye(k) for w in PRIOR_LINKS])}
     model = {name: w.copy() for name, w in prior.items()}
     graphs = [graph(t, base_spans(t)) for t in texts]
-    features, observed, edges = _stack(graphs)
+    features, _, edges, _ = _stack(graphs)
     if not len(features):
         return model
-    label = np.maximum(observed, 0)
+    label = np.array([x for g in graphs for x in [*np.maximum(g.observed, 0), *_hub_labels(g)]], np.int64)
     truth = np.eye(k)[label]
     src, dst, kind = edges.T
     speed = {x: np.zeros_like(v) for x, v in model.items()}
-    scale = np.sqrt(np.bincount(features.ravel(), minlength=FEATURES) / len(features) + 1e-3)[:, None]
+    scale = np.sqrt(np.bincount(features.ravel(), minlength=FEATURES + 1) / len(features) + 1e-3)[:, None]
     for _ in range(steps):
         logit = model["unary"][features].sum(1)
         np.add.at(logit, dst, model["pair"][kind, label[src]])
         np.add.at(logit, src, model["pair"][kind, :, label[dst]])
         p = np.exp(logit - logit.max(1, keepdims=True))
         gap = (truth - p / p.sum(1, keepdims=True)) / len(features)
-        unary = np.stack([np.bincount(features.ravel(), np.repeat(gap[:, c], 7), FEATURES) for c in range(k)], 1)
+        unary = np.stack([np.bincount(features.ravel(), np.repeat(gap[:, c], 7), FEATURES + 1) for c in range(k)], 1)
+        unary[FEATURES] = 0
         pair = np.zeros((3, k, k))
         np.add.at(pair, (kind, label[src]), gap[dst])
         back = np.zeros((3, k, k))
@@ -196,28 +219,42 @@ def fit(texts: list[str], steps: int = 150, rate: float = 0.5, l2: float = 1e-4)
     return model
 
 
-def beliefs(model: dict[str, np.ndarray], features: np.ndarray, observed: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Label probabilities of every node by damped loopy message passing."""
+def beliefs(
+    model: dict[str, np.ndarray], features: np.ndarray, observed: np.ndarray, edges: np.ndarray, owner: np.ndarray | None = None
+) -> np.ndarray:
+    """Label probabilities of every node by damped loopy message passing.
+
+    ``owner`` is the graph of each node (one graph for all by default). Each graph has its messages
+    until they converge, for at most ``ROUNDS`` rounds and one per node.
+    """
     unary = model["unary"][features].sum(1)
     seen = observed >= 0
     unary[seen] = -30.0
     unary[seen, observed[seen]] = 0.0
+    owner = np.zeros(len(features), np.int64) if owner is None else owner
     if len(edges):
         src = np.concatenate([edges[:, 0], edges[:, 1]])
         dst = np.concatenate([edges[:, 1], edges[:, 0]])
         pair = np.concatenate([model["pair"][edges[:, 2]], model["pair"][edges[:, 2]].transpose(0, 2, 1)])
         back = np.roll(np.arange(len(src)), len(edges))
         message = np.zeros((len(src), unary.shape[1]))
-        for _ in range(ROUNDS):
-            total = unary.copy()
-            np.add.at(total, dst, message)
-            out = (total[src] - message[back])[:, :, None] + pair
+        bound = ROUNDS + np.bincount(owner)
+        live, done = np.arange(len(src)), 0
+        while len(live):
+            done += 1
+            nodes, at = np.unique(dst[live], return_inverse=True)
+            total = unary[nodes]
+            np.add.at(total, at, message[live])
+            total = total[np.searchsorted(nodes, src[live])]
+            out = (total - message[back[live]])[:, :, None] + pair[live]
             top = out.max(1, keepdims=True)
             new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
             new -= new.max(1, keepdims=True)
-            message, old = DAMPING * message + (1 - DAMPING) * new, message
-            if np.abs(message - old).max() < 1e-4:
-                break
+            old = message[live]
+            message[live] = DAMPING * old + (1 - DAMPING) * new
+            moved = np.zeros(len(bound), bool)
+            moved[owner[dst[live]][np.abs(message[live] - old).max(1) >= 1e-4]] = True
+            live = live[(moved & (done < bound))[owner[dst[live]]]]
         np.add.at(unary, dst, message)
     p = np.exp(unary - unary.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -242,13 +279,13 @@ def label_texts(texts: list[str], model: dict[str, np.ndarray]) -> list[tuple[li
     """Base spans and all spans of each text."""
     base = [base_spans(t) for t in texts]
     graphs = [graph(t, b) for t, b in zip(texts, base)]
-    features, observed, edges = _stack(graphs)
-    p = beliefs(model, features, observed, edges) if len(features) else None
+    features, observed, edges, owner = _stack(graphs)
+    p = beliefs(model, features, observed, edges, owner) if len(features) else None
     out, at = [], 0
     for t, b, g in zip(texts, base, graphs):
         n = len(g.spans)
         extra = _added(t, g, p[at : at + n], b) if n else []
-        at += n
+        at += n + len(g.members)
         out.append((b, sorted(b + extra, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 
