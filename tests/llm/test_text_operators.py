@@ -192,6 +192,13 @@ def test_one_clear_mention_settles_all_others():
     assert np.allclose(got, 0.2 + 0.8 * ((e - 1) / (e + 4)) ** np.arange(61), atol=1e-2)
 
 
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 40)
+    texts = ["call 555-0123"] * 500 + [f"call 555-{i}" for i in range(30)]
+    got = pii.sample_texts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert sorted(got) == sorted(set(texts))
+
+
 def test_pii_stage(docs):
     found = pii.find(docs)
     assert found.columns == [*docs.columns, "_pii"]

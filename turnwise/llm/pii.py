@@ -316,17 +316,18 @@ _RESULT = T.StructType(
 
 
 def sample_texts(docs: DataFrame, text: str = "text") -> list[str]:
-    """The bounded sample that the field is fitted on, the same on every run.
+    """The bounded sample of distinct texts that the field is fitted on, the same on every run.
 
     Hashes below a bound that about twice the sample falls under are taken first, so that no task
     sends the driver a whole sample of its own.
     """
     c = F.col(f"`{text}`")
     eligible = docs.filter(c.rlike("[0-9@]") & (F.length(c) <= SAMPLE_CHARS)).select(c.alias("text"))
-    share = min(1.0, 2 * SAMPLE_DOCS / max(1, eligible.count()))
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
-    eligible = eligible.filter(drawn)
-    return [r.text for r in eligible.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS).collect()]
+    hashed = eligible.withColumn("hash", F.xxhash64("text"))
+    share = min(1.0, 2 * SAMPLE_DOCS / max(1, hashed.select("hash").distinct().count()))
+    drawn = hashed.filter(F.pmod("hash", F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30))))
+    each = drawn.groupBy("hash").agg(F.min("text").alias("text"))
+    return [r.text for r in each.orderBy("hash").limit(SAMPLE_DOCS).collect()]
 
 
 def find(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
