@@ -12,5 +12,5 @@ def test_matches_sql(spark, name):
     assert differences(QUERIES[name](spark, folder), duck(folder), SQL[name]) is None
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, pii, quality, sharding, substrings, toolcalls, warc
-from .common import table, words
+from . import (
+    decontaminate,
+    jaccard,
+    language,
+    packing,
+    periodic,
+    pii,
+    quality,
+    sharding,
+    substrings,
+    toolcalls,
+    toxicity,
+    warc,
+    whitening,
+)
+from .common import let, table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -147,6 +161,54 @@ def op5_language_crf(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "switches")
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) where every tenth identifier's hash makes the text repeat itself from some word on.
+
+    Other texts stay as they are, as do those without words and those of a null identifier.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeat(w: Column) -> Column:
+        n = F.size(w)
+        start = F.pmod(g, n).cast("int")
+        period = 1 + F.floor((n - start) / (3 + g % 8)).cast("int")
+        rule = F.struct(w.alias("w"), start.alias("a"), period.alias("p"))
+        moved = lambda r: F.transform(
+            r["w"], lambda x, i: F.when(i < r["a"], x).otherwise(F.get(r["w"], r["a"] + (i - r["a"]) % r["p"]))
+        )
+        return F.when(n > 0, F.array_join(let(rule, moved), " "))
+
+    repeated = let(words(F.col("text")), repeat)
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(repeated, "text")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs of every document, some of which are made to repeat themselves, and what is left without them."""
+    docs = with_planted_periods(table(spark, folder, "documents"))
+    return periodic.collapse(docs, with_text=False).drop("collapsed")
+
+
+@query
+def op12_qdwh_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector along the first sixteen principal components of all distinct ones, whitened."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_subword_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, learned from two thirds of those with a label."""
+
+    def held_out(id: str) -> Column:
+        return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit(""))) % 3 == 1
+
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, table(spark, folder, "labels"), training=~held_out("doc_id"))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted)
+
+
 # --- SQL ------------------------------------------------------------------------------
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
