@@ -96,6 +96,30 @@ def test_bootstrap_draws_from_the_differences(spark):
     assert got.interval_upper == pytest.approx(np.percentile(means, 97.5))
 
 
+def test_a_value_of_most_positions_is_drawn_like_the_others(spark):
+    """Fifty million copies of one value: positions are a range of it, never a row or an array cell each."""
+    ends = frame(spark, [(0.5, 50_000_000, 50_000_000), (1.5, 1, 50_000_001), (2.5, 9, 50_000_010)], "d double, w long, upto long")
+    draws = frame(spark, [(0, 0), (0, 49_999_999), (1, 50_000_000), (1, 50_000_001), (2, 50_000_009)], "r long, j long")
+    found = paired._drawn(draws, ends, 50_000_010, 3)
+    assert sorted(map(tuple, found.collect())) == [(0, 0.5), (0, 0.5), (1, 1.5), (1, 2.5), (2, 2.5)]
+    many = spark.range(20_001).select(F.col("id").cast("double").alias("d"), F.when(F.col("id") == 7, 1_000_000).otherwise(1).alias("w"))
+    from pyspark.sql import Window
+
+    ends = many.withColumn("upto", F.sum("w").over(Window.orderBy("d")))
+    places = spark.range(0, 1_020_000, 997).select(F.lit(0).alias("r"), F.col("id").alias("j"))
+    got = paired._drawn(places, ends, 1_020_000, 20_001).groupBy("d").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in got) == places.count()
+    assert {r.d: r.n for r in got}[7.0] == places.filter("j >= 7 AND j < 1000007").count()
+
+
+def test_traces_with_huge_gaps_compare_by_order(spark):
+    fields = "'q' AS request_id, 'r' AS role, 'h' AS request_hash, 's' AS response_hash, 'ok' AS outcome, 'x' AS failure_type, 'p' AS provenance, 1.0D AS latency_ms"
+    a = spark.range(5_000).selectExpr("id * 7 AS position", *fields.split(", "))
+    b = spark.range(5_000).selectExpr("id * id * 1000003 AS position", *fields.split(", "))
+    row = paired.trace_parity(a, b, segment_rows=500).first()
+    assert (row.baseline_count, row.candidate_count, row.control_flow_mismatches, row.passes) == (5_000, 5_000, 0, True)
+
+
 def test_permutation_of_equal_arms_is_always_extreme(spark):
     diffs = spark.range(30).select(F.col("id").alias("session_id"), F.lit(0.0).alias("d"))
     assert paired.paired_permutation(diffs, 70, 1).first().proportion_at_least_as_extreme == 1.0
@@ -113,7 +137,7 @@ def test_onoff_needs_identical_states(spark):
 def test_stratified_shots(spark, k):
     rng = random.Random(k)
     rows = [(i, rng.randint(0, 5)) for i in range(8)]
-    got = {r.session_id for r in fits.stratified_shots(frame(spark, rows, "session_id long, total int"), k, F.floor(F.col("session_id") / 3)).collect()}
+    got = {r.session_id for r in fits.stratified_shots(frame(spark, rows, "session_id long, total int"), k, 3).collect()}
     ranked = sorted(rows, key=lambda r: (r[1], r[0]))
     want = rows if len(rows) <= k else [ranked[i] for i in sorted({round(i * 7 / max(k - 1, 1)) for i in range(k)})]
     assert got == {i for i, _ in want}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as X
-from turnwise.functions.segments import position_segment, scan, time_segment
+from turnwise.functions.segments import by_depth, position_segment, scan, scan_by_depth
 from turnwise.operators import turns as T
 
 ROWS = [
@@ -126,12 +126,26 @@ def test_negation(spark):
     assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
 
 
-def test_time_segments_split_a_busy_key(spark):
+def test_segments_of_equal_depth_split_a_busy_key(spark):
     df = spark.range(100).select(
         F.when(F.col("id") < 90, 1).otherwise(2).alias("k"), F.timestamp_seconds(F.col("id") * 50).alias("ts"), "id"
     )
-    segment = time_segment(df, ["k"], "ts", rows=10)
-    assert df.filter("k = 1").select(segment.alias("s")).distinct().count() >= 8
-    out = scan(df, ["k"], ["ts"], segment, index="i").collect()
+    placed = by_depth(df, ["k"], ["ts"], rows=10)
+    assert placed.filter("k = 1").select("__depth").distinct().count() >= 8
+    out = scan(placed, ["k"], ["ts"], F.col("__depth"), index="i").collect()
     assert all(r.i == (r.id if r.k == 1 else r.id - 90) for r in out)
-    assert df.select(time_segment(df, ["k"], "ts").alias("s")).distinct().count() == 1
+    assert by_depth(df, ["k"], ["ts"]).select("__depth").distinct().count() == 1
+    assert scan_by_depth(df.limit(0), ["k"], ["ts"], 10, index="i").count() == 0
+
+
+@pytest.mark.parametrize("place", ["id", "id * id * id", "CASE WHEN id = 199999 THEN 1000000000000 ELSE id END", "id div 100000 * 4000000000000 + id"])
+def test_segments_hold_rows_whatever_the_gaps(spark, place):
+    """A far-off value, sparse places and a wide gap: no segment above twice the target, and the scan is right."""
+    df = spark.range(200_000).select(F.expr(place).alias("p"), "id").repartition(8)
+    placed = by_depth(df, [], ["p"], rows=1_000)
+    depth = placed.groupBy("__depth").agg(F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    rows = sorted(map(tuple, depth.collect()))
+    assert max(r[1] for r in rows) <= 2_000 and 100 <= len(rows) <= 4_096
+    assert all(a[3] < b[2] for a, b in zip(rows, rows[1:]))
+    out = scan(placed, [], ["p"], F.col("__depth"), index="i", sums={"s": F.lit(1)}, lags={"g": F.col("id")})
+    assert out.filter("i <> id OR s <> id + 1 OR (id > 0 AND g <> id - 1)").count() == 0

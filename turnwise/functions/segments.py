@@ -17,8 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Rows of one key handled by one task.
 SEGMENT_ROWS = 65_536
+#: Segments of equal depth at most.
+MOST_SEGMENTS = 4_096
 
 _SEG = "__segment"
 
@@ -28,19 +32,33 @@ def position_segment(position: str, rows: int = SEGMENT_ROWS) -> Column:
     return F.floor(F.col(position) / F.lit(rows))
 
 
-def time_segment(df: DataFrame, keys: Sequence[str], ts: str, rows: int = SEGMENT_ROWS) -> Column:
-    """Segment number for keys ordered by a timestamp, about ``rows`` rows of the largest key each.
-
-    Measures the largest key and the time span first, in one pre-aggregated pass.
+def by_depth(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = SEGMENT_ROWS, name: str = "__depth"
+) -> DataFrame:
+    """``df`` with a segment number ``name`` that grows along ``order`` within a key, about ``rows`` rows each.
+
+    Segments follow the rows, not the values of ``order``: Spark's range partitioning samples the rows and cuts
+    them into parts of equal depth, so a far-off value or a sparse stretch makes no difference. There are
+    at most ``MOST_SEGMENTS`` of them, which bounds what is carried from one to the next; beyond that many rows
+    the segments grow. Row counts per key come first, in a pre-aggregated pass; if no key has more than ``rows``
+    rows, there is one segment and nothing moves. Otherwise the parts are stored, since the numbers must be
+    the same wherever the result is read.
     """
-    second = F.unix_seconds(F.col(ts).cast("timestamp"))
-    per_key = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(second).alias("lo"), F.max(second).alias("hi")
-    )
-    n, lo, hi = per_key.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
-    if not n or n <= rows:
-        return F.lit(0).cast("long")
-    return F.floor((second - lo) / F.lit(max(1, (hi - lo) * rows // n)))
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    most, total = per_key.agg(F.max("n"), F.sum("n")).first()
+    if not most or most <= rows:
+        return df.withColumn(name, F.lit(0))
+    parts = min(MOST_SEGMENTS, -(-total // rows))
+    columns = [F.col(f"`{c}`") for c in (*keys, *order)]
+    placed = df.repartitionByRange(parts, *columns).withColumn(name, F.spark_partition_id())
+    return cut_lineage(placed, "segments")
+
+
+def scan_by_depth(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = SEGMENT_ROWS, **running
+) -> DataFrame:
+    """``scan`` over segments of equal depth: for orders that are no dense position, and without keys."""
+    return scan(by_depth(df, keys, order, rows), keys, order, F.col("__depth"), **running).drop("__depth")
 
 
 def scan(

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.segments import scan
+from ..functions.segments import SEGMENT_ROWS, scan, scan_by_depth
 from .totals import clamp
 
 
@@ -159,20 +159,12 @@ def median_floor(train: DataFrame, evaluated: DataFrame) -> DataFrame:
     )
 
 
-def stratified_shots(labels: DataFrame, k: int, id_segment: Column) -> DataFrame:
+def stratified_shots(labels: DataFrame, k: int, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """``k`` sessions at evenly spaced ranks of ``(total, session_id)``.
 
-    ``labels`` is ``(session_id, total)``. Rows are numbered in segments of the total
-    and of ``id_segment``, which must not decrease with the id.
+    ``labels`` is ``(session_id, total)``. Rows are numbered in segments of about ``segment_rows`` rows.
     """
-    place = F.col("total").cast("double") + F.lit(0.0)
-    ordered = scan(
-        labels.withColumn("__seg_id", id_segment),
-        [],
-        ["total", "session_id"],
-        F.struct(place.alias("t"), F.col("__seg_id").alias("s")),
-        index="shot_rank",
-    ).drop("__seg_id")
+    ordered = scan_by_depth(labels, [], ["total", "session_id"], segment_rows, index="shot_rank")
     n = labels.agg(F.count("*").alias("n")).scalar()
     wanted = [
         F.bround((n - 1) * F.lit(float(i)) / F.lit(max(k - 1, 1)), 0).cast("long") for i in range(k)

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from ..functions.segments import position_segment, scan
+from ..functions.segments import SEGMENT_ROWS, scan_by_depth
+from ..session import cut_lineage
 
 
 #: Sign bits taken from one hash in the permutation test.
 BITS = 60
+#: Buckets of the bootstrap's range join that one row is listed in at once.
+SHELF = 4_096
 
 
 def pairing_violations(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -63,19 +66,18 @@ def paired_bootstrap(
     """Mean difference and percentile interval of resampled means.
 
     Draw ``i`` of replicate ``r`` is position ``hash(seed, r, i) mod n`` among the sorted
-    differences, so a retried task draws the same. The positions are joined to the numbered
-    differences (broadcast by Spark's own size rule), and one row per replicate is shuffled.
+    differences, so a retried task draws the same. Equal differences are one row with the
+    positions it takes, and a draw finds its row by a bucketed range join.
     """
     if iterations <= 0 or not 0.0 < level < 1.0:
         raise ValueError("iterations must be positive and level between 0 and 1")
-    n, mean = diffs.agg(F.count("*"), F.avg("d")).first()
+    merged = cut_lineage(diffs.groupBy("d").agg(F.count("*").alias("w")), "weights")
+    n, mean, values = merged.agg(F.sum("w"), F.sum(F.col("d") * F.col("w")) / F.sum("w"), F.count("*")).first()
     if not n:
         raise ValueError("paired statistics require non-empty arms")
-    merged = diffs.groupBy("d").agg(F.count("*").alias("w")).withColumn("__b", F.floor(F.col("d") * 64))
-    ends = scan(merged, [], ["d"], F.col("__b"), sums={"upto": F.col("w")})
-    places = ends.select("d", F.explode(F.sequence(F.col("upto") - F.col("w"), F.col("upto") - 1)).alias("j"))
-    draws = _draws(diffs.sparkSession, iterations, n, seed).join(places, "j").select("r", "d")
-    means = draws.groupBy("r").agg((F.sum("d") / F.lit(float(n))).alias("m"))
+    ends = scan_by_depth(merged, [], ["d"], sums={"upto": F.col("w")})
+    drawn = _drawn(_draws(diffs.sparkSession, iterations, n, seed), ends, n, values)
+    means = drawn.groupBy("r").agg((F.sum("d") / F.lit(float(n))).alias("m"))
     tail = (1.0 - level) / 2.0
     return means.agg(
         F.lit(float(mean)).alias("mean_difference"),
@@ -92,6 +94,25 @@ def _draws(spark, iterations: int, n: int, seed: int) -> DataFrame:
     return ids.select(r.alias("r"), (draw(F.lit(seed), r, i) % n).alias("j"))
 
 
+def _drawn(draws: DataFrame, ends: DataFrame, n: int, values: int) -> DataFrame:
+    """``(r, d)``: the value whose positions ``[upto - w, upto)`` hold position ``j`` of each draw.
+
+    Positions are cut into about as many buckets as there are values. A value is listed in each bucket that
+    it reaches into, which makes at most twice as many rows as values however often a value
+    occurs; a draw meets the two or so values of its bucket.
+    """
+    width = max(1, n // values)
+    spans = ends.select("d", (F.col("upto") - F.col("w")).alias("lo"), (F.col("upto") - 1).alias("hi"))
+    first, last = F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)
+    # in two steps, so that no array grows with the rows of one value
+    shelves = spans.withColumn("shelf", F.explode(F.sequence(F.floor(first / SHELF), F.floor(last / SHELF))))
+    low, high = F.col("shelf") * SHELF, F.col("shelf") * SHELF + (SHELF - 1)
+    reached = F.sequence(F.greatest(first, low), F.least(last, high))
+    listed = shelves.select("d", "lo", "hi", F.explode(reached).alias("bucket"))
+    placed = draws.withColumn("bucket", F.floor(F.col("j") / width))
+    return placed.join(listed, "bucket").filter("lo <= j AND j <= hi").select("r", "d")
+
+
 def paired_permutation(diffs: DataFrame, iterations: int, seed: int) -> DataFrame:
     """Share of random sign flips whose mean is at least as extreme as the observed.
 
@@ -279,11 +300,12 @@ def trace_parity(
     candidate: DataFrame,
     allowed_response_mismatches: int = 0,
     latency_budget_ms: float | None = None,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Compare two call traces position by position.
 
     Traces are ``(position, request_id, role, request_hash, response_hash, outcome,
-    failure_type, provenance, latency_ms)``; ``position`` increases but may have gaps.
+    failure_type, provenance, latency_ms)``; ``position`` increases but may have gaps of any size.
     """
     fields = [
         "request_id", "role", "request_hash", "response_hash", "outcome", "failure_type",
@@ -291,7 +313,7 @@ def trace_parity(
     ]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        placed = scan(df, [], ["position"], position_segment("position"), index="__at")
+        placed = scan_by_depth(df, [], ["position"], segment_rows, index="__at")
         return placed.select("__at", F.struct(*fields).alias(name))
 
     joined = side(baseline, "a").join(side(candidate, "b"), "__at", "full_outer")

@@ -230,7 +230,7 @@ def median_floor(spark, folder):
 )
 def stratified_shots(spark, folder):
     df = totals(spark, folder).select("session_id", F.col("reference").alias("total"))
-    return fits.stratified_shots(df, 5, F.floor(F.col("session_id") / 65_536))
+    return fits.stratified_shots(df, 5)
 
 
 BUDGETED_SQL = """SELECT session_id, predicted, reference, 6 AS question_budget, failed,

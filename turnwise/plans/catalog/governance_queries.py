@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import constants as K
 from ...functions.hashing import canonical_hash as hash_expr
-from ...functions.segments import scan, time_segment
+from ...functions.segments import scan_by_depth
 from ...operators import governance as G
 from .base import View, query, table
 from .mining_queries import DIGEST_SQL
@@ -250,7 +250,7 @@ lg AS (SELECT user_id AS case_id, k AS decision_index, CASE event_type WHEN 'vie
 def decision_log(spark, folder):
     k, e = F.col("k"), F.col("event_id")
     events, keys = table(spark, folder, "events"), ["user_id"]
-    numbered = scan(events, keys, ["ts", "event_id"], time_segment(events, keys, "ts"), index="k")
+    numbered = scan_by_depth(events, keys, ["ts", "event_id"], index="k")
     roles = {"view": "interviewer", "click": "scorer", "purchase": "evaluator", "signup": "updater"}
     role = F.lit("reporter")
     for kind, name in roles.items():

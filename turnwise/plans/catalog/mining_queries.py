@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import constants as K
 from ...functions.hashing import canonical_hash
-from ...functions.segments import scan, time_segment
+from ...functions.segments import scan_by_depth
 from ...operators import experience as X
 from ...operators import fits, lessons, mining
 from .base import View, query, rounded, rounded_sql, strings, table
@@ -301,7 +301,7 @@ CURRENT_CTE = f"""{VERSIONS_CTE}, cur AS (SELECT * FROM versions
 
 def versions(spark, folder):
     events, keys = table(spark, folder, "events"), ["user_id", "event_type"]
-    numbered = scan(events, keys, ["ts", "event_id"], time_segment(events, keys, "ts"), index="rn")
+    numbered = scan_by_depth(events, keys, ["ts", "event_id"], index="rn")
     user, e = F.col("user_id"), F.col("event_id")
     return numbered.select(
         F.concat_ws("-", user.cast("string"), "event_type").alias("lesson_id"),
