@@ -8,7 +8,7 @@ from compare import differences, duck
 from turnwise.plans.catalog import RUNS, SQL
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-PYTHON = {"json_objects", "typed_", "reply_failures", "claims", "lesson_candidates", "stream_"}
+PYTHON = {"json_objects", "typed_", "reply_failures", "claims", "lesson_candidates"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def test_only_the_rounds_have_no_sql():
 
 @pytest.mark.parametrize("name", sorted(set(RUNS) - {"acquisition_trace", "round_finds"}))
 def test_python_runs_only_where_intended(spark, name):
-    """Balanced JSON spans and the pair stream are the only Python in any plan."""
+    """Balanced JSON spans are the only Python in any plan."""
     if any(name.startswith(p) for p in PYTHON):
         return
     plan = RUNS[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()

@@ -1,12 +1,14 @@
 """File sources, settings, run records and streams."""
 
 import json
+import re
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from turnwise.sources import reference, runs, transcripts
+from turnwise.operators import turns as T
 from turnwise.streaming import streams
 
 
@@ -139,20 +141,66 @@ def test_summary_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "s" / "sessions")).count() == 3
 
 
+def turns_of(spark, rows):
+    df = spark.createDataFrame(rows, "session_id string, turn_idx long, role string, text string, s long")
+    return df.select("session_id", "turn_idx", "role", "text", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+
+
 def test_pair_stream_closes_a_silent_session(spark, tmp_path):
     rows = [("a", 0, "P", "hello", 0), ("a", 1, "E", "q1", 60), ("a", 2, "P", "one", 120), ("a", 3, "P", "two", 180), ("b", 0, "E", "later", 90_000)]
-    df = spark.createDataFrame(rows, "session_id string, turn_idx long, role string, text string, s long").select(
-        "session_id", "turn_idx", "role", "text", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
-    for part in (df.filter("turn_idx < 3 AND session_id = 'a'"), df.filter("turn_idx = 3"), df.filter("session_id = 'b'")):
+    df = turns_of(spark, rows + [(None, 0, "P", "nobody", 0), ("a", None, "P", "nowhere", 0)])
+    for part in (df.filter("turn_idx < 3 AND session_id = 'a'"), df.filter("turn_idx = 3 OR session_id IS NULL OR turn_idx IS NULL"), df.filter("session_id = 'b'")):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = streams.stream_pairs(stream, "P", "1 minute", 600_000).writeStream.format("parquet").option(
-        "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    path = str(tmp_path / "out")
+    run = stream.writeStream.foreachBatch(streams.pair_writer(path, "P", 60_000, 600_000)).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
-    got = sorted((r.turn_id, r.question, r.answer) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    got = sorted((r.turn_id, r.question, r.answer) for r in streams.read_pairs(spark, path).collect())
     assert got == [("turn-0", "", "hello"), ("turn-2", "q1", "one two")]
 
 
+@pytest.mark.parametrize("cuts", [[7], [1, 2, 3, 4, 5], [40, 41, 300]])
+def test_pair_stream_equals_the_batch_however_it_is_cut(spark, tmp_path, cuts):
+    """Also when each trigger is repeated, and whatever other sessions do meanwhile."""
+    rows = []
+    for s, n in (("long", 400), ("short", 9), ("late", 60)):
+        for i in range(n):
+            role = "P" if (i * 7 + len(s)) % 5 < 3 else "E"
+            rows.append((s, i, role, "  " if i % 11 == 0 else f"{s} {i}", i * 60))
+        rows.append((s, n, "E", "bye", n * 60))
+    df = turns_of(spark, rows)
+    path, bounds = str(tmp_path / "out"), [0, *cuts, 10_000]
+    write = streams.pair_writer(path, "P", timeout_ms=0, segment_rows=16)
+    for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        batch = df.filter((F.col("turn_idx") >= lo) & (F.col("turn_idx") < hi))
+        write(batch, k)
+        write(batch, k)
+    want = T.pair_turns(df, "P").collect()
+    assert sorted(map(tuple, streams.read_pairs(spark, path).collect())) == sorted(map(tuple, want))
+    assert spark.read.parquet(f"{path}/open/{len(cuts)}").count() == 3  # the closing prompts
+
+
+def test_a_trigger_that_is_repeated_adds_nothing_and_reads_its_prefixes(spark, tmp_path):
+    path = str(tmp_path / "memory")
+    write = streams.append_to_memory(path)
+    first = spark.range(500).select(F.concat(F.lit("r"), "id").alias("record_id"), F.col("id").alias("n"))
+    for batch_id, ids in enumerate([(0, 300), (200, 500)]):
+        batch = first.filter(F.col("n").between(ids[0], ids[1] - 1)).union(first.limit(3)).union(spark.sql("SELECT CAST(NULL AS STRING), 0L"))
+        write(batch, batch_id)
+        write(batch, batch_id)
+    got = streams.read_memory(spark, path)
+    assert got.count() == 500 and got.select("record_id").distinct().count() == 500
+    write(first, 7)  # other numbers, records all held
+    assert streams.read_memory(spark, path).count() == 500
+    few = streams.with_prefix(spark.sql("SELECT 'r1' AS record_id, 1L AS n UNION ALL SELECT 'x', 2L"))
+    new = streams.unheld(few, spark.read.parquet(f"{path}/records"))
+    assert [r.record_id for r in new.collect()] == ["x"]
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", plan)[1]
+    assert "prefix" in filters and len(re.findall(r"\d+", filters.split("IN", 1)[-1])) <= 4
+
+
 @pytest.mark.parametrize("kind", [{"window": "10 minutes", "slide": "5 minutes"}, {"session_gap": "5 minutes"}])
 def test_usage_windows_in_batch(spark, kind):
     df = spark.createDataFrame([(0,), (60,), (1200,)], "s long").select(

@@ -109,13 +109,13 @@ def near_duplicates(spark, folder):
 
 
 def _drain(stream, spark, name, mode="append", each=None):
-    """Run a stream over what is there and return what it wrote."""
+    """Run a stream over what is there; where it wrote."""
     path = f"{shared_folder(spark)}/turnwise-{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-progress")
     writer = writer.foreachBatch(each(path)) if each else writer.format("parquet").option("path", path)
     running = writer.trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.parquet(path)
+    return path
 
 
 def _stored(slices, spark, name, key, files_per_trigger=4):
@@ -132,7 +132,7 @@ def _stored(slices, spark, name, key, files_per_trigger=4):
     f"""WITH {PAIRS_CTE} SELECT CAST(session_id AS VARCHAR) AS session_id, turn_id, turn_idx, question, answer, tag, span_ids FROM pairs""",
 )
 def stream_pairs(spark, folder):
-    """All turns of ``MIXED`` and one closing prompt per session, as an arriving stream."""
+    """All turns of ``MIXED`` and one closing prompt per session, as an arriving stream without a timeout."""
     turns = MIXED.load(spark, folder)
     closing = turns.groupBy("session_id").agg((F.max("turn_idx") + 1).alias("turn_idx")).select(
         "session_id", "turn_idx", F.lit("prompt").alias("role"), F.lit("bye").alias("text")
@@ -141,8 +141,9 @@ def stream_pairs(spark, folder):
         "ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn_idx") * 60)
     )
     arrivals = [timed.filter("turn_idx < 4"), timed.filter("turn_idx >= 4")]
-    out = streams.stream_pairs(_stored(arrivals, spark, "turns", "session_id"), "answer")
-    return _drain(out, spark, "pairs").withColumn("span_ids", F.array_join("span_ids", ","))
+    turns = _stored(arrivals, spark, "turns", "session_id")
+    path = _drain(turns, spark, "pairs", each=lambda path: streams.pair_writer(path, "answer", timeout_ms=0))
+    return streams.read_pairs(spark, path).withColumn("span_ids", F.array_join("span_ids", ","))
 
 
 @query(
@@ -154,24 +155,57 @@ def stream_evidence(spark, folder):
     half = "TIMESTAMP '2024-01-16'"
     arrivals = [df.filter(f"ts < {half}"), df.filter(f"ts >= {half}")]
     out = streams.stream_evidence(_stored(arrivals, spark, "evidence", "record_id"), "40 days")
-    return _drain(out, spark, "memory", each=streams.append_to_memory).drop("ts")
+    path = _drain(out, spark, "memory", each=streams.append_to_memory)
+    return streams.read_memory(spark, path).drop("ts")
+
+
+def _usage_stream(spark, folder, **kind):
+    """Usage rows as a stream: most on time, a tenth late, and some again when their windows are closed.
+
+    Two rows three months on move the watermark past all windows, one trigger for the windows to close and one for
+    what comes after them to be too late.
+    """
+    df = USAGE.load(spark, folder).withColumns({"ts": F.col("ts").cast("timestamp"), "caller": F.col("event_id") % 7})
+    last = df.agg(F.max("ts").alias("t")).select((F.col("t") + F.expr("INTERVAL 90 DAYS")).alias("ts"))
+    closing = last.select(
+        "ts", F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("outcome"), F.lit(False).alias("truncated"),
+        F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"), F.lit(-1).cast("long").alias("caller"),
+    )
+    late = F.col("event_id") % 10 == 3
+    arrivals = [df.filter(~late), df.filter(late), closing.coalesce(1), closing.coalesce(1), df.filter("event_id % 50 = 7")]
+    stream = _stored(arrivals, spark, "usage", "event_id", 1)
+    out = spark.read.parquet(_drain(streams.stream_usage(stream, watermark="40 days", **kind), spark, "windows"))
+    busy = F.col("calls") + F.col("retries") + F.col("failed_calls") > 0
+    return out.filter(busy).drop("end").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(
     "stream_usage",
-    f"""SELECT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M') AS start, {USAGE_SQL}
+    f"""SELECT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M:%S') AS start, {USAGE_SQL}
         FROM ({USAGE.sql}) GROUP BY 1""",
 )
 def stream_usage(spark, folder):
-    df = USAGE.load(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    last = df.agg(F.max("ts").alias("t")).select((F.col("t") + F.expr("INTERVAL 3 DAYS")).alias("ts"))
-    # One later row moves the watermark past the last window; it is dropped again below.
-    closing = last.select(
-        "ts", F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("outcome"), F.lit(False).alias("truncated"),
-        F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"),
-    )
-    stream = _stored([df, closing], spark, "usage", "event_id")
-    out = _drain(streams.stream_usage(stream, "6 hours"), spark, "windows")
-    day = F.date_format("start", "yyyy-MM-dd HH:mm")
-    busy = F.col("calls") + F.col("retries") + F.col("failed_calls") > 0
-    return out.filter(busy).drop("end").withColumn("start", day)
+    return _usage_stream(spark, folder, window="6 hours")
+
+
+@query(
+    "stream_usage_sliding",
+    f"""SELECT strftime(time_bucket(INTERVAL '3 hours', ts) - (INTERVAL '3 hours' * k), '%Y-%m-%d %H:%M:%S') AS start, {USAGE_SQL}
+        FROM ({USAGE.sql}), (SELECT unnest([0, 1]) AS k) GROUP BY 1""",
+)
+def stream_usage_sliding(spark, folder):
+    return _usage_stream(spark, folder, window="6 hours", slide="3 hours")
+
+
+@query(
+    "stream_usage_sessions",
+    f"""WITH u AS (SELECT *, event_id % 7 AS caller FROM ({USAGE.sql})),
+        g AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL '20 minutes', true) AS fresh FROM u WINDOW w AS (PARTITION BY caller ORDER BY ts, event_id)),
+        s AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY caller ORDER BY ts, event_id) AS nth FROM g)
+        SELECT * EXCLUDE (estimated_cost_usd) FROM (
+          SELECT caller, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, {USAGE_SQL} FROM s GROUP BY caller, nth)""",
+)
+def stream_usage_sessions(spark, folder):
+    """Sessions of each caller, which end after twenty minutes without a call; their costs lie halfway between
+    four digits too often to be compared."""
+    return _usage_stream(spark, folder, session_gap="20 minutes", keys=["caller"]).drop("estimated_cost_usd")
