@@ -127,3 +127,27 @@ def test_append_is_idempotent(spark):
 @pytest.mark.parametrize("n,asked,go", [(2, 2, True), (2, 3, False), (1, 1, True), (1, 2, False), (0, 0, False)])
 def test_continue_asking(spark, n, asked, go):
     assert spark.range(1).select(grounding.continue_asking(F.lit(n), F.lit(asked))).first()[0] is go
+
+
+def test_half_a_surrogate_pair_does_not_end_the_job(spark):
+    cut = '{"score": 2, "summary": "cut \\ud83d"}'
+    deep = '{"a": ' * 3000 + "1" + "}" * 3000
+    rows = [cut, '{"x": {"y": "\\udc00"}, "score": 1}', '{"score": 3, "summary": "whole \\ud83d\\ude00"}', deep, '{"score": 1, "score": 2}', '{"score": NaN} {"score": 1}']
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, raw string")
+    got = replies.typed_scores(df).orderBy("i").collect()
+    assert [(r.score, r.summary) for r in got] == [(2, "cut �"), (1, ""), (3, "whole \U0001f600"), (1, ""), (2, ""), (1, "")]
+    items = replies.typed_item_scores(df.withColumn("raw", F.replace("raw", F.lit("summary"), F.lit("quote")))).orderBy("i").collect()
+    assert [r.quote for r in items][:1] == ["cut �"]
+    replies.typed_sufficiency(df).collect(), replies.typed_queries(df).collect()
+
+
+FLAT = ['{"a": 1}', 'x {"a": "q"} y {"b": [1, 2]} z', '{"a": "}"}', '{"a": "{"} {"b": "}"}', 'say "{" {"a": 1}', "{a}", '{"a": 1.50}',
+        '{"a": 1e400}', '{"a": 1, "a": 2}', '{"a": "\\u00e9"}', "", "none", '{"a": "x\ny"}', "{}", '{"a": 12345678901234567890}', '{"a": Infinity}']
+
+
+def test_flat_objects_read_the_same_with_and_without_python(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*FLAT, None])], "i int, t string")
+    got = replies.with_objects(df, F.col("t")).select("i", F.transform("objects", lambda v: F.to_json(v)).alias("o"))
+    slow = df.select("i", F.filter(F.transform(replies.readable_objects("t"), F.try_parse_json), lambda v: v.isNotNull()).alias("v"))
+    want = slow.select("i", F.transform("v", lambda v: F.to_json(v)).alias("o"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -91,7 +91,8 @@ def _draws(spark, iterations: int, n: int, seed: int) -> DataFrame:
     parts = max(spark.sparkContext.defaultParallelism, rows // 5_000_000 + 1)
     ids = spark.range(0, rows, 1, parts)
     r, i = F.floor(F.col("id") / n), F.col("id") % n
-    return ids.select(r.alias("r"), (draw(F.lit(seed), r, i) % n).alias("j"))
+    # known not to be null, so that no filter computes the hash once more
+    return ids.select(F.coalesce(r, F.lit(0)).alias("r"), F.coalesce(draw(F.lit(seed), r, i) % n, F.lit(0)).alias("j"))
 
 
 def _drawn(draws: DataFrame, ends: DataFrame, n: int, values: int) -> DataFrame:
@@ -108,8 +109,9 @@ def _drawn(draws: DataFrame, ends: DataFrame, n: int, values: int) -> DataFrame:
     shelves = spans.withColumn("shelf", F.explode(F.sequence(F.floor(first / SHELF), F.floor(last / SHELF))))
     low, high = F.col("shelf") * SHELF, F.col("shelf") * SHELF + (SHELF - 1)
     reached = F.sequence(F.greatest(first, low), F.least(last, high))
-    listed = shelves.select("d", "lo", "hi", F.explode(reached).alias("bucket"))
-    placed = draws.withColumn("bucket", F.floor(F.col("j") / width))
+    # stored, so that its size is known and a short table is broadcast before any draw moves
+    listed = cut_lineage(shelves.select("d", "lo", "hi", F.explode(reached).alias("bucket")), "buckets")
+    placed = draws.withColumn("bucket", F.coalesce(F.floor(F.col("j") / width), F.lit(0)))
     return placed.join(listed, "bucket").filter("lo <= j AND j <= hi").select("r", "d")
 
 

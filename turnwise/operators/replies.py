@@ -94,16 +94,17 @@ def _object_reader():
     """A reader of one reply's objects, sent to tasks whole: spans that parse, written anew.
 
     Of a repeated key the last value counts, and NaN and infinities become null; a raw line break
-    inside a string refuses the object.
+    inside a string refuses the object. Half a surrogate pair, as a cut-off emoji leaves it, is U+FFFD.
     """
     import json
 
     spans = _span_finder()
+    halves = re.compile("[\ud800-\udfff]")
 
     def parsed(span: str) -> str | None:
         try:
             value = json.loads(span, parse_constant=lambda _: None)
-            return json.dumps(value, ensure_ascii=False, allow_nan=False)
+            return halves.sub("\ufffd", json.dumps(value, ensure_ascii=False, allow_nan=False))
         except (ValueError, RecursionError):  # no JSON, or a number beyond a double's range
             return None
 
@@ -116,19 +117,40 @@ def _object_reader():
 #: The objects of a text that parse, as JSON that every parser reads alike.
 readable_objects = F.pandas_udf(_object_reader(), ArrayType(StringType()))
 
+_FLAT = r"\{[^{}]*\}"
+#: What parsers read in different ways: halves of surrogate pairs, exponents, long numbers, closing zeros.
+_DELICATE = r"\\u[dD][89a-fA-F]|\d[eE]|\d{18}|\.\d*0"
 
-def with_objects(replies: DataFrame) -> DataFrame:
-    """Clean replies and add ``objects``, the JSON objects of the text that parse.
 
-    The answer part is searched, or the whole reply when no answer part is left.
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the column ``name``, computed once per row.
+
+    A generator of one row: no filter or projection above it repeats the expression.
     """
-    cleaned = clean_replies(replies)
-    source = F.when(F.col("cleaned") != "", F.col("cleaned")).otherwise(F.col("raw"))
-    return cleaned.withColumn("objects", _parsed(readable_objects(source)))
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
-def _parsed(spans: Column) -> Column:
-    return F.filter(F.transform(spans, F.try_parse_json), lambda v: v.isNotNull())
+def with_objects(replies: DataFrame, source: Column) -> DataFrame:
+    """``replies`` with ``objects``, the JSON objects of the text ``source`` that parse, as variants.
+
+    A text whose braces only enclose flat objects, with no quote outside them, is read in the JVM if all of them
+    parse there: the spans are then what the scanner would find. Only other texts go to Python.
+    """
+    text = "__source"
+    spans = F.transform(F.regexp_extract_all(text, F.lit(_FLAT), F.lit(0)), F.try_parse_json)
+    plain = ~F.regexp_replace(text, _FLAT, "").rlike('[{}"]') & ~F.col(text).rlike(_DELICATE)
+    df = _once(_once(replies, text, source), "__flat", F.when(plain, spans))
+    df = df.withColumn("__rest", F.when(F.forall("__flat", lambda v: v.isNotNull()), None).otherwise(F.col(text)))
+    read = F.filter(F.transform("__read", F.try_parse_json), lambda v: v.isNotNull())
+    df = df.withColumn("__read", readable_objects("__rest"))
+    found = F.when(F.col("__rest").isNull(), F.coalesce("__flat", F.array())).otherwise(read)
+    return _once(df, "objects", found).drop("__source", "__flat", "__rest", "__read")
+
+
+def _with_answer_objects(replies: DataFrame) -> DataFrame:
+    """Clean replies with the ``objects`` of the answer part, or of the whole reply when no answer part is left."""
+    cleaned = clean_replies(replies)
+    return with_objects(cleaned, F.when(F.col("cleaned") != "", F.col("cleaned")).otherwise(F.col("raw")))
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:
@@ -187,23 +209,11 @@ _LAST_NUMBER = r"^[^\d-]*(-?\d+)[^\d]*$"
 
 def typed_scores(replies: DataFrame) -> DataFrame:
     """Scores 0-3 of scorer replies: JSON first, then ``score: n``, then a bare number."""
-    df = clean_replies(replies).withColumns(
-        {
-            "__a": _parsed(readable_objects("cleaned")),
-            "__b": _parsed(readable_objects("tag_free")),
-        }
-    )
-
-    def usable(objects: Column) -> Column:
-        return F.filter(
-            objects, lambda v: _whole(v, "$.score", 0, K.ITEM_MAX).isNotNull()
-        )
-
-    # The loop of the answer part stops there when it has text; otherwise the tag-free text.
-    best = F.when(F.col("cleaned") != "", _last(usable(F.col("__a")))).otherwise(
-        _last(usable(F.col("__b")))
-    )
-    df = df.withColumn("__o", best)
+    # The answer part is searched if it has text, otherwise the tag-free text.
+    cleaned = clean_replies(replies)
+    df = with_objects(cleaned, F.when(F.col("cleaned") != "", F.col("cleaned")).otherwise(F.col("tag_free")))
+    usable = F.filter("objects", lambda v: _whole(v, "$.score", 0, K.ITEM_MAX).isNotNull())
+    df = _once(df, "__o", _last(usable))
     keyed = F.element_at(
         F.regexp_extract_all("cleaned", F.lit(r'(?i)"?score"?\s*:\s*(-?\d+)'), F.lit(1)), -1
     )
@@ -225,7 +235,7 @@ def typed_scores(replies: DataFrame) -> DataFrame:
             ).otherwise(F.lit([]).cast("array<string>")),
             "reason": _reason(score, K.REASON_NO_SCORE),
         }
-    ).drop("__a", "__b", "__o")
+    ).drop("objects", "__o")
 
 
 def _reason(value: Column, otherwise: str) -> Column:
@@ -238,7 +248,7 @@ def _reason(value: Column, otherwise: str) -> Column:
 
 def typed_necessity(replies: DataFrame) -> DataFrame:
     """Follow-up necessity 0-2 of necessity replies."""
-    df = clean_replies(replies).withColumn("objects", _parsed(readable_objects("cleaned")))
+    df = with_objects(clean_replies(replies), F.col("cleaned"))
 
     def rating(v: Column) -> Column:
         return F.coalesce(*(_whole(v, f"$.{k}", 0, 2) for k in ("necessity", "score", "rating")))
@@ -261,11 +271,11 @@ def typed_necessity(replies: DataFrame) -> DataFrame:
 
 def typed_updates(replies: DataFrame, topics: Sequence[str]) -> DataFrame:
     """One row per (reply, revised topic) with score, reason and cited ids."""
-    df = clean_replies(replies).withColumn("objects", _parsed(readable_objects("cleaned")))
+    df = with_objects(clean_replies(replies), F.col("cleaned"))
     payloads = F.filter(
         "objects", lambda v: _has(v, "$.summary") | _has(v, "$.updated_scores")
     )
-    df = df.withColumn("__o", _last(payloads)).drop("objects")
+    df = _once(df, "__o", _last(payloads)).drop("objects")
 
     def from_json(t: str) -> Column:
         at = f'$.updated_scores["{t}"]'
@@ -308,7 +318,7 @@ def _flag(v: Column, path: str, default: Column) -> Column:
 
 def typed_item_scores(replies: DataFrame) -> DataFrame:
     """Scores with abstention kept apart from zero."""
-    df = with_objects(replies).withColumn("__o", _last(F.col("objects")))
+    df = _once(_with_answer_objects(replies), "__o", _last(F.col("objects")))
     o = F.col("__o")
     stated = F.lower(_text(o, "$.present"))
     kind = _kind(o, "$.score")
@@ -348,7 +358,7 @@ def typed_item_scores(replies: DataFrame) -> DataFrame:
 
 def typed_sufficiency(replies: DataFrame) -> DataFrame:
     """Nullable verdict and the description of what is missing."""
-    df = with_objects(replies).withColumn("__o", _last(F.col("objects")))
+    df = _once(_with_answer_objects(replies), "__o", _last(F.col("objects")))
     o = F.col("__o")
     return df.withColumns(
         {
@@ -360,7 +370,7 @@ def typed_sufficiency(replies: DataFrame) -> DataFrame:
 
 def typed_queries(replies: DataFrame, limit: int = 8, max_chars: int = 80) -> DataFrame:
     """The first distinct queries of a query reply, case ignored."""
-    df = with_objects(replies).withColumn("__o", _last(F.col("objects")))
+    df = _once(_with_answer_objects(replies), "__o", _last(F.col("objects")))
     texts = F.transform(
         F.filter(
             _get(F.col("__o"), "$.queries", "array<variant>"),
@@ -386,7 +396,7 @@ def claims(replies: DataFrame) -> DataFrame:
     ``replies`` carries ``offered map<turn_id, relation>``, the turns that were shown; a
     claim keeps only those it was offered and is dropped when none is left.
     """
-    df = with_objects(replies).withColumn("__o", _last(F.col("objects")))
+    df = _once(_with_answer_objects(replies), "__o", _last(F.col("objects")))
     each = df.select(
         "session_id",
         "topic",
@@ -438,7 +448,7 @@ def lesson_candidates(replies: DataFrame) -> DataFrame:
 
     A rule with an empty field, or one that speaks of the labels, is dropped.
     """
-    df = with_objects(replies).withColumn("__o", _last(F.col("objects")))
+    df = _once(_with_answer_objects(replies), "__o", _last(F.col("objects")))
     fields = {f: T.squash(F.coalesce(_get(F.col("__o"), f"$.{f}"), F.lit(""))) for f in _LESSON_FIELDS}
     confidence = F.when(
         ~_kind(F.col("__o"), "$.confidence").isin("STRING", "VOID"),

@@ -82,6 +82,6 @@ def rounded_sql(sql: str, columns: dict[str, bool], digits: int = 6) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input in few file splits to all cores; large inputs stay as they are."""
+    """Give an input in fewer files than cores to all cores; inputs of many files stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

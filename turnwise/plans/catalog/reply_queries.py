@@ -12,6 +12,14 @@ from .base import View, query, spread, squash_sql, strip_sql, table
 N = "CAST(event_id % 5 AS STRING)"
 ID = "CAST(event_id % 97 AS STRING)"
 
+#: Half of an escaped surrogate pair, as a cut-off emoji leaves it: U+FFFD when its object is read.
+HALF = "concat(chr(92), 'ud83d')"
+
+
+def mended_sql(x: str) -> str:
+    return f"replace({x}, {HALF}, chr(65533))"
+
+
 SCORER = View(
     "events",
     session_id="user_id",
@@ -19,7 +27,9 @@ SCORER = View(
     event_id="event_id",
     stage="CASE WHEN event_id % 2 = 0 THEN 'scorer' ELSE 'rescorer' END",
     raw=(
-        "CASE event_id % 12 "
+        f"""CASE WHEN event_id % 36 = 20 THEN concat('{{"score": ', {N}, ', "summary": "cut ', {HALF}, '"}}') """
+        f"""WHEN event_id % 36 = 32 THEN concat('{{"note": {{"a": "', {HALF}, '"}}, "score": ', {N}, '}}') """
+        "ELSE CASE event_id % 12 "
         f"""WHEN 0 THEN concat('{{"score": ', {N}, ', "summary": "basis ', {ID}, '", "evidence_turn_ids": ["turn-', {ID}, '", 7, 1.5]}}') """
         f"""WHEN 1 THEN concat('<think>maybe {{"score": 3}} or so</THINK> {{"score": ', {N}, '}}') """
         """WHEN 2 THEN concat('Thinking: hm', chr(10), 'Answer: {"score": true}', chr(10)) """
@@ -31,7 +41,7 @@ SCORER = View(
         "WHEN 8 THEN 'no idea at all' "
         """WHEN 9 THEN '{"example": 1} {"score": -4, "summary": " low "}' """
         "WHEN 10 THEN 'Reasoning: because of things' "
-        """ELSE concat('Thought process: x', chr(10), '---', chr(10), '{"score": 7}') END"""
+        """ELSE concat('Thought process: x', chr(10), '---', chr(10), '{"score": 7}') END END"""
     ),
 )
 
@@ -90,7 +100,7 @@ def clean_replies(spark, folder):
 
 @query(
     "json_objects",
-    f"""WITH s AS (SELECT event_id, regexp_extract_all(raw, '\\{{[^{{}}]*\\}}') AS spans FROM ({SCORER.sql}))
+    f"""WITH s AS (SELECT event_id, regexp_extract_all(raw, '\\{{(?:[^{{}}]|\\{{[^{{}}]*\\}})*\\}}') AS spans FROM ({SCORER.sql}))
         SELECT event_id, generate_subscripts(spans, 1) - 1 AS pos, unnest(spans) AS span FROM s""",
 )
 def json_objects(spark, folder):
@@ -100,8 +110,8 @@ def json_objects(spark, folder):
 
 
 SCORED_CTE = f"""{cleaned_cte(SCORER)},
-o AS (SELECT *, list_filter(regexp_extract_all(CASE WHEN cleaned <> '' THEN cleaned ELSE tag_free END,
-      '\\{{[^{{}}]*\\}}'), lambda x: {whole_sql('x', '$.score', 0, 3)} IS NOT NULL)[-1] AS obj,
+o AS (SELECT *, list_filter(regexp_extract_all({mended_sql("CASE WHEN cleaned <> '' THEN cleaned ELSE tag_free END")},
+      '\\{{(?:[^{{}}]|\\{{[^{{}}]*\\}})*\\}}'), lambda x: {whole_sql('x', '$.score', 0, 3)} IS NOT NULL)[-1] AS obj,
       regexp_extract_all(cleaned, '(?i)"?score"?\\s*:\\s*(-?\\d+)', 1)[-1] AS keyed,
       regexp_extract(cleaned, '^[^\\d-]*(-?\\d+)[^\\d]*$', 1) AS bare FROM c),
 s AS (SELECT *, {whole_sql('obj', '$.score', 0, 3)} AS js, {int_sql('keyed', 0, 3)} AS ks,
@@ -118,7 +128,7 @@ scored AS (SELECT session_id, topic, event_id, stage, coalesce(js, ks, bs) AS sc
 
 
 def scored(spark, folder):
-    df = D.typed_scores(SCORER.load(spark, folder))
+    df = D.typed_scores(spread(SCORER.load(spark, folder)))
     return df.select(
         "session_id",
         "topic",
@@ -230,7 +240,7 @@ ITEM_SCORES = View(
         f"""WHEN 4 THEN concat('{{"score": "about ', {N}, ' days"}}') """
         """WHEN 5 THEN '{"score": 3, "sufficient": "no"}' """
         """WHEN 6 THEN '{"score": 2.5, "present": "yes"}' """
-        """WHEN 7 THEN 'not json' """
+        f"""WHEN 7 THEN CASE WHEN event_id % 40 = 7 THEN concat('{{"score": 1, "quote": "half ', {HALF}, '"}}') ELSE 'not json' END """
         """WHEN 8 THEN '{"score": 1, "sufficient": 0}' """
         """ELSE '{"score": false, "present": "no", "sufficient": true}' END"""
     ),
@@ -246,7 +256,7 @@ _LOOSE = (
 
 @query(
     "typed_item_scores",
-    f"""WITH r AS ({ITEM_SCORES.sql}), v AS (SELECT *, raw LIKE '{{%' AS ok FROM r),
+    f"""WITH r AS (SELECT * REPLACE ({mended_sql('raw')} AS raw) FROM ({ITEM_SCORES.sql})), v AS (SELECT *, raw LIKE '{{%' AS ok FROM r),
         p AS (SELECT session_id, topic, event_id, ok, CASE WHEN ok THEN {_LOOSE} END AS s,
           CASE WHEN ok THEN lower(json_extract_string(raw, '$.present')) END AS st,
           CASE WHEN ok THEN json_extract(raw, '$.sufficient') END AS suff,
@@ -286,7 +296,8 @@ SUFFICIENCY = View(
     raw=(
         "CASE event_id % 5 "
         f"""WHEN 0 THEN concat('{{"sufficient": true, "missing": " m', {ID}, ' "}}') """
-        """WHEN 1 THEN '{"sufficient": "No"}' WHEN 2 THEN '{"missing": "frequency"}' """
+        """WHEN 1 THEN '{"sufficient": "No"}' WHEN 2 THEN """
+        f"""CASE WHEN event_id % 3 = 0 THEN concat('{{"missing": "', {HALF}, ' frequency"}}') ELSE '{{"missing": "frequency"}}' END """
         """WHEN 3 THEN '{"sufficient": 3}' ELSE 'unsure' END"""
     ),
 )
@@ -294,7 +305,7 @@ SUFFICIENCY = View(
 
 @query(
     "typed_sufficiency",
-    f"""WITH r AS ({SUFFICIENCY.sql}) SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false
+    f"""WITH r AS (SELECT * REPLACE ({mended_sql('raw')} AS raw) FROM ({SUFFICIENCY.sql})) SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false
         WHEN 3 THEN false END AS sufficient, CASE WHEN raw LIKE '{{%'
         THEN coalesce(trim(json_extract_string(raw, '$.missing')), '') ELSE '' END AS missing FROM r""",
 )
@@ -338,7 +349,7 @@ CLAIMS = View(
     event_id="event_id",
     round_index="event_id % 4",
     raw=(
-        f"""concat('Here: {{"claims": [{{"polarity": "Supports", "quote": "slept ', {ID}, '", "turn_ids": ["turn-', {N}, '", "turn-9"], "confidence": ', {N}, ', "frequency_basis": "stated_days"}}, """
+        f"""concat('Here: {{"claims": [{{"polarity": "Supports", "quote": "slept ', {ID}, CASE WHEN event_id % 9 = 2 THEN {HALF} ELSE '' END, '", "turn_ids": ["turn-', {N}, '", "turn-9"], "confidence": ', {N}, ', "frequency_basis": "stated_days"}}, """
         f"""{{"polarity": "refutes", "quote": "', CASE WHEN event_id % 3 = 0 THEN ' ' ELSE 'fine' END, '", "turn_ids": ["turn-1", "turn-0"], "confidence": "high", "frequency_basis": "weekly"}}, """
         """{"polarity": "maybe", "quote": "x", "turn_ids": ["turn-1"]}, {"polarity": "uncertain", "quote": "y", "turn_ids": ["turn-8"]}]}')"""
     ),
@@ -349,7 +360,7 @@ OFFERED = {"turn-0": "context", "turn-1": "reverse", "turn-2": "probe", "turn-3"
 
 @query(
     "claims",
-    f"""WITH r AS ({CLAIMS.sql}), u AS (SELECT session_id, topic, event_id, round_index,
+    f"""WITH r AS (SELECT * REPLACE ({mended_sql('raw')} AS raw) FROM ({CLAIMS.sql})), u AS (SELECT session_id, topic, event_id, round_index,
           unnest(json_extract(regexp_extract(raw, '\\{{.*\\}}'), '$.claims[*]')) AS c FROM r),
         o(turn, rel, k) AS (VALUES ('turn-0', 'context', 3), ('turn-1', 'reverse', 2), ('turn-2', 'probe', 1),
           ('turn-3', 'context', 3)),
@@ -392,7 +403,7 @@ LESSONS = View(
     role="CASE WHEN event_id % 2 = 0 THEN 'scorer' ELSE 'interviewer' END",
     scope="concat(event_type, '|lexical')",
     raw=(
-        f"""concat('{{"trigger": " t  ', {ID}, '", "do": "', CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'match the Ground Truth' """
+        f"""concat('{{"trigger": " t  ', {ID}, CASE WHEN event_id % 9 = 4 THEN {HALF} ELSE '' END, '", "do": "', CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'match the Ground Truth' """
         """ELSE 'ask again' END, '", "avoid": "guessing", "criterion": "ok", "confidence": 0.5}')"""
     ),
 )
@@ -400,7 +411,7 @@ LESSONS = View(
 
 @query(
     "lesson_candidates",
-    f"""WITH r AS ({LESSONS.sql}), f AS (SELECT event_id, role, scope,
+    f"""WITH r AS (SELECT * REPLACE ({mended_sql('raw')} AS raw) FROM ({LESSONS.sql})), f AS (SELECT event_id, role, scope,
           {squash_sql("json_extract_string(raw, '$.trigger')")} AS "trigger", json_extract_string(raw, '$.do') AS "do",
           json_extract_string(raw, '$.avoid') AS "avoid", json_extract_string(raw, '$.criterion') AS criterion FROM r)
         SELECT event_id, "trigger", "do", sha256('{{"avoid":"' || "avoid" || '","criterion":"' || criterion || '","do":"'
