@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from ..functions.segments import SEGMENT_ROWS, scan_by_depth
+from ..functions.segments import SEGMENT_ROWS, scan, scan_by_depth
 from ..session import cut_lineage
 
 
@@ -75,7 +75,9 @@ def paired_bootstrap(
     n, mean, values = merged.agg(F.sum("w"), F.sum(F.col("d") * F.col("w")) / F.sum("w"), F.count("*")).first()
     if not n:
         raise ValueError("paired statistics require non-empty arms")
-    ends = scan_by_depth(merged, [], ["d"], sums={"upto": F.col("w")})
+    sums = {"upto": F.col("w")}
+    short = values <= SEGMENT_ROWS
+    ends = scan(merged, [], ["d"], F.lit(0), sums=sums) if short else scan_by_depth(merged, [], ["d"], sums=sums)
     drawn = _drawn(_draws(diffs.sparkSession, iterations, n, seed), ends, n, values)
     means = drawn.groupBy("r").agg((F.sum("d") / F.lit(float(n))).alias("m"))
     tail = (1.0 - level) / 2.0
