@@ -285,10 +285,69 @@ def test_false_magic_is_no_record(tmp_path):
     path = tmp_path / "a.warc.gz"
     path.write_bytes(data)
     with open(path, "rb") as f:
-        found = [warc.decode_record(d)["page_id"] for at in range(len(data)) for _, d in warc.read_range(f, len(data), at, at + 1)]
+        found = [r["page_id"] for at in range(len(data)) for _, d in warc.read_range(f, len(data), at, at + 1) for r in warc.decode_records(d)]
     assert found == [1]
 
 
+def member(*records):
+    import gzip
+
+    return gzip.compress(b"".join(records))
+
+
+def record(head, block, length=None):
+    return b"WARC/1.0\r\n" + head + b"\r\nContent-Length: %d\r\n\r\n" % (len(block) if length is None else length) + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    http = b"Content-Type: application/http; msgtype=response"
+    parts = [
+        member(record(b"WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/warc-fields", b"software: x\r\n")),
+        member(record(b"warc-type:request\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Type: application/http;msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n")),
+        member(record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Target-URI: http://\xc3\xa9/\r\nX-Folded: a\r\n b\r\nno colon here\r\n" + http,
+                      b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nX: \xff\r\n\r\n3;q=1\r\nabc\r\n2\r\nde\r\n0\r\n\r\n")),
+        member(record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:uuid:4>\r\nX-Odd: \xff\xfe\r\n" + http, b"HTTP/1.0 200 OK\r\n\r\nhello")),
+        member(record(b"WARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:5>\r\nWARC-Refers-To: <urn:uuid:4>\r\nWARC-Payload-Digest: md5:xyz", b"")),
+        member(record(b"WARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:6>", b"two"), record(b"WARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:7>", b"in one")),
+        member(record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:uuid:8>\r\n" + http, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz", 500)),
+        member(b"WARC/1.0\r\nWARC-Record-ID: <urn:uuid:9>\r\n\r\nloose"),
+    ]
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(b"".join(parts))
+    files = spark.createDataFrame([(str(path), path.stat().st_size), (str(path), 0)], "path string, bytes long")
+    for split in (64, 1 << 20):
+        rows = {r.record_id[-2]: r for r in warc.read(files, split).collect()}
+        assert [rows[k].record_type for k in "123456789"] == ["warcinfo", "request", "response", "response", "revisit", "resource", "metadata", "response", None]
+        assert (bytes(rows["3"].payload), rows["3"].url) == (b"abcde", "http://é/")
+        assert bytes(rows["4"].payload) == b"hello" and rows["4"].payload_digest == hashlib.sha1(b"hello").hexdigest()
+        assert (rows["5"].refers_to_id, rows["5"].refers_to, rows["5"].payload_bytes, rows["5"].payload_digest) == ("<urn:uuid:4>", None, None, None)
+        assert [bytes(rows[k].payload) for k in "679"] == [b"two", b"in one", b"loose"]
+        assert {k: r.problem for k, r in rows.items() if r.problem} == {"8": "cut off", "9": "no content length"}
+
+
+def test_ranges_are_read_in_many_tasks(spark):
+    pages = spark.range(2_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    files = warc.write(pages.coalesce(1))
+    size = files.collect()[0].bytes
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    read = warc.read(files, -(-size // 100)).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert len(read) >= 50 and sum(r.n for r in read) == 2_000
+    assert max(r.n for r in read) <= 100
+
+
+def test_paths_without_a_scheme_are_those_of_the_default_file_system(spark):
+    from turnwise.llm.common import qualified
+
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        assert qualified(spark, "/user/x") == "/user/x"
+        hadoop.set("fs.defaultFS", "hdfs://names:8020/")
+        assert qualified(spark, "/user/x") == "hdfs://names:8020/user/x"
+        assert qualified(spark, "file:/tmp/x") == "file:/tmp/x" and qualified(spark, "s3a://b/x") == "s3a://b/x"
+    finally:
+        hadoop.set("fs.defaultFS", "file:///")
+
+
 def test_pages_of_the_table(spark):
     rows = QUERIES["op7_warc"](spark, FOLDER).collect()
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet").collect()

@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: A word: a run of characters other than space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse's.
-
-    Without a checkpoint folder (tests, a laptop) the steps go below the warehouse, which
-    Spark itself requires to be shared.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/steps"
-    return folder.rstrip("/")
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with its file system: without a scheme it is one of the default system, as for Spark's readers."""
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:", folder):
+        return folder
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return folder if default.startswith("file:") else default.rstrip("/") + folder
 
 
 def step_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    """A new place in the folder that driver and executors share."""
+    return f"{qualified(spark, shared_folder(spark))}/llm-{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -34,13 +34,14 @@ FILE_BYTES = 512 << 20
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 256 << 10
 BROADCAST_ROWS = 500_000
+TASKS_PER_CORE = 64
 DATE = "2000-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, bytes long, records long"
 RECORD = (
     "page_id long, url string, record_type string, refers_to long, payload_bytes long, "
-    "payload_digest string, payload binary, path string, offset long"
+    "payload_digest string, payload binary, record_id string, refers_to_id string, problem string, path string, offset long"
 )
 
 
@@ -70,30 +71,96 @@ def encode_record(page_id, url, payload: bytes, digest: str, refers_to=None) ->
     return packer.compress(data) + packer.flush()
 
 
-def decode_record(data: bytes) -> dict:
-    """The fields of a record from its uncompressed bytes."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("ascii").split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(re.search(rb"(?i)\ncontent-length: *([0-9]+)", http)[1])
-    page = lambda x: None if x is None or x == "<urn:page:none>" else int(x[len("<urn:page:") : -1])
-    kind = fields["WARC-Type"]
-    if kind == "response":
-        digest = hashlib.sha1(payload).hexdigest()
-        length = len(payload)
-    else:
-        digest = base64.b32decode(fields["WARC-Payload-Digest"].partition(":")[2]).hex()
-        payload = None
-    return {
-        "page_id": page(fields["WARC-Record-ID"]),
-        "url": fields.get("WARC-Target-URI"),
-        "record_type": kind,
-        "refers_to": page(fields.get("WARC-Refers-To")),
-        "payload_bytes": length,
-        "payload_digest": digest,
-        "payload": payload,
-    }
+def _headers(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name, the first of equal ones; lines that go on are joined, others left out."""
+    try:
+        text = head.decode("utf-8")
+    except UnicodeDecodeError:
+        text = head.decode("latin-1")
+    fields: dict[str, str] = {}
+    for line in re.sub(r"\r?\n[ \t]+", " ", text).splitlines()[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    return fields
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The content of a body in chunks, or None if it isn't one."""
+    out, at = [], 0
+    while True:
+        line, end, _ = body[at : at + 64].partition(b"\r\n")
+        size = line.partition(b";")[0].strip()
+        if not end or not re.fullmatch(rb"[0-9A-Fa-f]{1,16}", size):
+            return None
+        at += len(line) + 2
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        if at + n > len(body):
+            return None
+        out.append(body[at : at + n])
+        at += n + 2
+
+
+def _page(uri: str | None) -> int | None:
+    found = re.fullmatch(r"<?urn:page:(-?[0-9]{1,19})>?", uri or "")
+    return int(found[1]) if found else None
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
+def _sha1(field: str | None) -> str | None:
+    """The digest of a ``sha1:`` field as hexadecimal digits, from base 32 or 16; None for others."""
+    kind, _, value = (field or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else None
+
+
+def decode_records(data: bytes) -> Iterator[dict]:
+    """The fields of the records of one uncompressed member, of whatever type and writer.
+
+    What a record lacks is null: ``page_id`` and ``refers_to`` of records that ``write`` did not write (``record_id``
+    and ``refers_to_id`` hold their identifiers as they stand). The payload is the body of an HTTP message, out of its
+    chunks, and the whole block of other records. ``problem`` says what is wrong with a record that is given all
+    the same.
+    """
+    while data.startswith(b"WARC/"):
+        head, blank, rest = data.partition(b"\r\n\r\n")
+        fields = _headers(head)
+        kind = fields.get("warc-type", "").lower()
+        size, problem = _number(fields.get("content-length")), None
+        if not blank or size is None:
+            problem, size = "no content length", len(rest)
+        elif size > len(rest):
+            problem = "cut off"
+        block, data = rest[:size], rest[size:].lstrip(b"\r\n")
+        payload, said = block, None
+        if fields.get("content-type", "").lower().startswith("application/http") or block.startswith(b"HTTP/"):
+            http, blank, payload = block.partition(b"\r\n\r\n")
+            inner = _headers(http)
+            said = _number(inner.get("content-length"))
+            if inner.get("transfer-encoding", "").lower() == "chunked" and kind != "revisit":
+                whole = _unchunked(payload)
+                payload, problem = (payload, problem or "broken chunks") if whole is None else (whole, problem)
+        revisit = kind == "revisit"
+        yield {
+            "page_id": _page(fields.get("warc-record-id")),
+            "url": fields.get("warc-target-uri"),
+            "record_type": kind or None,
+            "refers_to": _page(fields.get("warc-refers-to")),
+            "payload_bytes": said if revisit else len(payload),
+            "payload_digest": _sha1(fields.get("warc-payload-digest")) if revisit else hashlib.sha1(payload).hexdigest(),
+            "payload": None if revisit else payload,
+            "record_id": fields.get("warc-record-id"),
+            "refers_to_id": fields.get("warc-refers-to"),
+            "problem": problem if kind else problem or "no type",
+        }
 
 
 def _writer(folder: str):
@@ -213,13 +280,13 @@ def _reader(with_payload: bool):
                 rows: list[dict] = []
                 with fs.open_input_file(base) as f:
                     for offset, data in read_range(f, size, start, end):
-                        row = decode_record(data)
-                        if not with_payload:
-                            row["payload"] = None
-                        rows.append(row | {"path": path, "offset": offset})
-                        if len(rows) >= 200:
-                            yield _frame(rows, columns)
-                            rows = []
+                        for row in decode_records(data):
+                            if not with_payload:
+                                row["payload"] = None
+                            rows.append(row | {"path": path, "offset": offset})
+                            if len(rows) >= 200:
+                                yield _frame(rows, columns)
+                                rows = []
                 if rows:
                     yield _frame(rows, columns)
 
@@ -228,7 +295,7 @@ def _reader(with_payload: bool):
 
 def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=columns)
-    for c in ("page_id", "refers_to"):
+    for c in ("page_id", "refers_to", "payload_bytes"):
         out[c] = out[c].astype("Int64")
     return out
 
@@ -236,9 +303,15 @@ def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
 def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """The records of the files in ``files`` (path, bytes), as ``RECORD``; revisits have no payload.
 
-    Every file is cut into ranges of ``split_bytes``, and the ranges are dealt over the tasks.
+    Every file is cut into ranges of ``split_bytes``, which are dealt over as many tasks, or ``TASKS_PER_CORE`` tasks
+    for each core if there are more ranges. Archives of other writers are read too: records of every type are given,
+    see ``decode_records``. A path without a scheme is a local one. Empty files and an empty table give no rows. A
+    record is held in memory whole; bytes that begin no member are passed over.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
     ranges = files.filter("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
-    ranges = ranges.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes")))
-    return ranges.repartition("path", "start").mapInPandas(_reader(with_payload), RECORD)
+    ranges = stored(ranges.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes"))), "ranges")
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    # a stated number: ranges weigh a few bytes each and would be merged into one task by their size
+    tasks = max(1, min(ranges.count(), TASKS_PER_CORE * cores))
+    return ranges.repartition(tasks).mapInPandas(_reader(with_payload), RECORD)
