@@ -419,3 +419,16 @@ def test_calls_of_the_table(spark):
         assert r.record == toolcalls.canonical(json.loads(r.record))
         for ref in re.findall(r'"\$ref":"c\d+-(\d+)"', r.record):
             assert r.level is None or mine[(k[0], int(ref))].level < r.level
+
+
+def test_calls_with_halves_of_surrogates_and_deep_arguments(spark):
+    deep = '{"query": "x", "more": ' + "[" * 9_900 + "]" * 9_900 + "}"
+    rows = [(1, "a", 0, "lookup", '{"query":"cut \\ud83d"}'), (1, "b", 1, "lookup", '{"query":{"$ref":"\\ud83d"}}'), (1, "c", 2, "lookup", deep), (1, "d", 3, "lookup", '{"query":"\\ud83d\\ude00"}')]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string")
+    results = calls.select("conv_id", "call_id", (F.col("turn") + 10).alias("turn"), F.lit("r").alias("content"))
+    got = {r.call_id: r for r in toolcalls.link(calls, results, TOOLS).collect()}
+    assert got["a"].status == "linked"
+    assert got["a"].record == '{"arguments":{"query":"cut \\ud83d"},"id":"a","name":"lookup","result":"r"}'
+    assert got["d"].record == '{"arguments":{"query":"\U0001f600"},"id":"d","name":"lookup","result":"r"}'
+    assert set(got) == set("abcd") and got["b"].record is not None
+    assert got["c"].status in ("linked", "invalid")  # as deep as the parser of the Python at hand goes

@@ -1,5 +1,6 @@
 """Operators on single texts against brute force: quality, PII, decontamination, languages."""
 
+import random
 import re
 import zlib
 
@@ -292,7 +293,10 @@ def test_items_without_windows_are_found_as_they_stand(spark):
 # languages
 
 
-def test_messages_in_blocks_equal_those_from_end_to_end():
+@pytest.mark.parametrize("few", [16, 0])
+def test_messages_in_blocks_equal_those_from_end_to_end(monkeypatch, few):
+    """In blocks, and step by step as with many languages."""
+    monkeypatch.setattr(language, "FEW_LABELS", few)
     rng = np.random.default_rng(0)
     w = W.split_words(pa.array(["a b c d e", "x", "", "p q " * 90], pa.string()))
     score, step = rng.normal(size=(len(w.row), 3)).astype(np.float32), rng.normal(size=(3, 3))
@@ -334,3 +338,28 @@ def test_languages_of_odd_and_mixed_texts(spark, docs):
     w, p = language.label_words(pa.array([english + german]), model)
     best = p.argmax(1)
     assert (best[:25] == 0).all() and (best[-25:] == 1).all()
+
+
+def invented(rng, letters, n):
+    """Words of syllables of a few letters: a language of its own."""
+    return " ".join("".join(rng.choices(letters, k=rng.randint(3, 7))) for _ in range(n))
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rng = random.Random(8)
+    rows = [(i, invented(rng, "abcde", 60), "short") for i in range(30)] + [(100 + i, invented(rng, "vwxyz", 9_000), "long") for i in range(6)]
+    assert all(len(t) > 45_000 for _, t, k in rows if k == "long")
+    asked = [(200, invented(rng, "vwxyz", 40), None), (201, invented(rng, "abcde", 9_000), None)]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, F.lit(True)).collect()}
+    assert (got[200], got[201]) == ("long", "short")
+
+
+def test_a_hundred_languages_are_learned(spark):
+    rng = random.Random(9)
+    alphabets = [rng.sample("abcdefghijklmnopqrstuvwxyz", 4) for _ in range(100)]
+    rows = [(k * 100 + i, invented(rng, letters, 80), f"l{k}") for k, letters in enumerate(alphabets) for i in range(8)]
+    asked = [(10**6 + k, invented(rng, letters, 80), None) for k, letters in enumerate(alphabets)]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, F.lit(True)).filter("doc_id >= 1000000").collect()}
+    assert sum(got[10**6 + k] == f"l{k}" for k in range(100)) >= 95

@@ -10,9 +10,10 @@ Emissions depend on the word alone, so they are computed once per distinct word
 are cut into blocks that all advance together; what enters each block is carried over afterwards,
 which gives the same messages as going through each text from end to end.
 
-The field is fitted by gradient steps on the conditional likelihood of a bounded sample: the
-``SAMPLE_DOCS`` documents of each language with the smallest hash, of at most ``SAMPLE_CHARS``
-characters. Every document is labelled from its text alone.
+The field is fitted by gradient steps on the conditional likelihood of a bounded sample: up to
+``SAMPLE_DOCS`` distinct documents of each language, fewer where many languages share ``SAMPLE_TOTAL``, and of a longer
+document a stretch of ``SAMPLE_CHARS`` characters that its hash chooses, shorter where there are many languages.
+Every language that a training row names is learned. Every document is labelled from its text alone.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import stored
+from .common import small, stored
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 6_000
-#: Languages that the field may learn; more labels than that are refused.
-MAX_LABELS = 64
+#: Documents of all languages together, but for LEAST_DOCS of each.
+SAMPLE_TOTAL, LEAST_DOCS = 2_000, 5
+#: Languages up to which texts are sampled in full stretches and worked on in blocks.
+FEW_LABELS = 16
 HASH_BITS = 17
 BLOCK = 64
 STEPS = 30
@@ -118,6 +121,7 @@ class Chains:
     """Words of several texts laid out in blocks of ``BLOCK``, for messages in all blocks at once."""
 
     def __init__(self, words: W.Words):
+        self.words = words
         length = np.diff(words.first)
         per_text = -(-length // BLOCK)
         self.blocks = int(per_text.sum())
@@ -134,6 +138,8 @@ class Chains:
     def marginals(self, score: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Label probabilities of each word, and the expected transitions between labels."""
         k = score.shape[1]
+        if k > FEW_LABELS:  # what a block turns each label into takes the third power of the labels
+            return _step_by_step(self.words, score, transition)
         e = np.ones((self.blocks * BLOCK, k), np.float32)
         e[self.slot] = np.exp(score - score.max(1, keepdims=True))
         e = e.reshape(self.blocks, BLOCK, k)
@@ -193,11 +199,43 @@ class Chains:
         return self.first_block[texts] + b
 
 
+def _step_by_step(words: W.Words, score: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same messages, word by word in all texts at once, the longest texts first."""
+    k = score.shape[1]
+    length = np.diff(words.first)
+    order = np.argsort(-length, kind="stable")
+    begin, length = words.first[:-1][order], length[order]
+    e = np.exp(score - score.max(1, keepdims=True)).astype(np.float32)
+    step = np.exp(transition).astype(np.float32)
+    alpha, out = np.empty_like(e), np.empty_like(e)
+    state = np.full((len(length), k), 1 / k, np.float32)
+    most = int(length[0]) if len(length) else 0
+    longer = np.searchsorted(-length, -np.arange(most), side="left")  # texts that go on beyond each place
+    for t in range(most):
+        a = longer[t]
+        at = begin[:a] + t
+        p = (state[:a] @ step if t else state[:a]) * e[at]
+        state[:a] = alpha[at] = p / p.sum(1, keepdims=True)
+    after = np.ones((len(length), k), np.float32)
+    pairs = np.zeros((k, k))
+    for t in range(most - 1, -1, -1):
+        a = longer[t]
+        at = begin[:a] + t
+        p = alpha[at] * after[:a]
+        out[at] = p / p.sum(1, keepdims=True)
+        if t:
+            weighted, before = e[at] * after[:a], alpha[at - 1]
+            back = weighted @ step.T
+            pairs += step * (before.T @ (weighted / (before * back).sum(1, keepdims=True)))
+            after[:a] = back / back.sum(1, keepdims=True)
+    return out, pairs
+
+
 def fit(texts: list[str], labels: list[int], k: int) -> dict[str, np.ndarray]:
-    """Weights and transitions by gradient ascent; each word of a text has the text's label."""
+    """Weights and transitions by gradient ascent; each word of a lower-cased text has the text's label."""
     weights = np.zeros((1 << HASH_BITS, k), np.float32)
     transition = np.zeros((k, k))
-    words = W.split_words(pa.array([_lower(t) for t in texts], pa.large_string()))
+    words = W.split_words(pa.array(texts, pa.large_string()))
     if not len(words.row) or k < 2:
         return {"weights": weights, "transition": transition}
     chains = Chains(words)
@@ -235,10 +273,6 @@ def fit(texts: list[str], labels: list[int], k: int) -> dict[str, np.ndarray]:
     return {"weights": weights, "transition": transition}
 
 
-def _lower(text: str) -> str:
-    return text.lower()
-
-
 def label_words(column: pa.Array, model: dict[str, np.ndarray]) -> tuple[W.Words, np.ndarray]:
     """The words of lower-cased texts and the label probabilities of each."""
     words = W.split_words(column)
@@ -254,7 +288,7 @@ def _predict(model: dict[str, np.ndarray], names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.chunks(batch, "text"):
+            for part in W.chunks(batch, "text", W.CHUNK_BYTES * FEW_LABELS // max(k, FEW_LABELS)):
                 column = part.column(1)
                 words, p = label_words(column, model)
                 start, end = _trim(words, np.arange(len(words.row)))
@@ -281,19 +315,25 @@ def _predict(model: dict[str, np.ndarray], names: list[str]):
 
 
 def sample(docs: DataFrame, id: str, text: str, lang: str, training: Column) -> list:
-    """(text, lang) of the bounded sample: per language the documents with the smallest hash."""
-    rows = docs.filter(training & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    rows = rows.filter(F.length(f"`{text}`") <= SAMPLE_CHARS)
+    """(lang, hash, text) of the bounded sample, texts in lower case, the same on every run."""
     c = F.col(f"`{text}`")
-    hashed = rows.select(F.col(f"`{lang}`").alias("lang"), F.xxhash64(c).alias("hash")).distinct()
-    place = F.row_number().over(SqlWindow.partitionBy("lang").orderBy("hash"))
-    chosen = hashed.withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS).select("lang", "hash")
-    chosen = stored(chosen, "sample")
-    if chosen.count() > MAX_LABELS * SAMPLE_DOCS:
-        raise ValueError(f"more than {MAX_LABELS} languages")
-    texts = rows.select(c.alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(c).alias("hash"))
-    found = texts.join(F.broadcast(chosen), ["lang", "hash"])  # MAX_LABELS * SAMPLE_DOCS rows at most
-    return found.groupBy("lang", "hash").agg(F.min("text").alias("text")).orderBy("lang", "hash").collect()
+    rows = docs.filter(training & F.col(f"`{lang}`").isNotNull() & c.isNotNull())
+    rows = rows.select(F.col(f"`{lang}`").alias("lang"), F.xxhash64(c).alias("hash"), c.alias("text"))
+    hashed = stored(rows.select("lang", "hash").distinct(), "labelled")
+    counts = stored(hashed.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    labels = counts.count()
+    each = min(SAMPLE_DOCS, max(LEAST_DOCS, SAMPLE_TOTAL // max(labels, 1)))
+    chars = max(1_000, SAMPLE_CHARS * FEW_LABELS // max(labels, FEW_LABELS))
+    # below a hash bound that about twice the sample falls under, so that no task sorts a whole language
+    slot = F.pmod("hash", F.lit(1 << 30))
+    drawn = hashed.join(small(counts, SAMPLE_TOTAL), "lang").filter(slot < F.ceil(F.lit(2.0 * each * (1 << 30)) / F.col("n")))
+    place = F.row_number().over(SqlWindow.partitionBy("lang").orderBy(slot, "hash"))
+    chosen = drawn.withColumn("place", place).filter(F.col("place") <= each).select("lang", "hash")
+    chosen = small(stored(chosen, "sample"), SAMPLE_TOTAL)
+    room = F.greatest(F.length("text") - F.lit(chars), F.lit(0))
+    at = F.pmod(F.xxhash64("text", F.lit(1)), (room + 1).cast("long")).cast("int") + 1
+    found = rows.join(chosen, ["lang", "hash"]).groupBy("lang", "hash").agg(F.min(F.lower(F.substring("text", at, F.lit(chars)))).alias("text"))
+    return found.orderBy("lang", "hash").collect()
 
 
 def identify(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -301,7 +341,8 @@ def identify(docs: DataFrame, training: Column, id: str = "doc_id", text: str =
 
     ``training`` says which rows may be learned from; a null text or language never is. A text without
     a letter, or null, is ``und`` with score 0, as is every text where nothing was learned. ``switches`` counts
-    the neighbouring words whose likeliest languages differ. Equal texts get equal results.
+    the neighbouring words whose likeliest languages differ. Equal texts get equal results, rows with a null or
+    repeated id one each, an empty table an empty one; texts are worked on whole, however long.
     """
     rows = sample(docs, id, text, lang, training)
     names = sorted({r.lang for r in rows})

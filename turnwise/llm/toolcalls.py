@@ -12,6 +12,7 @@ gets a level refers to itself in a circle.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,8 +32,15 @@ Schema = dict[str, dict[str, tuple[str, bool]]]
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no blanks, and every character that needs no escape as itself."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no blanks, and every character that needs no escape as itself.
+
+    Halves of surrogate pairs are no characters of a text: they stay escaped.
+    """
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def escaped(text: str) -> str:
+    return re.sub("[\ud800-\udfff]", lambda half: f"\\u{ord(half[0]):04x}", text)
 
 
 def _refuse(text: str):
@@ -51,7 +59,7 @@ def references(value) -> set[str]:
         x = open_.pop()
         ref = _reference(x)
         if ref is not None:
-            found.add(ref)
+            found.add(escaped(ref))
         elif isinstance(x, dict):
             open_ += x.values()
         elif isinstance(x, list):
@@ -134,8 +142,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schema) -> DataFrame:
     @F.pandas_udf("string")
     def record(call: pd.Series, name: pd.Series, arguments: pd.Series, content: pd.Series) -> pd.Series:
         def one(i, n, a, c):
-            value = {"id": i, "name": n, "arguments": None if a is None else json.loads(a), "result": c}
-            return canonical(value)
+            # the arguments are canonical as they are, at any depth
+            fields = {"arguments": "null" if a is None else a} | {k: canonical(v) for k, v in (("id", i), ("name", n), ("result", c))}
+            return "{" + ",".join(f'"{k}":{fields[k]}' for k in sorted(fields)) + "}"
 
         return pd.Series([one(*x) for x in zip(call, name, arguments, content)], dtype=object)
 
