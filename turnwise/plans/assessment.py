@@ -30,6 +30,10 @@ def _best_tier(turns):
     return F.coalesce(F.array_max(F.transform(turns, lambda t: tier_rank(t["tier"]))), F.lit(0))
 
 
+def _with_missing(recorded: DataFrame) -> DataFrame:
+    return recorded if "missing" in recorded.columns else recorded.withColumn("missing", F.lit(""))
+
+
 def seed_states(
     pairs: DataFrame,
     edges: retrieval.Edges,
@@ -40,11 +44,13 @@ def seed_states(
 ) -> DataFrame:
     """State of every (session, topic) after the seed round.
 
-    ``recorded`` is ``(session_id, topic, round_index, queries, verdict)``; round 0 holds the
-    seed's sufficiency verdict.
+    ``recorded`` is ``(session_id, topic, round_index, queries, verdict)`` and, if the replies say what is
+    ``missing``, that text; round 0 holds the seed's verdict. ``tried`` holds the queries asked so far, the seed's first.
     """
+    recorded = _with_missing(recorded)
     found = _as_list(retrieval.retrieve_topics(pairs, edges, queries, limit))
-    first = recorded.filter("round_index = 0").select("session_id", "topic", F.col("verdict").alias("sufficient"))
+    first = recorded.filter("round_index = 0").select("session_id", "topic", F.col("verdict").alias("sufficient"), "missing")
+    seeded = F.create_map(*(x for t, qs in queries.items() for x in (F.lit(t), F.lit(list(qs)).cast("array<string>"))))
     keys = ["session_id", "topic"]
     everyone = retrieval.topics_of_sessions(pairs, list(queries))
     none = F.lit([]).cast(dict(found.dtypes)["turns"])
@@ -57,6 +63,8 @@ def seed_states(
                 "tier": tier_name(_best_tier(F.col("turns"))),
                 "rounds_spent": F.lit(1),
                 "max_rounds": F.lit(max_rounds),
+                "missing": F.coalesce("missing", F.lit("")),
+                "tried": F.element_at(seeded, F.col("topic")),
             }
         )
     )
@@ -72,11 +80,13 @@ def acquisition_round(
     """One scheduling step: the chosen topic of each session with its new state.
 
     A round without queries is spent all the same; sufficiency is judged again only when
-    the tier changed.
+    the tier changed, and so is what is missing. What was missing and tried before the round stays with it.
     """
     keys = ["session_id", "topic"]
     target = memory.next_action(states, lesson_scopes).drop("utility", "resolved")
-    now = recorded.select(*keys, F.col("round_index").alias("rounds_spent"), "queries", "verdict")
+    now = _with_missing(recorded).select(
+        *keys, F.col("round_index").alias("rounds_spent"), "queries", "verdict", F.col("missing").alias("missing_now")
+    )
     asked = target.join(now, [*keys, "rounds_spent"], "left").withColumn(
         "queries", F.coalesce("queries", F.lit([]).cast("array<string>"))
     )
@@ -100,6 +110,9 @@ def acquisition_round(
         "tier_after",
         F.coalesce("sufficient", F.lit(False)).alias("resolved_before"),
         F.when(judged, F.col("verdict")).otherwise(F.col("sufficient")).alias("sufficient"),
+        F.col("missing").alias("missing_before"),
+        F.when(judged, F.coalesce("missing_now", F.lit(""))).otherwise(F.col("missing")).alias("missing_after"),
+        F.col("tried").alias("already_tried_before"),
         "queries",
         F.transform("turns", lambda t: t["turn_id"]).alias("excluded"),
         F.coalesce("found", F.slice("turns", 1, 0)).alias("found"),
@@ -110,13 +123,25 @@ def acquisition_round(
 def round_finds(trace: DataFrame) -> DataFrame:
     """Every turn that a round found, also those that the merge had no room for, one row each.
 
-    Claims are extracted from all of them: ``append_evidence`` takes the claims recorded for these rows.
+    Claims are extracted from all of them, see ``round_evidence``.
     """
     return trace.select(
         "session_id", "topic", "round_index", F.posexplode("found").alias("pos", "turn")
     ).select("session_id", "topic", "round_index", "pos", "turn.*")
 
 
+def round_evidence(trace: DataFrame, claims: DataFrame, held: DataFrame) -> DataFrame:
+    """The evidence memory after the rounds of ``trace``: ``held`` and the claims of every turn that a round found.
+
+    ``claims`` are the records extracted from turns, with session_id, topic, turn_id, record_id, confidence and what
+    else ``held`` has but the round, which is that of the find. A record that several finds give stays with the first
+    round, and one that memory holds stays as it is; so this equals appending after each round.
+    """
+    finds = round_finds(trace).select("session_id", "topic", "round_index", "turn_id").distinct()
+    told = claims.drop("round_index").join(finds, ["session_id", "topic", "turn_id"])
+    return memory.append_evidence(held, told)
+
+
 def acquire(
     pairs: DataFrame,
     states: DataFrame,
@@ -139,7 +164,9 @@ def acquire(
         if step.isEmpty():
             break
         traces.append(step)
-        done = step.select(*keys, "new_turns", "tier_after", F.col("sufficient").alias("judged"))
+        done = step.select(
+            *keys, "new_turns", "tier_after", F.col("sufficient").alias("judged"), "missing_after", F.col("queries").alias("asked")
+        )
         joined = states.join(done, keys, "left")
         hit = F.col("new_turns").isNotNull()
         states = cut_lineage(
@@ -149,6 +176,8 @@ def acquire(
                     "tier": F.coalesce("tier_after", "tier"),
                     "sufficient": F.when(hit, F.col("judged")).otherwise(F.col("sufficient")),
                     "rounds_spent": F.col("rounds_spent") + F.when(hit, 1).otherwise(0),
+                    "missing": F.coalesce("missing_after", "missing"),
+                    "tried": F.when(hit, F.concat("tried", "asked")).otherwise(F.col("tried")),
                 }
             ).select(*columns),
             "states",
@@ -159,5 +188,5 @@ def acquire(
     if trace is None:
         trace = acquisition_round(pairs, states, recorded, lesson_scopes, limit).limit(0)
     return states, trace.withColumn("resolved_after", F.coalesce("sufficient", F.lit(False))).drop(
-        "sufficient", "new_turns"
+        "sufficient", "new_turns", "missing_after"
     )

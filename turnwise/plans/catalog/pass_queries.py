@@ -37,6 +37,7 @@ def recorded_rounds(pairs):
             "round_index",
             F.when((i + r) % 7 == 0, none).otherwise(F.array(first, second)).alias("queries"),
             F.when((i + F.col("ord")) % 5 > 0, (i + F.col("ord") + r) % 4 == 0).alias("verdict"),
+            F.when((i + r) % 3 > 0, F.concat("topic", F.lit(" after round "), r.cast("string"))).alias("missing"),
         )
     )
 
@@ -47,7 +48,8 @@ def acquisition_trace(spark, folder):
     recorded = recorded_rounds(pairs)
     seeds = assessment.seed_states(pairs, EDGES, QUERIES, recorded)
     _, trace = assessment.acquire(pairs, seeds, recorded, ["sleep|absent", "mood|lexical"])
-    return trace.drop("found").withColumns({c: F.array_join(c, ",") for c in ("queries", "excluded")})
+    listed = ("queries", "excluded", "already_tried_before")
+    return trace.drop("found").withColumns({c: F.array_join(c, ",") for c in listed})
 
 
 @query("round_finds")
