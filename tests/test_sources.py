@@ -4,6 +4,7 @@ import json
 import re
 
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -141,6 +142,38 @@ def test_summary_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "s" / "sessions")).count() == 3
 
 
+#: Two stages may meet a refused entry at once, which Spark reports as an error of its own kind.
+REFUSED = (PySparkException, Py4JError)
+EDGE = {"topic": "mood", "relation": "probe", "strength": "direct"}
+
+
+@pytest.mark.parametrize("tags", [{}, {"t": "mood"}, {"t": {"topic": "mood"}}, {"t": None}, {"t": [EDGE | {"topic": "luck"}]}, {"t": [EDGE | {"relation": "near"}]}, {"t": [EDGE, EDGE | {"strength": "weak"}]}, {"t": [{"topic": "mood"}]}])
+def test_refused_edges_end_the_job(spark, tmp_path, tags):
+    path = tmp_path / "edges.json"
+    path.write_text(json.dumps({"_meta": 1, "tags": tags}))
+    topics = spark.createDataFrame([("mood",), ("sleep",)], "topic string")
+    with pytest.raises(REFUSED):
+        reference.read_edges(spark, str(path), topics).count()
+
+
+@pytest.mark.parametrize("queries", [{"mood": ["a"]}, {"mood": ["a"], "sleep": [], "luck": []}, {"mood": "a", "sleep": ["b"]}])
+def test_refused_queries_end_the_job(spark, tmp_path, queries):
+    path = tmp_path / "queries.json"
+    path.write_text(json.dumps({"_meta": {"v": 1}} | queries))
+    with pytest.raises(REFUSED):
+        reference.read_queries(spark, str(path), spark.createDataFrame([("mood",), ("sleep",)], "topic string")).count()
+
+
+def test_settings_as_tables(spark, tmp_path):
+    (tmp_path / "edges.json").write_text(json.dumps({"tags": {"t": [EDGE, EDGE | {"topic": "CROSS_CUTTING"}], "none": []}}))
+    (tmp_path / "queries.json").write_text(json.dumps({"mood": ["a", "b"], "sleep": []}))
+    topics = spark.createDataFrame([("mood",), ("sleep",), ("mood",)], "topic string")
+    got = reference.read_edges(spark, str(tmp_path / "edges.json"), topics).orderBy("ord").collect()
+    assert [tuple(r) for r in got] == [("t", 0, "mood", "probe", "direct"), ("t", 1, "CROSS_CUTTING", "probe", "direct")]
+    got = reference.read_queries(spark, str(tmp_path / "queries.json"), topics).orderBy("ord").collect()
+    assert [tuple(r) for r in got] == [("mood", 0, "a"), ("mood", 1, "b")]
+
+
 def turns_of(spark, rows):
     df = spark.createDataFrame(rows, "session_id string, turn_idx long, role string, text string, s long")
     return df.select("session_id", "turn_idx", "role", "text", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))

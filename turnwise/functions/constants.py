@@ -2,13 +2,15 @@
 
 # --- fixed values: retrieval -------------------------------------------------
 
-STOPWORDS = (
-    "a an and are as at be been but by do does did for from had has have he her him "
-    "his how i if in is it its me my no not of on or our so than that the their "
-    "them then there these they this to too us was we were what when where which "
-    "who will with would you your yeah um uh mm hmm okay ok like just really know "
-    "think thing things kind sort get got go going"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "do", "does", "did", "for",
+    "from", "had", "has", "have", "he", "her", "him", "his", "how", "i", "if", "in", "is", "it",
+    "its", "me", "my", "no", "not", "of", "on", "or", "our", "so", "than", "that", "the", "their",
+    "them", "then", "there", "these", "they", "this", "to", "too", "us", "was", "we", "were",
+    "what", "when", "where", "which", "who", "will", "with", "would", "you", "your", "yeah", "um",
+    "uh", "mm", "hmm", "okay", "ok", "like", "just", "really", "know", "think", "thing", "things",
+    "kind", "sort", "get", "got", "go", "going",
+]
 
 TIERS = ["absent", "contextual", "expanded", "lexical", "direct"]
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ...functions.segments import scan
 from ...session import shared_folder
-from ...sources import runs, transcripts
+from ...operators.totals import diagnostic_rates
+from ...sources import reference, runs, transcripts
 from .base import View, query, table
 
 
@@ -214,6 +215,7 @@ def sample_head(spark, folder):
 SUMMARY = View(
     "orders",
     session_id="o_orderkey",
+    initial="CASE WHEN o_orderkey % 7 > 0 THEN o_custkey % 19 END",
     predicted="CASE WHEN o_orderkey % 11 > 0 THEN o_custkey % 25 END",
     reference="CASE WHEN o_custkey % 13 > 0 THEN o_orderkey % 25 END",
 )
@@ -232,7 +234,7 @@ def _summary(spark, folder):
 @query("session_summary", f"WITH {SUMMARY_CTE} SELECT * FROM s")
 def session_summary(spark, folder):
     schema = (
-        "session_id long, predicted long, reference long, scored boolean, absolute_difference long, "
+        "session_id long, initial long, predicted long, reference long, scored boolean, absolute_difference long, "
         "predicted_binary boolean, reference_binary boolean"
     )
     return spark.read.schema(schema).option("header", True).csv(f"{_summary(spark, folder)}/sessions")
@@ -247,3 +249,81 @@ def session_summary(spark, folder):
 def batch_summary(spark, folder):
     schema = "scored long, mae double, binary_agreement double, unscored long"
     return spark.read.schema(schema).json(f"{_summary(spark, folder)}/metrics")
+
+
+def _full_summary(spark, folder):
+    sessions = runs.session_summary(SUMMARY.load(spark, folder))
+    topics = DIAGNOSED.load(spark, folder)
+    path = _fresh(spark, "full-summary")
+    runs.write_summary(runs.full_summary(sessions, diagnostic_rates(topics)), sessions, path)
+    return path
+
+
+DIAGNOSED = View(
+    "orders", known="o_orderkey % 9", missing="8 - o_orderkey % 9", citation_mismatches="o_custkey % 3", low_faithfulness="o_custkey % 2"
+)
+
+
+@query(
+    "write_summary",
+    f"""WITH {SUMMARY_CTE}, c AS (SELECT count(*) AS total_samples, count(*) FILTER (WHERE scored) AS scored_samples,
+          count(*) FILTER (WHERE NOT scored) AS unscored_samples FROM s),
+        m AS (SELECT round(avg(abs(predicted - reference)), 4) AS mae, round(sqrt(avg((predicted - reference) ** 2)), 4) AS rmse,
+          round(corr(predicted, reference), 4) AS pearson_r, count(*) FILTER (WHERE predicted >= 10 AND reference >= 10) AS tp,
+          count(*) FILTER (WHERE predicted >= 10 AND reference < 10) AS fp, count(*) FILTER (WHERE predicted < 10 AND reference < 10) AS tn,
+          count(*) FILTER (WHERE predicted < 10 AND reference >= 10) AS fn FROM s WHERE scored),
+        d AS (SELECT CAST(sum(known + missing) AS DOUBLE) AS total_topic_assessments, round(sum(known) / sum(known + missing), 4) AS evidence_coverage_rate,
+          round(sum(citation_mismatches) / sum(known + missing), 4) AS citation_mismatch_rate,
+          round(sum(low_faithfulness) / sum(known + missing), 4) AS low_faithfulness_rate FROM ({DIAGNOSED.sql}))
+        SELECT c.*, m.*, round((tp + tn) / (tp + fp + tn + fn), 4) AS accuracy, round(tp / (tp + fp), 4) AS precision,
+          round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, d.* FROM c, m, d""",
+)
+def write_summary(spark, folder):
+    counts = "total_samples long, scored_samples long, unscored_samples long, mae double, rmse double, pearson_r double"
+    binary = "tp long, fp long, tn long, fn long, accuracy double, precision double, recall double, f1 double"
+    rates = "total_topic_assessments double, evidence_coverage_rate double, citation_mismatch_rate double, low_faithfulness_rate double"
+    return spark.read.schema(f"{counts}, {binary}, {rates}").json(f"{_full_summary(spark, folder)}/metrics")
+
+
+@query("unscored_sessions", f"WITH {SUMMARY_CTE} SELECT session_id FROM s WHERE NOT scored")
+def unscored_sessions(spark, folder):
+    return spark.read.schema("session_id long").json(f"{_full_summary(spark, folder)}/unscored")
+
+
+EDGE_ROWS = View(
+    "part",
+    tag="concat('tag', CAST(p_partkey AS STRING))",
+    key="p_partkey",
+    topic="CASE p_partkey % 4 WHEN 0 THEN 'sleep' WHEN 1 THEN 'mood' WHEN 2 THEN 'energy' ELSE 'CROSS_CUTTING' END",
+    relation="CASE p_size % 3 WHEN 0 THEN 'probe' WHEN 1 THEN 'reverse' ELSE 'context' END",
+    strength="CASE WHEN p_size % 2 = 0 THEN 'direct' ELSE 'indirect' END",
+)
+SETTING_TOPICS = ["sleep", "mood", "energy"]
+
+
+@query(
+    "settings_edges",
+    f"""WITH e AS ({EDGE_ROWS.sql}) SELECT tag, ord, CASE WHEN ord = 0 THEN topic ELSE 'mood' END AS topic, relation,
+        CASE WHEN ord = 0 THEN strength ELSE 'direct' END AS strength FROM e, (SELECT unnest([0, 1]) AS ord) WHERE ord = 0 OR key % 3 = 0""",
+)
+def settings_edges(spark, folder):
+    """A tag map with a line for each tag of ``part``, written, read back and checked in the plan."""
+    first = F.struct("topic", "relation", "strength")
+    second = F.struct(F.lit("mood").alias("topic"), "relation", F.lit("direct").alias("strength"))
+    listed = F.when(F.col("key") % 3 == 0, F.array(first, second)).otherwise(F.array(first))
+    lines = EDGE_ROWS.load(spark, folder).select(F.to_json(F.struct(F.create_map("tag", listed).alias("tags"))).alias("value"))
+    path = _fresh(spark, "edges")
+    lines.write.text(path)
+    topics = spark.createDataFrame([(t,) for t in SETTING_TOPICS], "topic string")
+    return reference.read_edges(spark, path, topics).withColumn("ord", F.col("ord").cast("int"))
+
+
+@query("settings_queries", "SELECT p_name AS topic, o AS ord, p_brand || ' ' || o AS query FROM part, (SELECT unnest([0, 1, 2]) AS o) QUALIFY row_number() OVER (PARTITION BY p_name, o ORDER BY p_partkey) = 1")
+def settings_queries(spark, folder):
+    """Seed queries with a topic for each name of ``part``, which are the topics they are checked against."""
+    part = table(spark, folder, "part")
+    first = part.groupBy(F.col("p_name").alias("topic")).agg(F.min_by("p_brand", "p_partkey").alias("brand"))
+    texts = F.array(*(F.concat("brand", F.lit(f" {i}")) for i in range(3)))
+    path = _fresh(spark, "queries")
+    first.select(F.to_json(F.create_map("topic", texts)).alias("value")).write.text(path)
+    return reference.read_queries(spark, path, first.select("topic"))

@@ -1,7 +1,8 @@
 """Scale, rubric, tag, lexicon and query settings from JSON files.
 
-These are configuration of a few hundred rows. They are read by Spark from any file system,
-checked, and given back as small mappings that operators turn into plan literals.
+``load_settings`` reads configuration of a few hundred rows and gives it back as small mappings that operators
+turn into plan literals. ``read_edges`` and ``read_queries`` read settings of any size as tables; their checks are
+part of the plan, so a refused entry ends the job that meets it, and nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..session import bounded_rows
@@ -107,3 +109,83 @@ def load_settings(spark: SparkSession, files: dict[str, str]) -> Settings:
         {t: [str(q) for q in qs] for t, qs in queries.items()},
         rubric,
     )
+
+
+# --- settings of any size, as tables --------------------------------------------------------
+
+_EDGE = "struct<topic:string,relation:string,strength:string>"
+
+
+def _refused(df: DataFrame, problem: Column) -> DataFrame:
+    """``df``, whose rows with a ``problem`` (a text) end the job; a filter, so no pruning can drop the check."""
+    return df.filter(F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(F.lit(True)))
+
+
+def _or_empty(rows: DataFrame, source: DataFrame, what: str) -> DataFrame:
+    """``rows``; an empty ``source`` ends the job."""
+    n = source.agg(F.count("*").alias("n"))
+    guard = n.filter(F.when(F.col("n") == 0, F.raise_error(F.lit(f"{what} is empty")).cast("boolean")).otherwise(F.lit(False)))
+    return rows.unionByName(guard.select(*(F.lit(None).cast(t).alias(c) for c, t in rows.dtypes)))
+
+
+def _entries(spark: SparkSession, path: str, under: str | None) -> DataFrame:
+    """``(name, value)`` of the objects in the lines of a JSON file, or of their field ``under``; values as JSON text."""
+    raw = spark.read.text(path).filter(F.trim("value") != "")
+    whole = F.from_json("value", "map<string,string>")
+    inner = F.from_json(F.element_at(whole, F.lit(under)), "map<string,string>") if under else whole
+    return raw.select(F.explode(inner).alias("name", "value")).filter("name <> '_meta'")
+
+
+def _known(rows: DataFrame, topics: DataFrame) -> DataFrame:
+    """``rows`` with ``known``, whether the topic is one of ``topics``."""
+    listed = topics.select(F.col("topic").alias("__topic"), F.lit(True).alias("known")).distinct()
+    return rows.join(listed, F.col("topic") == F.col("__topic"), "left").drop("__topic")
+
+
+def read_edges(spark: SparkSession, path: str, topics: DataFrame) -> DataFrame:
+    """Tag edges ``(tag, ord, topic, relation, strength)`` from lines ``{"tags": {tag: [edge, ...]}}``.
+
+    A tag that maps to no list, an edge with an unknown topic, relation or strength, and a file without tags
+    are refused when the result is computed. A tag with an empty list has no edges.
+    """
+    tags = _entries(spark, path, "tags").select(
+        F.col("name").alias("tag"), "value", F.from_json("value", f"array<{_EDGE}>").alias("edges")
+    )
+    no_list = ~F.coalesce(F.ltrim("value").startswith("["), F.lit(False)) | F.col("edges").isNull()
+    tags = _refused(tags, F.when(no_list, F.concat(F.lit("tag "), "tag", F.lit(" must map to a list"))))
+    # outer, since the filter that Spark derives from an inner one would drop the entries before they are checked
+    rows = tags.select("tag", F.posexplode_outer("edges").alias("ord", "e")).filter("ord IS NOT NULL").select("tag", "ord", "e.*")
+    rows = _known(rows, topics)
+
+    def fault(what: str, value: str) -> Column:
+        return F.concat(F.lit("tag "), "tag", F.lit(f" has an unknown {what}: "), F.coalesce(value, F.lit("none")))
+
+    context = F.coalesce(F.col("topic") == K.CROSS_CUTTING, F.lit(False))
+    problem = (
+        F.when(F.col("known").isNull() & ~context, fault("topic", "topic"))
+        .when(~F.coalesce(F.col("relation").isin(K.RELATIONS), F.lit(False)), fault("relation", "relation"))
+        .when(~F.coalesce(F.col("strength").isin(K.STRENGTHS), F.lit(False)), fault("strength", "strength"))
+    )
+    return _or_empty(_refused(rows, problem).drop("known"), tags, "the tag map")
+
+
+def read_queries(spark: SparkSession, path: str, topics: DataFrame) -> DataFrame:
+    """Seed queries ``(topic, ord, query)`` from lines ``{topic: [query, ...]}``.
+
+    An unknown topic, one that maps to no list, and a topic of ``topics`` that the file lacks are refused when the
+    result is computed.
+    """
+    listed = _entries(spark, path, None).select(
+        F.col("name").alias("topic"), F.from_json("value", "array<string>").alias("queries")
+    )
+    marked = _known(listed, topics)
+    problem = F.when(F.col("known").isNull(), F.concat(F.lit("unknown topic: "), "topic")).when(
+        F.col("queries").isNull(), F.concat(F.lit("topic "), "topic", F.lit(" must map to a list"))
+    )
+    rows = _refused(marked, problem).select("topic", F.posexplode_outer("queries").alias("ord", "query")).filter("ord IS NOT NULL")
+    told = listed.select(F.col("topic").alias("__topic"), F.lit(True).alias("told"))
+    every = topics.select("topic").distinct().join(told, F.col("topic") == F.col("__topic"), "left")
+    # the flag comes from the other side of the join, so the check stays above it
+    every = _refused(every, F.when(F.col("told").isNull(), F.concat(F.lit("topic without queries: "), "topic")))
+    none = every.filter(F.col("told").isNull()).select("topic", F.lit(0).alias("ord"), F.lit("").alias("query"))
+    return rows.unionByName(none)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.metrics import binary_metrics, regression_metrics
+
 _TOPIC = (
     "struct<score:int,abstained:boolean,present:string,frequency_basis:string,summary:string,"
     "quote:string,quote_grounded:boolean,parse_failed:boolean,rounds:int,item_key:string,"
@@ -83,11 +85,13 @@ def sample_head(inputs: DataFrame, n: int, key: str = "session_id") -> DataFrame
 def session_summary(records: DataFrame, threshold: int = 10) -> DataFrame:
     """Per session of a run: predicted and true total, their difference, both sides of ``threshold``.
 
-    ``records`` is ``(session_id, predicted, reference)``; a session without both is not ``scored``.
+    ``records`` is ``(session_id, predicted, reference)``, with ``initial`` where totals were revised; a session
+    without both totals is not ``scored``.
     """
     both = F.col("predicted").isNotNull() & F.col("reference").isNotNull()
     return records.select(
         "session_id",
+        *(["initial"] if "initial" in records.columns else []),
         "predicted",
         "reference",
         both.alias("scored"),
@@ -111,7 +115,24 @@ def batch_summary(sessions: DataFrame) -> DataFrame:
     ).join(sessions.agg(F.count_if(~F.col("scored")).alias("unscored")))
 
 
-def write_summary(metrics: DataFrame, records: DataFrame, path: str) -> None:
-    """Batch summary: the one-row metrics as JSON, the per-session totals as CSV."""
-    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
-    records.write.mode("overwrite").option("header", True).csv(f"{path}/sessions")
+def full_summary(sessions: DataFrame, diagnostics: DataFrame, threshold: int = 10) -> DataFrame:
+    """One row: sample counts, regression and binary metrics of the scored sessions, and the evidence ``diagnostics``.
+
+    ``sessions`` is ``session_summary``, ``diagnostics`` one row, such as ``totals.diagnostic_rates``.
+    """
+    scored = sessions.filter("scored").select("predicted", "reference")
+    counts = sessions.agg(
+        F.count("*").alias("total_samples"), F.count_if("scored").alias("scored_samples"), F.count_if(~F.col("scored")).alias("unscored_samples")
+    )
+    return counts.join(regression_metrics(scored).drop("n")).join(binary_metrics(scored, threshold)).join(diagnostics)
+
+
+def write_summary(summary: DataFrame, sessions: DataFrame, path: str) -> None:
+    """Batch summary: the one-row ``summary`` as JSON, the sessions as CSV, and the ids of the unscored ones as JSON lines.
+
+    Unscored ids stay rows of a file of their own, as they may be as many as the sessions.
+    """
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    sessions.write.mode("overwrite").option("header", True).csv(f"{path}/sessions")
+    if "scored" in sessions.columns:
+        sessions.filter(~F.col("scored")).select("session_id").write.mode("overwrite").json(f"{path}/unscored")
