@@ -129,3 +129,18 @@ def test_requests_for_several_topics_use_the_session_frequencies(spark, pairs):
     for topic, queries in QUERIES.items():
         found = [(r.turn_id, round(r.score, 6), tuple(r.matched)) for r in got if r.topic == topic]
         assert found == search(own, queries, 8, {"turn-0"})
+
+
+def test_a_long_session_is_searched_in_its_segments(spark):
+    """Half of all pairs in one session: they meet the requests in as many places as it has segments."""
+    rows = [("long", f"turn-{i}", i, "", f"low mood {i % 7} word{i % 13}", None) for i in range(400)]
+    rows += [(f"s{k}", "turn-0", 0, "", "low mood here", None) for k in range(400)]
+    pairs = spark.createDataFrame(rows, "session_id string, turn_id string, turn_idx long, question string, answer string, tag string")
+    asked = [("long", "mood", ["word3 mood"], ["turn-3"]), ("long", "sleep", ["word5"], []), ("s7", "mood", ["low mood"], [])]
+    requests = spark.createDataFrame(asked, "session_id string, topic string, queries array<string>, exclude array<string>")
+    few = R.search_requests(pairs, requests, 4, segment_rows=20)
+    keys = ["session_id", "topic", "turn_id", "score", "rank"]
+    want = R.search_requests(pairs, requests, 4, segment_rows=1_000)
+    assert sorted(map(tuple, few.select(*keys).collect())) == sorted(map(tuple, want.select(*keys).collect())) != []
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "__part" in line for line in plan.splitlines())

@@ -25,6 +25,7 @@ Queries = Mapping[str, Sequence[str]]
 Edges = Mapping[str, Sequence[Mapping[str, str]]]
 
 _SEG = "__seg"
+_PART = "__part"
 
 
 # --- first generation: flat tags and keyword lexicon --------------------------
@@ -383,9 +384,12 @@ def search_requests(
 ) -> DataFrame:
     """Search with queries of a table ``(session_id, topic, queries, exclude)``.
 
-    ``exclude`` lists turn ids. Frequencies are those of all pairs of the session.
+    ``exclude`` lists turn ids. Frequencies are those of all pairs of the session. A request is repeated for each
+    segment of its session and meets the pairs there, so a long session spreads over its segments.
     """
-    joined = pairs.join(requests, "session_id")
+    placed = pairs.withColumn(_PART, position_segment("turn_idx", segment_rows))
+    parts = placed.select("session_id", _PART).distinct()
+    joined = placed.join(requests.join(parts, "session_id"), ["session_id", _PART]).drop(_PART)
     wanted = F.array_distinct(F.flatten(F.transform(F.col("queries"), T.terms)))
     stated = _with_stats(joined, wanted, segment_rows, ("session_id", "topic"))
     scored = stated.withColumn(
@@ -557,7 +561,9 @@ def retrieve_topics(
     )
 
 
-def expand(state: DataFrame, pairs: DataFrame, requests: DataFrame, limit: int = 8) -> DataFrame:
+def expand(
+    state: DataFrame, pairs: DataFrame, requests: DataFrame, limit: int = 8, segment_rows: int = SEGMENT_ROWS
+) -> DataFrame:
     """Search with new queries and append the finds; a full list drops them.
 
     ``state`` holds ranked rows; ``requests`` is ``(session_id, topic, queries)``.
@@ -566,7 +572,7 @@ def expand(state: DataFrame, pairs: DataFrame, requests: DataFrame, limit: int =
     asked = requests.join(known, ["session_id", "topic"], "left").withColumn(
         "exclude", F.coalesce("exclude", F.lit([]).cast("array<string>"))
     )
-    found = search_requests(pairs, asked, limit)
+    found = search_requests(pairs, asked, limit, segment_rows=segment_rows)
     shape = ["session_id", "topic", "turn_id", "turn_idx", "score", "tier", "relation", "matched"]
     groups = state.select(*shape, F.lit(0).alias("grp"), F.col("rank").alias("pos")).unionByName(
         found.select(*shape, F.lit(1).alias("grp"), F.col("rank").alias("pos"))
