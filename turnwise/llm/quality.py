@@ -201,17 +201,16 @@ def rate(docs: DataFrame, text: str = "text", keep: list[str] | None = None, thr
     or more than a fifth of them in repeated 5-word windows) and ``kept`` (not base_failed, and the
     posterior is at least ``threshold``). A column already called ``quality`` keeps its name and the
     new one gets an underscore in front. Null and empty texts have no words: base_failed. Equal texts
-    get equal results; an empty table gives an empty one. The votes are counted before they are
-    judged: without the text among ``keep`` the rows are written once to the shared folder, with it the
-    statistics are worked out twice instead.
+    get equal results; an empty table gives an empty one; very long texts are judged whole. The votes are
+    counted before they are judged, so the rows are written once to the shared folder, with the text if it is
+    among ``keep``: no filter on the result can then work out the statistics again.
     """
     keep = docs.columns if keep is None else keep
     stats = free_name(docs, "stats")
     base = docs.select(*(F.col(f"`{c}`") for c in keep), statistics(F.col(f"`{text}`")).alias(stats))
     base = base.withColumn(free_name(base, "votes"), F.array(*(vote(r, stats) for r in RULES)))
     votes = base.columns[-1]
-    if text not in keep:
-        base = stored(base, "quality")
+    base = stored(base, "quality")
     patterns = base.groupBy(F.col(votes).alias("votes")).agg(F.count("*").alias("n"))
     found = stored(posteriors(patterns, len(RULES)), "posteriors")
     joined = base.join(F.broadcast(found), base[votes] == found["votes"], "left")  # 3**rules rows at most
