@@ -34,8 +34,8 @@ UNITS = [
     "dollar", "dollars", "cent", "cents", "euro", "euros", "percent",
     "mph", "kmh", "w", "kw", "v", "volts", "j", "n", "pa", "hz", "degrees",
 ]
-NUMBER, NAME, UNIT = "", "", ""
-CAPITAL = ""
+NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+CAPITAL = "\ue003"
 WINDOW = 8
 MIN_LITERALS = 5
 MIN_COVERAGE = 0.5
@@ -54,6 +54,9 @@ def _marked(text: Column) -> Column:
     ``NAME`` stands before capitalised words inside a sentence, ``CAPITAL`` before all others.
     """
     t = F.coalesce(text, F.lit(""))
+    ours = [t.contains(mark) for mark in (NUMBER, NAME, UNIT, CAPITAL)]  # few texts hold marks of their own
+    own = ours[0] | ours[1] | ours[2] | ours[3]
+    t = F.when(own, F.regexp_replace(t, f"[{NUMBER}{NAME}{UNIT}{CAPITAL}]+", "")).otherwise(t)
     number = r"[$€£]?[0-9]+(?:[.,:/][0-9]+)*%?"
     t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_.,]){number}", f"{NUMBER}$0")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
@@ -97,7 +100,7 @@ def _templates(df: DataFrame, text: str) -> DataFrame:
 
 
 def _is_slot(word: Column) -> Column:
-    return word.between(F.lit(NUMBER), F.lit(UNIT + "￿"))
+    return word.between(F.lit(NUMBER), F.lit(UNIT + "\uffff"))
 
 
 def _type_of(word: Column) -> Column:
