@@ -125,6 +125,13 @@ COUNTERFACTUAL_UNSCORED = (
     "last two weeks would let this item be scored instead of abstained"
 )
 
+COUNTERFACTUAL_UP = ("evidence of ", " would raise the score to ")
+
+COUNTERFACTUAL_DOWN = ("evidence of only ", " would lower the score to ")
+
+#: A lesson as one sentence: what stands before trigger, action, avoidance and criterion.
+RULE_TEXT = ("When ", ", ", " Avoid: ", " You will know it applied when ")
+
 SEVERITY = [
     (4, "None / Minimal depression (0-4)"),
     (9, "Mild depression (5-9)"),

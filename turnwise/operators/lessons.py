@@ -149,12 +149,8 @@ def merge_links(current: DataFrame, links: DataFrame, groups: DataFrame) -> Data
 
 
 def rule_text() -> Column:
-    return T.squash(
-        F.concat(
-            F.lit("When "), F.col("trigger"), F.lit(", "), F.col("do"), F.lit(" Avoid: "), F.col("avoid"),
-            F.lit(" You will know it applied when "), F.col("criterion"),
-        )
-    )
+    fields = ("trigger", "do", "avoid", "criterion")
+    return T.squash(F.concat(*(x for before, c in zip(K.RULE_TEXT, fields) for x in (F.lit(before), F.col(c)))))
 
 
 def retrieve_lessons(versions: DataFrame, limit: int) -> DataFrame:

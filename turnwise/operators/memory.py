@@ -165,18 +165,11 @@ def counterfactual(score: Column, sufficient: Column) -> Column:
     def band(s: Column) -> Column:
         return F.try_element_at(bands, (s + 1).cast("int"))
 
-    up = F.when(
-        score < K.ITEM_MAX,
-        F.concat(
-            F.lit("evidence of "), band(score + 1), F.lit(" would raise the score to "), (score + 1).cast("string")
-        ),
-    )
-    down = F.when(
-        score > 0,
-        F.concat(
-            F.lit("evidence of only "), band(score - 1), F.lit(" would lower the score to "), (score - 1).cast("string")
-        ),
-    )
+    def sentence(parts: tuple[str, str], to: Column) -> Column:
+        return F.concat(F.lit(parts[0]), band(to), F.lit(parts[1]), to.cast("string"))
+
+    up = F.when(score < K.ITEM_MAX, sentence(K.COUNTERFACTUAL_UP, score + 1))
+    down = F.when(score > 0, sentence(K.COUNTERFACTUAL_DOWN, score - 1))
     return F.when(~sufficient | score.isNull(), K.COUNTERFACTUAL_UNSCORED).otherwise(
         F.concat_ws("; ", up, down)
     )
