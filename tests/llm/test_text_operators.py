@@ -358,8 +358,8 @@ def test_a_language_of_long_texts_only_is_learned(spark):
 def test_a_hundred_languages_are_learned(spark):
     rng = random.Random(9)
     alphabets = [rng.sample("abcdefghijklmnopqrstuvwxyz", 4) for _ in range(100)]
-    rows = [(k * 100 + i, invented(rng, letters, 80), f"l{k}") for k, letters in enumerate(alphabets) for i in range(8)]
+    rows = [(k * 100 + i, invented(rng, letters, 40), f"l{k}") for k, letters in enumerate(alphabets) for i in range(4)]
     asked = [(10**6 + k, invented(rng, letters, 80), None) for k, letters in enumerate(alphabets)]
     docs = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in language.identify(docs, F.lit(True)).filter("doc_id >= 1000000").collect()}
-    assert sum(got[10**6 + k] == f"l{k}" for k in range(100)) >= 95
+    assert sum(got[10**6 + k] == f"l{k}" for k in range(100)) >= 90
