@@ -242,3 +242,13 @@ def test_usage_windows_in_batch(spark, kind):
     got = streams.stream_usage(df, **kind)
     total = sum(r.calls for r in got.collect())
     assert total == (6 if "slide" in kind else 3)
+
+
+def test_transcript_files_are_opened_once(spark, tmp_path):
+    """All steps after the first read stored lines, also where values run over several lines."""
+    (tmp_path / "1_TRANSCRIPT.csv").write_text('speaker,value\nEllie,"a\nb"\n')
+    (tmp_path / "2_TRANSCRIPT.csv").write_text("speaker,value\nEllie,c\n")
+    for files, texts in (("*", ["a\nb", "c"]), ("2*", ["c"])):
+        got = transcripts.scan_transcripts(spark, f"{tmp_path}/{files}")
+        assert "text" not in re.findall(r"FileScan (\w+)", got._jdf.queryExecution().executedPlan().toString())
+        assert [r.text for r in got.orderBy("session_id").collect()] == texts

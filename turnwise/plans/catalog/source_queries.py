@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ...functions.segments import scan
-from ...session import shared_folder
+from ...session import cut_lineage, shared_folder
 from ...operators.totals import diagnostic_rates
 from ...sources import reference, runs, transcripts
 from .base import View, query, table
@@ -48,13 +48,14 @@ def scan_transcripts(spark, folder):
     path = _fresh(spark, "transcripts")
     (
         body.unionByName(head)
-        .repartition("conv_id")
+        .repartition(4 * spark.sparkContext.defaultParallelism, "conv_id")  # files cost time, so all cores write alike
         .sortWithinPartitions("conv_id", "turn")
         .drop("turn")
         .write.partitionBy("conv_id")
         .text(path)
     )
-    lines = transcripts.scan_transcripts(spark, path, r"conv_id=(\d+)/", recursive=True)
+    # numbering reads the turns more than once
+    lines = cut_lineage(transcripts.scan_transcripts(spark, path, r"conv_id=(\d+)/", recursive=True), "turns")
     numbered = scan(lines, ["session_id"], ["block", "line"], F.col("block"), index="turn_idx")
     return numbered.select("session_id", "turn_idx", "start_time", "role", "text")
 

@@ -11,6 +11,7 @@ from ..functions import constants as K
 from ..functions.segments import position_segment, scan
 from ..functions.text import let, strip
 from ..operators.turns import turn_id
+from ..session import cut_lineage
 
 #: Turns of one nested document; longer sessions are written in numbered parts.
 PART_TURNS = 100_000
@@ -64,32 +65,39 @@ def _opens(line: Column, delimiter: Column) -> Column:
     return F.when(delimiter == "\t", parsed("\t")).when(delimiter == ";", parsed(";")).otherwise(parsed(","))
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """Lines joined where a quoted field runs on into the next line.
+def _heads(lines: DataFrame) -> DataFrame:
+    """``(session_id, header, sep)``: the first line of each file and its delimiter."""
+    first = lines.groupBy("session_id").agg(F.min_by("value", F.struct("block", "line")).alias("header"))
+    return cut_lineage(first.withColumn("sep", _delimiter(F.col("header"))), "heads")
+
+
+def _records(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """Lines joined where a quoted field runs on into the next line; ``heads`` has the delimiters.
 
     Only files that have a line with an open field take part. A line keeps the state (in a quoted
     field or not), turns it round or sets it; the state after a line is the last one set, turned round
     as often as since then, which is carried from block to block of a file. Lines of a record that
-    is never closed stay lines of their own.
+    is never closed stay lines of their own. Where no file has such a line, all are left as they are.
     """
-    first = lines.groupBy("session_id").agg(F.min_by("value", F.struct("block", "line")).alias("header"))
-    seps = first.select("session_id", _delimiter(F.col("header")).alias("__d"))
     quote = F.col("value").contains('"')
-    told = lines.join(seps, "session_id")
+    told = lines.join(heads.select("session_id", F.col("sep").alias("__d")), "session_id")
     told = told.withColumn("__o", F.when(quote, _opens(F.col("value"), F.col("__d"))).otherwise(0))
-    torn = told.groupBy("session_id").agg(F.max("__o").alias("__t")).filter("__t = 1").select("session_id")
+    torn = cut_lineage(told.filter("__o = 1").select("session_id").distinct(), "torn")
+    if torn.isEmpty():
+        return lines
     whole = lines.join(torn, "session_id", "left_anti")
     # the same for a line that begins inside a quoted field
     inside = F.when(quote, _opens(F.concat(F.lit('"'), F.col("value")), F.col("__d"))).otherwise(1)
-    told = told.join(torn, "session_id", "left_semi").withColumn("__i", inside)
+    told = cut_lineage(told.join(torn, "session_id", "left_semi").withColumn("__i", inside), "told")
     keys, order = ["session_id"], ["block", "line"]
     turns = ((F.col("__o") == 1) & (F.col("__i") == 0)).cast("long")
-    turned = scan(told, keys, order, F.col("block"), sums={"__n": turns})
+    turned = cut_lineage(scan(told, keys, order, F.col("block"), sums={"__n": turns}), "turned")
     put = F.when(F.col("__o") == F.col("__i"), (F.col("__o") + F.col("__n")) % 2)
-    kept = scan(turned, keys, order, F.col("block"), lasts={"__s": put})
+    kept = cut_lineage(scan(turned, keys, order, F.col("block"), lasts={"__s": put}), "kept")
     closed = ((F.coalesce("__s", F.lit(0)) + F.col("__n")) % 2 == 0).cast("long")
     numbered = scan(kept.withColumn("__c", closed), keys, order, F.col("block"), sums={"__r": F.col("__c")})
-    numbered = numbered.withColumn("__r", F.col("__r") - F.col("__c"))  # records closed before the line
+    # records closed before the line
+    numbered = cut_lineage(numbered.withColumn("__r", F.col("__r") - F.col("__c")), "numbered")
     ends = numbered.groupBy("session_id").agg(F.sum("__c").alias("__e"))
     numbered = numbered.join(ends, "session_id")
     parts = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
@@ -121,10 +129,13 @@ def scan_transcripts(
         F.monotonically_increasing_id().alias("line"),
         F.regexp_replace("value", "^﻿", "").alias("value"),
     )
-    lines = _records(lines)
-    place = F.struct("block", "line")
-    heads = lines.groupBy("session_id").agg(F.min_by("value", place).alias("header"))
-    heads = heads.withColumn("sep", _delimiter(F.col("header")))
+    # Opening many files costs more than their lines, so they are read once and stored.
+    lines = cut_lineage(lines, "lines")
+    heads = _heads(lines)
+    records = _records(lines, heads)
+    if records is not lines:  # a header may run over several lines
+        lines = cut_lineage(records, "records")
+        heads = _heads(lines)
     names = F.transform(_cells(F.col("header"), F.col("sep")), strip)
 
     def at(name: str, required: bool = False) -> Column:
