@@ -1,6 +1,8 @@
 """File sources, settings, run records and streams."""
 
+import glob
 import json
+import os
 import re
 
 import pytest
@@ -8,6 +10,8 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from turnwise.plans.catalog import RUNS
+from turnwise.session import shared_folder
 from turnwise.sources import reference, runs, transcripts
 from turnwise.operators import turns as T
 from turnwise.streaming import streams
@@ -252,3 +256,21 @@ def test_transcript_files_are_opened_once(spark, tmp_path):
         got = transcripts.scan_transcripts(spark, f"{tmp_path}/{files}")
         assert "text" not in re.findall(r"FileScan (\w+)", got._jdf.queryExecution().executedPlan().toString())
         assert [r.text for r in got.orderBy("session_id").collect()] == texts
+
+
+def test_triggers_do_not_grow_with_files(spark):
+    """Five arrivals in four triggers each at most, and one that closes windows; not one per file."""
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/turnwise-windows-*-progress"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        RUNS["stream_usage"](spark, "/root/testdata/sf0.001")
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    (progress,) = set(glob.glob(f"{folder}/turnwise-windows-*-progress")) - before
+    commits = [x for x in os.listdir(f"{progress}/commits") if x.isdigit()]
+    assert 5 <= len(commits) <= 25

@@ -110,23 +110,22 @@ def near_duplicates(spark, folder):
 # --- streams ---------------------------------------------------------------------------
 
 
-def _drain(stream, spark, name, mode="append", each=None):
-    """Run a stream over what is there; where it wrote."""
-    path = f"{shared_folder(spark)}/turnwise-{name}-{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-progress")
-    writer = writer.foreachBatch(each(path)) if each else writer.format("parquet").option("path", path)
-    running = writer.trigger(availableNow=True).start()
-    running.awaitTermination()
-    return path
+def _drain(arrivals, spark, name, key, run, mode="append", each=None, triggers=4):
+    """Run the stream ``run`` makes of ``arrivals``, written and drained one after the other; where it wrote.
 
-
-def _stored(slices, spark, name, key, files_per_trigger=4):
-    """Arrivals written one after the other, so that a stream meets them in that order."""
+    The stream takes a share of an arrival's files per trigger, so the number of triggers doesn't grow with the input.
+    """
     path = f"{shared_folder(spark)}/turnwise-{name}-{uuid.uuid4().hex}"
-    for df in slices:
-        df.repartition(key).write.mode("append").parquet(path)
-    reader = spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    arrived = f"{path}-arrived"
+    files = 0
+    for df in arrivals:
+        df.repartition(key).write.mode("append").parquet(arrived)
+        files, before = len(spark.read.parquet(arrived).inputFiles()), files
+        reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-(files - before) // triggers)))
+        writer = run(reader.parquet(arrived)).writeStream.outputMode(mode).option("checkpointLocation", f"{path}-progress")
+        writer = writer.foreachBatch(each(path)) if each else writer.format("parquet").option("path", path)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return path
 
 
 @query(
@@ -143,8 +142,9 @@ def stream_pairs(spark, folder):
         "ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn_idx") * 60)
     )
     arrivals = [timed.filter("turn_idx < 4"), timed.filter("turn_idx >= 4")]
-    turns = _stored(arrivals, spark, "turns", "session_id")
-    path = _drain(turns, spark, "pairs", each=lambda path: streams.pair_writer(path, "answer", timeout_ms=0))
+    path = _drain(
+        arrivals, spark, "pairs", "session_id", lambda t: t, each=lambda path: streams.pair_writer(path, "answer", timeout_ms=0)
+    )
     return streams.read_pairs(spark, path).withColumn("span_ids", F.array_join("span_ids", ","))
 
 
@@ -156,8 +156,9 @@ def stream_evidence(spark, folder):
     df = evidence(spark, folder).select("record_id", "session_id", "topic", F.col("ts").cast("timestamp").alias("ts"))
     half = "TIMESTAMP '2024-01-16'"
     arrivals = [df.filter(f"ts < {half}"), df.filter(f"ts >= {half}")]
-    out = streams.stream_evidence(_stored(arrivals, spark, "evidence", "record_id"), "40 days")
-    path = _drain(out, spark, "memory", each=streams.append_to_memory)
+    path = _drain(
+        arrivals, spark, "memory", "record_id", lambda e: streams.stream_evidence(e, "40 days"), each=streams.append_to_memory
+    )
     return streams.read_memory(spark, path).drop("ts")
 
 
@@ -175,8 +176,9 @@ def _usage_stream(spark, folder, **kind):
     )
     late = F.col("event_id") % 10 == 3
     arrivals = [df.filter(~late), df.filter(late), closing.coalesce(1), closing.coalesce(1), df.filter("event_id % 50 = 7")]
-    stream = _stored(arrivals, spark, "usage", "event_id", 1)
-    out = spark.read.parquet(_drain(streams.stream_usage(stream, watermark="40 days", **kind), spark, "windows"))
+    out = spark.read.parquet(
+        _drain(arrivals, spark, "windows", "event_id", lambda u: streams.stream_usage(u, watermark="40 days", **kind))
+    )
     busy = F.col("calls") + F.col("retries") + F.col("failed_calls") > 0
     return out.filter(busy).drop("end").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
