@@ -91,6 +91,40 @@ def test_join_matches_all_pairs(docs, monkeypatch, block, head):
     assert got == want
 
 
+def test_shared_passages_make_no_large_group(spark, monkeypatch):
+    """A chain of passages runs through 100 texts, and one passage stands in families of near copies: the rows
+    of all tasks stay in proportion to the texts, and the links are those of all pairs."""
+    rng = random.Random(9)
+    short = lambda k: [f"w{rng.randint(0, 10**6)}" for _ in range(k)]
+    long = lambda name: [f"{name}-{'long' * 5}-{i}" for i in range(6)]
+    texts = [" ".join(long(f"c{i}") + short(60) + long(f"c{i + 1}")) for i in range(100)]
+    for _ in range(4):
+        base = long("all") + short(120)
+        for _ in range(6):
+            copy = base[:]
+            copy[rng.randint(6, 125)] = "changed"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    placed = []
+
+    def counted(tasks):
+        def run(groups):
+            placed.append(tasks(groups))
+            return placed[-1]
+
+        return run
+
+    for name in ("_tasks", "_apart"):
+        if hasattr(jaccard, name):
+            monkeypatch.setattr(jaccard, name, counted(getattr(jaccard, name)))
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+    want, _, _ = brute_components(rows, 4, 85)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(docs, n=4, percent=85).collect())
+    assert got == want and len({r[2] for r in want}) < 110
+    assert placed and placed[0].filter("component IS NOT NULL").count() <= 600
+
+
 def test_one_document_of_each_group_stays(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     _, groups, sets = brute_components(rows, 5, 80)

@@ -7,25 +7,27 @@
    most frequent ones (``HEAD`` of them, by the counts) last. A shingle's number begins with its length, so
    the order of the numbers is the global order.
 3. Candidates: two sets that are similar enough share a shingle among the first few of each in that
-   order (the prefix). Equal shingles are brought together and linked as a chain of stars, which is linear in the
-   prefixes, and the connected groups of candidates follow. Inside a group every pair is screened by
-   bitmaps: a bit is the parity of the shingles that hash to it, so each bit in which two sets differ is
-   a shingle that one of them lacks. Sets that only share a passage are told apart here, and only
-   groups of what is left go on.
+   order (the prefix). Equal shingles are brought together and cut into stars, which is linear in the
+   prefixes. Pairs are screened by bitmaps: a bit is the parity of the shingles that hash to it, so each bit in
+   which two sets differ is a shingle that one of them lacks. Sets that only share a passage are told apart here,
+   before anything is connected: in a large corpus such passages would link most documents into one group.
+   First each set meets the centre of its stars, and what passes is connected. Where a star then holds
+   sets of several groups, those outside its largest group meet all others of the star. The connected
+   groups of all that passed go on.
 4. Vertical partitioning: the global order is cut into ``FRAGMENTS`` fragments. Each fragment counts, for the candidates
    of a group, the partial overlaps of their shingles in that fragment alone; the partial overlaps are summed
    per pair and compared with the threshold. Pairs travel as matrices of counts, never as rows. Groups above
    ``BLOCK`` classes are cut into blocks, and each pair of blocks is a task of its own.
 5. Links give the number of links per document and, again as connected components, the classes.
 
-No group of copies, prefix shingle or candidate group is limited; only the work is split. Sets and
+No group of copies, prefix shingle, star or candidate group is limited; only the work is split. Sets and
 shingles are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -124,10 +126,13 @@ def bitmaps(row: np.ndarray, token: np.ndarray, size: np.ndarray) -> list[bytes]
     return out
 
 
-def _differences(maps: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _differences(
+    maps: list[bytes], meet: Callable[[int, np.ndarray], np.ndarray] | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each bitmap, others and in how many bits they differ from it; each pair comes once.
 
-    Bitmaps of different length are compared at the shorter's.
+    Bitmaps of different length are compared at the shorter's. ``meet`` says which of some rows
+    a row is to be compared with.
     """
     length = np.array([len(x) for x in maps])
     for size in np.unique(length).tolist():
@@ -140,7 +145,10 @@ def _differences(maps: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarra
             folded[k] = x
         for k, r in enumerate(rows.tolist()):
             if length[r] == size:
-                other = np.flatnonzero((length[rows] > size) | (rows > r))
+                other = (length[rows] > size) | (rows > r)
+                if meet:
+                    other &= meet(r, rows)
+                other = np.flatnonzero(other)
                 yield r, rows[other], np.bitwise_count(folded[other] ^ folded[k]).sum(1, dtype=np.int64)
 
 
@@ -242,20 +250,27 @@ def _prefixes(n: int, percent: int, head: np.ndarray):
 
 
 def _stars():
-    """Links within runs of equal shingles, sorted by size; a gap in the sizes ends a star.
+    """The stars of two classes and more within runs of equal shingles, sorted by size; a gap in the sizes ends a star.
 
     A gap is where the next size is above what every set before it in the run can be similar to, given
     the shingle's place in it. Two sets that are similar have no gap between them at the first
-    shingle that they share, so they are in one star there.
+    shingle that they share, so they are in one star there. The centre, a star's first class, is also one of its rows.
     """
     mask = (1 << _SIZE_BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # shingle, size, centre, reach of the sets so far
+        last_class, begun = None, False  # and whether rows of the star were given
         for batch in batches:
-            if not batch.num_rows:
-                continue
             token, sizes, klass = (np.asarray(batch.column(i)) for i in range(3))
+            if last is not None and len(token):
+                again = int(token[0] == last[0] and klass[0] == last_class)
+                token, sizes, klass = token[again:], sizes[again:], klass[again:]
+            if not len(token):
+                continue
+            fresh = np.r_[True, (token[1:] != token[:-1]) | (klass[1:] != klass[:-1])]
+            token, sizes, klass = token[fresh], sizes[fresh], klass[fresh]
+            last_class = klass[-1]
             n, reach = sizes >> _SIZE_BITS, sizes & mask
             if last is not None:
                 token, n, klass, reach = (np.r_[x, y] for x, y in zip(last, (token, n, klass, reach)))
@@ -266,11 +281,14 @@ def _stars():
             begin = np.ones(len(token), bool)
             begin[1:] = (run_of[1:] != run_of[:-1]) | (n[1:] > reach[:-1])
             first = np.flatnonzero(begin)
-            centre = np.repeat(klass[first], np.diff(np.r_[first, len(token)]))
+            count = np.diff(np.r_[first, len(token)])
+            centre = np.repeat(klass[first], count)
+            keep = np.repeat(count > 1, count)
+            keep[0] &= not begun
+            begun = bool(count[-1] > 1) or begun and len(first) == 1
             last = (token[-1], n[-1], centre[-1], reach[-1])
-            real = klass != centre
-            pairs = np.unique(np.stack([klass[real], centre[real]], 1), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            star = W.mix(token.view(_U) ^ W.mix(centre.view(_U))).view(np.int64)
+            yield pa.record_batch([pa.array(x[keep]) for x in (star, klass, centre)], names=["star", "class", "centre"])
 
     return run
 
@@ -388,28 +406,57 @@ def _components(adjacent: np.ndarray) -> np.ndarray:
     return label
 
 
+def _possible(differ: np.ndarray, n: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``other`` shingles can be similar if bitmaps differ in ``differ`` bits."""
+    both, least = n + other, np.minimum(n, other)
+    return (differ * (100 + percent) <= both * (100 - percent)) & (percent * (both - least) <= 100 * least)
+
+
+def _near(percent: int):
+    """The pairs that bitmaps and sizes leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, other = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
+            maps = [batch.column(c).to_pylist() for c in ("map_a", "map_b")]
+            length = np.array([[len(x) for x in side] for side in maps]).reshape(2, -1)
+            differ = np.zeros(len(n), np.int64)
+            for la, lb in np.unique(length, axis=1).T.tolist():
+                rows = np.flatnonzero((length[0] == la) & (length[1] == lb))
+                folded = []
+                for side, size in zip(maps, (la, lb)):
+                    x = np.frombuffer(b"".join(side[r] for r in rows.tolist()), _U).reshape(len(rows), size // 8)
+                    while x.shape[1] * 8 > min(la, lb):
+                        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                    folded.append(x)
+                differ[rows] = np.bitwise_count(folded[0] ^ folded[1]).sum(1, dtype=np.int64)
+            ok = pa.array(_possible(differ, n, other, percent))
+            yield pa.record_batch([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
 def _screen(percent: int):
-    """Stars of the sets that bitmaps and sizes leave possible, in each pair of blocks."""
+    """Stars of the sets of different groups that bitmaps and sizes leave possible, in each pair of blocks."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part, runs = _runs(part.drop_duplicates([*_PAIR, "class"]), ["block", "class"])
-        klass, n, block = (part[c].to_numpy(np.int64) for c in ("class", "n", "block"))
+        part, runs = _runs(part.drop_duplicates([*_PAIR, "class"]), ["class"])
+        klass, n, label = (part[c].to_numpy(np.int64) for c in ("class", "n", "label"))
+        own, odd = (part[c].to_numpy(bool) for c in ("own", "odd"))
         maps = part.bitmap.tolist()
-        bi, bj = part.bi.tolist(), part.bj.tolist()
         out = []
         for lo, hi in runs:
             near = np.zeros((hi - lo, hi - lo), bool)
-            sizes = n[lo:hi]
-            for i, other, differ in _differences(maps[lo:hi]):
-                both, least = sizes[i] + sizes[other], np.minimum(sizes[i], sizes[other])
-                ok = differ * (100 + percent) <= both * (100 - percent)
-                ok &= percent * (both - least) <= 100 * least
-                if bi[lo] != bj[lo]:
-                    ok &= block[lo + other] != block[lo + i]
-                near[i, other] = ok
-            label = _components(near | near.T)
-            real = np.flatnonzero(label != np.arange(hi - lo))
-            out.append(np.stack([klass[lo:hi][real], klass[lo:hi][label[real]]], 1))
+            a, b, group, sizes = own[lo:hi], odd[lo:hi], label[lo:hi], n[lo:hi]
+
+            def meet(i: int, rows: np.ndarray) -> np.ndarray:
+                return (a[i] & b[rows] | b[i] & a[rows]) & (group[rows] != group[i])
+
+            for i, other, differ in _differences(maps[lo:hi], meet):
+                near[i, other] = _possible(differ, sizes[i], sizes[other], percent)
+            label_of = _components(near | near.T)
+            real = np.flatnonzero(label_of != np.arange(hi - lo))
+            out.append(np.stack([klass[lo:hi][real], klass[lo:hi][label_of[real]]], 1))
         found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame(found, columns=["a", "b"])
 
@@ -486,6 +533,60 @@ def _tasks(groups: DataFrame) -> DataFrame:
     return F.broadcast(placed) if (few[1] or 0) <= BROADCAST_ROWS else placed
 
 
+def _apart(members: DataFrame) -> DataFrame:
+    """The tasks of stars of three classes and more whose classes (star, class, label) are of several groups.
+
+    In a task, ``odd`` classes, which are outside the star's largest group, meet those that are its ``own``. A star of
+    many classes is cut into blocks, and each block meets each block of the odd ones in a task of its own.
+    """
+    counts = members.groupBy("star", "label").agg(F.count("*").alias("m")).groupBy("star").agg(
+        F.sum("m").alias("r"), F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")
+    )
+    counts = counts.filter("r > 2 AND labels > 1").select(
+        "star",
+        "r",
+        F.col("most.label").alias("major"),
+        F.ceil(F.col("r") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("r") - F.col("most.m")) / BLOCK).cast("int").alias("odd_blocks"),
+    )
+    counts = stored(counts, "apart")
+    rows = counts.filter("blocks = 1 AND odd_blocks = 1").agg(F.sum("r")).first()[0] or 0
+    placed = members.join(small(counts, BROADCAST_ROWS), "star")
+    placed = placed.withColumn("minor", F.col("label") != F.col("major"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    placed = placed.withColumn("odd_block", F.pmod(F.xxhash64("class", F.lit(1)), "odd_blocks").cast("int"))
+    own = placed.withColumn("bi", F.col("block")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)))
+    own = own.withColumn("own", F.lit(True)).withColumn("odd", F.col("minor") & (F.col("bj") == F.col("odd_block")))
+    more = placed.filter("minor AND blocks > 1").withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    more = more.filter("bi != block").withColumn("bj", F.col("odd_block"))
+    more = more.withColumn("own", F.lit(False)).withColumn("odd", F.lit(True))
+    alone = F.pmod(F.xxhash64("star"), F.lit(max(1, math.ceil(rows / BLOCK))))
+    split = (F.col("blocks") > 1) | (F.col("odd_blocks") > 1)
+    task = F.when(split, F.xxhash64("star", "bi", "bj")).otherwise(alone)
+    return own.unionByName(more).select(
+        task.alias("task"), F.col("star").alias("component"), "bi", "bj", "class", "label", "own", "odd"
+    )
+
+
+def candidates(texts: DataFrame, full: DataFrame, head: np.ndarray, n: int, percent: int) -> DataFrame:
+    """Stored (class, component): groups of classes such that any two similar ones are in one group."""
+    prefixes = texts.mapInArrow(_prefixes(n, percent, head), "token long, sizes long, class long")
+    together = prefixes.repartition("token").sortWithinPartitions("token", "sizes", "class")
+    stars = stored(together.mapInArrow(_stars(), "star long, class long, centre long"), "runs")
+    met = small(stored(stars.select("class").distinct(), "met"), BROADCAST_ROWS)
+    bits = full.join(met, "class", "left_semi").select("class", "n", "bitmap").dropDuplicates(["class"])
+    bits = stored(bits, "bitmaps")
+    pairs = stars.filter("class != centre").select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(bits.toDF(side, f"n_{side}", f"map_{side}"), side)
+    links = components(pairs.mapInArrow(_near(percent), "a long, b long")).toDF("class", "label")
+    links = stored(links, "candidates")
+    label = F.coalesce("label", "class").alias("label")
+    members = stored(stars.join(links, "class", "left").select("star", "class", label), "labelled")
+    screened = bits.join(_apart(members), "class").groupBy("task").applyInPandas(_screen(percent), "a long, b long")
+    return stored(components(links.toDF("a", "b").union(screened)).toDF("class", "component"), "screened")
+
+
 def join(
     docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -501,14 +602,7 @@ def join(
     described, head = describe(docs, id, text, n)
     full = described.filter("n > 0")
     texts = docs.select(F.col(f"`{text}`").alias("text"))
-    prefixes = texts.mapInArrow(_prefixes(n, percent, head), "token long, sizes long, class long")
-    together = prefixes.repartition("token").sortWithinPartitions("token", "sizes", "class")
-    stars = together.mapInArrow(_stars(), "a long, b long").distinct()
-    groups = stored(components(stars).toDF("class", "component"), "candidates")
-    bits = full.join(small(groups.select("class"), BROADCAST_ROWS), "class", "left_semi")
-    bits = bits.select("class", "n", "bitmap").dropDuplicates(["class"])
-    screened = bits.join(_tasks(groups), "class").groupBy("task").applyInPandas(_screen(percent), "a long, b long")
-    groups = stored(components(screened).toDF("class", "component"), "screened")
+    groups = candidates(texts, full, head, n, percent)
     sizes = full.groupBy("class").agg(
         F.count("*").alias("size"), F.min("id").alias("min_id"), F.min(F.struct("id", "text_hash")).alias("one")
     )
