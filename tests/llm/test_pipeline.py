@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from turnwise.llm import jaccard
 from turnwise.llm.common import stored
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,3 +41,28 @@ def test_everything_kept_is_packed(stages):
 def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.columns == stages[-1].columns and got.count() == stages[-1].count()
+
+
+def test_passages_do_not_join_documents_in_stage_two(spark, monkeypatch):
+    """A chain of passages runs through 100 texts: what is first laid out for comparison stays in proportion to them."""
+
+    class Enough(Exception):
+        pass
+
+    def counted(tasks):
+        def run(groups):
+            raise Enough(tasks(groups).count())
+
+        return run
+
+    for name in ("_tasks", "_apart"):
+        if hasattr(jaccard, name):
+            monkeypatch.setattr(jaccard, name, counted(getattr(jaccard, name)))
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+    passage = lambda i: " ".join(f"p{i}-{'long' * 5}-{k}" for k in range(7))
+    own = lambda i: " ".join(f"w{i}-{k}" for k in range(60))
+    rows = [(i, f"{passage(i)} {own(i)} {passage(i + 1)}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with pytest.raises(Enough) as seen:
+        corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    assert seen.value.args[0] <= 200
